@@ -218,6 +218,12 @@ class MarkedWords(WordMemo):
         return out
 
 
+@lru_cache(maxsize=1)
+def marked_words(path: str, model: str) -> MarkedWords:
+    """One memo per worker process, kept from task to task."""
+    return MarkedWords(path, model)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", model: str = "bpe") -> DataFrame:
     """(key, n_tokens, ids, ids_crc32, decoded_sha256, round_trip): every text as ids, and what they decode to.
 
@@ -227,7 +233,7 @@ def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = MarkedWords(model_path, model)
+        memo = marked_words(model_path, model)
         for batch in batches:
             for keys, texts in pieces(rows_of(batch, "key", "text"), 1_000_000):
                 ids, n = memo.encode(texts)

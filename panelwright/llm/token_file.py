@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.scratch import scratch_path, shuffle_partitions
 from panelwright.llm.textnum import pieces, rows_of
-from panelwright.llm.word_memo import LibraryWords
+from panelwright.llm.word_memo import library_words
 
 #: Ids per word and bits per id of each selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -109,7 +109,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end: int | None
 
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        encoder, block, before = LibraryWords(tokenizer), 0, 0
+        encoder, block, before = library_words(tokenizer), 0, 0
         for batch in batches:
             for keys, texts in pieces(rows_of(batch, "key", "text"), 1_000_000):
                 ids, n = encoder.encode(texts, end)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ class WordMemo:
     ``limit`` bounds the words remembered; past it the memory is started anew.
     """
 
-    limit = 1_200_000
+    limit = 2_000_000
 
     def __init__(self) -> None:
         self._reset()
@@ -45,9 +46,9 @@ class WordMemo:
 
     def _learn(self) -> None:
         new = self.codes.new
-        n = len(self.codes) - len(new)
+        n = len(self.codes) - len(new)  # codes before these
         used = int(self.bounds[n])
-        got = self.encode_new(new)
+        got = self.encode_new(new)  # may put parts of words behind them in new
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         total = used + int(lengths.sum())
         while len(self.flat) < total:
@@ -91,5 +92,33 @@ class LibraryWords(WordMemo):
     def split(self, text: bytes) -> list:
         return text.split()
 
+    @staticmethod
+    def parts(word: bytes) -> list[bytes]:
+        """The word as the vocabulary sees it: A-Z in lower case, an end mark behind a letter or digit apart."""
+        if b"<|" in word:  # may hold a special token, which is matched before any change of case
+            return [word]
+        word = word.lower()
+        if len(word) > 1 and word[-1] in b".," and (97 <= word[-2] <= 122 or 48 <= word[-2] <= 57):
+            return [word[:-1], word[-1:]]
+        return [word]
+
     def encode_new(self, words: list) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        known = len(self.codes) - len(words)
+        cut: list[list[int] | None] = []
+        for word in words:  # the list grows by parts that are new themselves
+            parts = self.parts(word)
+            cut.append(None if parts == [word] else [self.codes[p] for p in parts])
+        whole = [i for i, c in enumerate(cut) if c is None]
+        ids: list = [None] * len(words)
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([words[i].decode() for i in whole], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        for i, c in enumerate(cut):
+            if c is not None:
+                ids[i] = [x for code in c for x in (ids[code - known] if code >= known else self.flat[self.bounds[code] : self.bounds[code + 1]].tolist())]
+        return ids
+
+
+@lru_cache(maxsize=1)
+def library_words(path: str) -> LibraryWords:
+    """One memo per worker process, kept from task to task."""
+    return LibraryWords(path)
