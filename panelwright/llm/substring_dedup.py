@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.scratch import shuffle_partitions
 from panelwright.llm.textnum import Words, mix, pieces, rows_of, sliding_min
 
-FLUSH_BYTES = 48_000_000
+FLUSH_BYTES = 16_000_000
 _SPANS = pa.schema([("key", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 
@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 8 * shuffle_partitions(spark)
     counts = docs.mapInArrow(_count_minimisers(k, m, "key", "text"), "value long, total boolean, n long")
     counts = counts.groupBy("total", "value").agg(F.sum("n").alias("n")).persist()
     try:

@@ -1,7 +1,7 @@
 """Vectorised word kernels over UTF-8 text: word bounds, rolling hashes and sliding minima.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, which is what ``bytes.split()`` cuts.
-Documents are handled in pieces of a few MB, so memory follows the longest document, not the batch.
+Documents are handled in pieces of about a MB, so memory follows the longest document, not the batch.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: tuple[np.ndarray, np.ndarray] | None = None
