@@ -24,7 +24,8 @@ from panelwright.llm.textnum import Words, mix, pieces, rows_of
 SHINGLE = 5
 BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
-SMALL_BUCKET = 64
+LEADERS = 8
+BUCKET_BLOCK = 2048
 SALT_MEMBERS = 256
 
 
@@ -148,9 +149,14 @@ def _verify(similarity: float):
     return run
 
 
+def _least_agreement(similarity: float, registers: int = REGISTERS) -> float:
+    """Four standard deviations below the similarity: signatures that agree less rule it out."""
+    return similarity - 4 * (similarity * (1 - similarity) / registers) ** 0.5
+
+
 def _likely(similarity: float, registers: int = REGISTERS):
-    """Pairs whose signatures don't rule the similarity out: five standard deviations below still pass."""
-    least = similarity - 5 * (similarity * (1 - similarity) / registers) ** 0.5
+    """Pairs whose signatures don't rule the similarity out."""
+    least = _least_agreement(similarity, registers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,6 +167,49 @@ def _likely(similarity: float, registers: int = REGISTERS):
     return run
 
 
+def _bucket_pairs(similarity: float):
+    """Likely pairs of different classes within each block pair (band, i, j); rows come sorted by it.
+
+    A pair is put out in the first band that it shares only, so it comes once, not once per band.
+    """
+    least = _least_agreement(similarity)
+
+    def compare(at: int, same_block: bool, rows: list[tuple]) -> np.ndarray:
+        key, cls = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        left = np.array([r[3] for r in rows])
+        x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, REGISTERS)
+        found = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(left):
+            others = np.arange(i + 1, len(rows)) if same_block else np.flatnonzero(~left)
+            others = others[cls[others] != cls[i]]
+            agree = x[others] == x[i]
+            others, agree = others[(near := agree.mean(axis=1) >= least)], agree[near]
+            first = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == at
+            found.append(np.stack([np.full(first.sum(), key[i]), key[others[first]]], 1))
+        return np.concatenate(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        out: list[np.ndarray] = []
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            for r in range(batch.num_rows):
+                group = (c["band"][r], c["at"][r], c["i"][r], c["j"][r])
+                if group != now:
+                    if rows:
+                        out.append(compare(now[1], now[2] == now[3], rows))
+                    now, rows = group, []
+                rows.append((c["key"][r], c["c"][r], c["sketch"][r], c["own"][r]))
+            for x in out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
+            out = []
+        if rows:
+            x = compare(now[1], now[2] == now[3], rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
+
+    return run
+
+
 class _Corpus:
     def __init__(self, docs: DataFrame, sketches: DataFrame, similarity: float):
         self.docs, self.sketches, self.similarity = docs, sketches, similarity
@@ -172,12 +221,16 @@ class _Corpus:
         partners has its text sent to several runs, ``SALT_MEMBERS`` partners or so in each.
         """
         s = self.sketches
-        near = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
+        near = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
         near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_likely(self.similarity), "a long, b long"), "near")
+        return self.confirmed(near)
+
+    def confirmed(self, near: DataFrame) -> DataFrame:
+        """Those of the pairs whose texts' multisets overlap enough."""
         many = near.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).alias("salts"))
         members = near.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", F.col("b").alias("key"))
         leaders = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
-        texts = members.unionByName(leaders).join(self.docs, "key").select("a", "salt", "b", "text")
+        texts = self.docs.join(members.unionByName(leaders).hint("merge"), "key").select("a", "salt", "b", "text")
         runs = texts.repartition(shuffle_partitions(self.docs.sparkSession), "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
         return stored(runs.mapInArrow(_verify(self.similarity), "a long, b long, similarity double"), "links")
 
@@ -195,9 +248,9 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     Keys must be unique longs. Null, empty and blank texts are never duplicates and keep a class of their own.
 
     Equal texts are met first by digest. Each bucket of a band then compares its members with its least and its
-    greatest; where that leaves a bucket with several classes, the members of different classes are compared
-    too, so no link across classes is lost to the choice of leaders. Buckets with more than
-    ``SMALL_BUCKET`` members left are first split by a second band that a pair must share.
+    greatest, then, where several classes are left in it, with ``LEADERS`` random members. What still lies apart is
+    compared within the bucket by signatures, in block pairs of ``BUCKET_BLOCK`` members, and verified where these
+    allow it; so no link across classes is lost to the choice of leaders, and no pairs are put out to be dropped.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     sketched = docs.withColumn("digest", F.unhex(F.md5("text")))
@@ -210,24 +263,30 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     reps = member.where("key = rep").select("key")
     sketches = stored(sketches.join(reps, "key", "left_semi").where("size(bands) > 0"), "sketches")
     corpus = _Corpus(docs, sketches.select("key", "sketch"), similarity)
-    rows = sketches.select(F.explode("bands").alias("band"), "key")
-    ends = rows.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    full = stored(rows.join(ends.hint("merge"), "band").select("band", "key", "lo", "hi", "n"), "buckets")
+    rows = sketches.select(F.posexplode("bands").alias("at", "band"), "key")
+    ends = rows.groupBy("band", "at").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    full = stored(rows.join(ends.hint("merge"), ["band", "at"]).select("band", "at", "key", "lo", "hi", "n"), "buckets")
     stars = full.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("key").alias("b")), F.struct(F.col("hi").alias("a"), F.col("key").alias("b")))).alias("p")).select("p.*")
     links = corpus.verified(_ordered(stars))
     classes = stored(connected_components(links), "classes")
-    # what the leaders left apart
-    held = full.where("n > 2").join(classes.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "lo", "hi", F.coalesce("component", "key").alias("c"))
-    apart = held.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("band", "n")
-    left = stored(held.join(apart, "band"), "apart")
-    if not left.isEmpty():
-        small = left.where(F.col("n") <= SMALL_BUCKET).select("band", "key", "c")
-        large = left.where(F.col("n") > SMALL_BUCKET).select("band", "key", "c")
-        second = large.join(sketches.select("key", F.explode("bands").alias("other")), "key").where("other <> band").select(F.xxhash64("band", "other").alias("band"), "key", "c")
-        both = small.unionByName(second)
-        x, y = both.select("band", F.col("key").alias("a"), F.col("c").alias("ca")), both.select("band", F.col("key").alias("b"), F.col("c").alias("cb"))
-        cross = _ordered(x.join(y, "band").where("a < b and ca <> cb").select("a", "b")).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        more = corpus.verified(cross)
+    for last in (False, True):
+        # what the leaders left apart
+        held = full.where("n > 2").join(classes.withColumnRenamed("node", "key"), "key", "left").select("band", "at", "key", F.coalesce("component", "key").alias("c"))
+        apart = held.groupBy("band", "at").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("a"), F.col("c").alias("ca"))).alias(f"l{r}") for r in range(LEADERS)]).where("c0 <> c1")
+        left = stored(held.join(apart.hint("merge"), ["band", "at"]), "apart")
+        if left.isEmpty():
+            break
+        if not last:
+            stars = left.select("key", "c", F.explode(F.array(*[F.struct(F.col(f"l{r}.a").alias("a"), F.col(f"l{r}.ca").alias("ca")) for r in range(LEADERS)])).alias("l"))
+            pairs = _ordered(stars.where("l.ca <> c").select(F.col("l.a").alias("a"), F.col("key").alias("b"))).join(links.select("a", "b"), ["a", "b"], "left_anti")
+            more = corpus.verified(pairs)
+        else:
+            rows = left.select("band", "at", "key", "c", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+            rows = rows.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "at", "key", "c", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") <= F.col("x")).alias("own"))
+            rows = rows.join(sketches.select("key", "sketch").hint("merge"), "key")
+            dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "band", "i", "j").sortWithinPartitions("band", "at", "i", "j", "key")
+            near = dealt.select("band", "at", "i", "j", "key", "c", "sketch", "own").mapInArrow(_bucket_pairs(similarity), "a long, b long")
+            more = corpus.confirmed(stored(_ordered(near), "near"))
         if not more.isEmpty():
             links = stored(links.unionByName(more), "links")
             classes = stored(connected_components(links), "classes")
