@@ -5,15 +5,300 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelwright.functions import columns as C
+from panelwright.operators import events, features, metrics, panel, peers, quality, text_scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _total(value: str, where: str = "TRUE") -> str:
+    return f"coalesce(CAST(sum(CASE WHEN {where} THEN {value} ELSE 0 END) AS DOUBLE), 0.0)"
+
+
+_P, _D, _T = (f"CAST({c} AS DECIMAL(12,2))" for c in ("l_extendedprice", "l_discount", "l_tax"))
+#: The given lines as a filings panel: each measure is an exact decimal sum, turned into a double once.
+MEASURES = {
+    "asset": _total(_P), "equity": _total(f"{_P} * {_D}"), "loans": _total(_P, "l_returnflag <> 'R'"), "deposits": _total(_P, "l_quantity < 30"),
+    "past_due_30": _total(f"{_P} * {_T}", "l_returnflag = 'R'"), "past_due_90": _total(f"{_P} * {_T}", "l_returnflag = 'A'"), "nonaccrual": _total(f"{_P} * {_T}", "l_quantity > 45"),
+    "chargeoffs": _total(f"{_P} * {_D}", "l_returnflag = 'R'"), "net_income": _total(f"{_P} * ({_T} - {_D})"), "interest_income": _total(f"{_P} * {_T}"), "expense": _total(f"{_P} * {_D}", "l_returnflag = 'A'"),
+    "roa": f"100.0 * {_total(f'{_T} - {_D}')} / count(*)", "margin": f"100.0 * {_total(_T)} / count(*)", "efficiency": f"100.0 * {_total(_D)} / count(*)", "funding_cost": f"100.0 * {_total(_T, chr(108) + '_quantity < 30')} / count(*)",
+    "cash": _total(_P, "l_quantity < 10"), "securities": _total(_P, "l_quantity BETWEEN 10 AND 14"), "repos": _total(_P, "l_quantity BETWEEN 15 AND 19"), "assessable": _total(_P, "l_quantity < 20"), "advances": _total(_P, "l_quantity >= 46"),
+    "construction": _total(_P, "l_returnflag = 'A' AND l_linestatus = 'O'"), "multifamily": _total(_P, "l_returnflag = 'A' AND l_linestatus = 'F'"), "residential": _total(_P, "l_returnflag = 'N' AND l_linestatus = 'O'"),
+    "commercial": _total(_P, "l_returnflag = 'N' AND l_linestatus = 'F' AND l_quantity < 25"), "consumer_all": _total(_P, "l_returnflag = 'N' AND l_linestatus = 'F'"), "cards": _total(_P, "l_returnflag = 'N' AND l_linestatus = 'F' AND l_quantity >= 25"),
+}
+_PERIOD = "CAST(last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH) AS DATE)"
+
+
+def _panel_sql(key: str) -> str:
+    return f"SELECT {key} AS entity, {_PERIOD} AS period, {', '.join(f'{e} AS {n}' for n, e in MEASURES.items())} FROM lineitem GROUP BY 1, 2"
+
+
+def filings(s: SparkSession, d: str, key: str = "l_suppkey") -> DataFrame:
+    """The entity-quarter panel of the lines, keyed by supplier or part."""
+    keyed = table(s, d, "lineitem").withColumns({"entity": F.col(key), "period": C.quarter_end(F.col("l_shipdate"))})
+    return keyed.groupBy("entity", "period").agg(*[F.expr(e).alias(n) for n, e in MEASURES.items()])
+
+
+_SUPPLIERS = _panel_sql("l_suppkey")
+_PARTS = _panel_sql("l_partkey")
+
+
+@query(f"""WITH p AS ({_SUPPLIERS}),
+g AS (SELECT p.entity, p.period, p.asset, r_name, CASE WHEN abs(q.asset) > 0 THEN 100.0 * (p.asset - q.asset) / abs(q.asset) END AS growth_pct FROM p
+ LEFT JOIN p q ON q.entity = p.entity AND q.period = CAST(last_day(p.period - INTERVAL 3 MONTH) AS DATE) JOIN supplier ON s_suppkey = p.entity JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE CASE WHEN abs(q.asset) > 0 THEN TRUE END)
+SELECT entity, period, asset, r_name, growth_pct, percent_rank() OVER (PARTITION BY r_name, period ORDER BY growth_pct) AS percentile,
+ CASE WHEN row_number() OVER (PARTITION BY period ORDER BY growth_pct DESC, entity) <= greatest(1, ceil(count(*) OVER (PARTITION BY period) * 5 / 100.0)) THEN 1 ELSE 0 END AS top_5pct FROM g""")
+def panel_growth(s: SparkSession, d: str) -> DataFrame:
+    p = panel.add_lags(filings(s, d).select("entity", "period", "asset"), "entity", "period", ["asset"], [1])
+    p = p.withColumn("growth_pct", C.pct_change(F.col("asset"), F.col("asset_lag1"), F.col("ok_lag1"))).where("growth_pct is not null")
+    regions = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("entity"), "r_name")
+    p = p.join(regions, "entity").withColumn("percentile", panel.percent_rank_in(["r_name", "period"], "growth_pct"))
+    return panel.budget_flags(p, "period", "growth_pct", "entity", [5]).select("entity", "period", "asset", "r_name", "growth_pct", "percentile", "top_5pct")
+
+
+flagship = panel_growth
+
+
+def _family(name: str) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return features.risk_features(filings(s, d), "entity", "period").select("entity", "period", *features.family_columns(name))
+
+    QUERIES[f"features_{name}"] = run
+    SQL[f"features_{name}"] = features.features_sql(_SUPPLIERS, "entity", "period", features.family_columns(name))
+
+
+for _name in features.FAMILIES:
+    _family(_name)
+
+_PEER_BANDS = ((10000.0, 100000.0, 1000000.0), ("LT_10K", "LT_100K", "LT_1M", "GE_1M"))
+_BAND_SQL = "CASE WHEN asset IS NULL OR asset < 0 THEN 'UNKNOWN' WHEN asset < 10000 THEN 'LT_10K' WHEN asset < 100000 THEN 'LT_100K' WHEN asset < 1000000 THEN 'LT_1M' ELSE 'GE_1M' END"
+_GROUPS_SQL = f"""p AS ({_PARTS}),
+b AS (SELECT entity, period, 100.0 * equity / nullif(asset, 0) AS equity_ratio, 100.0 * loans / nullif(deposits, 0) AS loan_ratio, {_BAND_SQL} AS band, p_brand AS kind FROM p JOIN part ON p_partkey = entity),
+c AS (SELECT *, strftime(period, '%Y-%m-%d') || '|' || band || '|' || kind AS dg, strftime(period, '%Y-%m-%d') || '|' || band AS bg FROM b),
+n AS (SELECT *, count(*) OVER (PARTITION BY dg) AS dn, count(*) OVER (PARTITION BY bg) AS bn FROM c),
+g AS (SELECT *, CASE WHEN dn >= 20 THEN dg ELSE bg END AS peer_group, CASE WHEN dn >= 20 THEN 'DETAILED' ELSE 'BROAD' END AS peer_method, CASE WHEN dn >= 20 THEN dn ELSE bn END AS peer_size FROM n)"""
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    p = filings(s, d, "l_partkey").join(table(s, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("kind")), "entity")
+    p = p.select("entity", "period", "kind", C.ratio(F.col("equity"), F.col("asset")).alias("equity_ratio"), C.ratio(F.col("loans"), F.col("deposits")).alias("loan_ratio"), C.band(F.col("asset"), *_PEER_BANDS).alias("band"))
+    return peers.peer_groups(p, "period", "band", "kind")
+
+
+@query(f"WITH {_GROUPS_SQL} SELECT entity, period, peer_group, peer_method, peer_size, peer_size < 20 AS too_small FROM g")
+def peer_groups(s: SparkSession, d: str) -> DataFrame:
+    return _groups(s, d).select("entity", "period", "peer_group", "peer_method", "peer_size", "too_small")
+
+
+_BENCH_SQL = f"""WITH {_GROUPS_SQL}, l AS (SELECT entity, period, peer_group, 'equity_ratio' AS feature, equity_ratio AS value FROM g WHERE equity_ratio IS NOT NULL UNION ALL SELECT entity, period, peer_group, 'loan_ratio', loan_ratio FROM g WHERE loan_ratio IS NOT NULL),
+st AS (SELECT peer_group, feature, count(*) AS peer_count, median(value) AS med, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75 FROM l GROUP BY 1, 2),
+md AS (SELECT peer_group, feature, median(abs(value - med)) AS mad FROM l JOIN st USING (peer_group, feature) GROUP BY 1, 2)"""
+
+
+def _bench(s: SparkSession, d: str) -> DataFrame:
+    long = panel.to_long(_groups(s, d).select("entity", "period", "peer_group", "equity_ratio", "loan_ratio"), ["entity", "period", "peer_group"], ["equity_ratio", "loan_ratio"])
+    return peers.peer_benchmark(long, inverted=["equity_ratio"], direct=["loan_ratio"])
+
+
+@query(f"""{_BENCH_SQL}, r AS (SELECT *, percent_rank() OVER (PARTITION BY peer_group, feature ORDER BY value) AS pr FROM l)
+SELECT entity, period, feature, peer_count, round(med, 6) AS peer_median, round(p25, 6) AS peer_p25, round(p75, 6) AS peer_p75, round(pr, 6) AS percentile, round(CASE WHEN feature = 'equity_ratio' THEN 1 - pr ELSE pr END, 6) AS risk_percentile, round(CASE WHEN mad > 0 THEN (value - med) / (1.4826 * mad) END, 4) AS robust_z FROM r JOIN st USING (peer_group, feature) JOIN md USING (peer_group, feature)""")
+def peer_benchmark(s: SparkSession, d: str) -> DataFrame:
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return _bench(s, d).select("entity", "period", "feature", "peer_count", r("peer_median"), r("peer_p25"), r("peer_p75"), r("percentile"), r("risk_percentile"), r("robust_z", 4))
+
+
+@query(f"""{_BENCH_SQL} SELECT period, feature, count(*) AS n_rows, count(DISTINCT peer_group) AS n_groups, min(peer_count) AS min_peer_count, median(peer_count) AS median_peer_count, count(*) FILTER (WHERE peer_count < 20) AS small_rows FROM l JOIN st USING (peer_group, feature) GROUP BY 1, 2""")
+def peer_summary(s: SparkSession, d: str) -> DataFrame:
+    return peers.peer_summary(_bench(s, d), "period")
+
+
+@query(f"WITH p AS ({_PARTS}), g AS (SELECT entity, period, lag(period) OVER (PARTITION BY entity ORDER BY period) AS previous FROM p) SELECT * FROM g WHERE previous IS NOT NULL AND previous <> CAST(last_day(period - INTERVAL 3 MONTH) AS DATE)")
+def period_gaps(s: SparkSession, d: str) -> DataFrame:
+    return panel.period_gaps(table(s, d, "lineitem").select(F.col("l_partkey").alias("entity"), C.quarter_end(F.col("l_shipdate")).alias("period")).distinct(), "entity", "period")
+
+
+@query(f"WITH p AS ({_PARTS}) SELECT entity, count(*) AS n_rows, count(DISTINCT period) AS n_periods, min(period) AS first_period, max(period) AS last_period FROM p GROUP BY entity")
+def panel_coverage(s: SparkSession, d: str) -> DataFrame:
+    return panel.coverage(filings(s, d, "l_partkey").select("entity", "period"), "entity", "period")
+
+
+@query(f"WITH p AS ({_SUPPLIERS}) SELECT p.entity, p.period, p.asset, q.asset AS asset_back1, y.asset AS asset_back4 FROM p LEFT JOIN p q ON q.entity = p.entity AND CAST(last_day(q.period + INTERVAL 3 MONTH) AS DATE) = p.period LEFT JOIN p y ON y.entity = p.entity AND CAST(last_day(y.period + INTERVAL 12 MONTH) AS DATE) = p.period")
+def shift_join(s: SparkSession, d: str) -> DataFrame:
+    p = filings(s, d).select("entity", "period", "asset")
+    back = panel.shift_join(p, "entity", "period", ["asset"], 4).select("entity", "period", "asset_back4")
+    return panel.shift_join(p, "entity", "period", ["asset"], 1).join(back, ["entity", "period"])
+
+
+_RULES = (("DQ020", "WARNING", "RANGE", "l_extendedprice > 90000"), ("DQ024", "BLOCKING", "RANGE", "l_quantity > 49"), ("DQ026", "WARNING", "PERCENT", "l_discount >= 0.1"), ("DQ027", "BLOCKING", "MISSING", "l_shipdate is null"), ("DQ006", "WARNING", "PERIOD", "l_shipdate >= timestamp '2001-01-01 00:00:00'"))
+_EXC_SQL = " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{i}' AS control_id, '{v}' AS severity, '{k}' AS category, md5('{i}' || CAST(l_orderkey AS VARCHAR) || CAST(l_linenumber AS VARCHAR)) AS exception_id FROM lineitem WHERE {r}" for i, v, k, r in _RULES)
+
+
+def _exceptions(s: SparkSession, d: str) -> DataFrame:
+    return quality.rule_exceptions(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], [(i, v, k, F.expr(r)) for i, v, k, r in _RULES])
+
+
+@query(_EXC_SQL)
+def dq_exceptions(s: SparkSession, d: str) -> DataFrame:
+    return _exceptions(s, d)
+
+
+@query("WITH e AS (" + _EXC_SQL + "), i AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{v}')" for i, v, _, _ in _RULES) + ") t(control_id, severity)) SELECT i.control_id, i.severity, count(e.control_id) AS n_exceptions, CASE WHEN count(e.control_id) = 0 THEN 'PASS' WHEN i.severity = 'BLOCKING' THEN 'FAIL' ELSE 'PASS_WITH_EXCEPTIONS' END AS status FROM i LEFT JOIN e ON e.control_id = i.control_id GROUP BY 1, 2")
+def dq_control_results(s: SparkSession, d: str) -> DataFrame:
+    return quality.control_results(s.createDataFrame([(i, v) for i, v, _, _ in _RULES], "control_id string, severity string"), _exceptions(s, d))
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dq_duplicates(s: SparkSession, d: str) -> DataFrame:
+    return quality.duplicates(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def dq_unmatched(s: SparkSession, d: str) -> DataFrame:
+    return quality.unmatched(table(s, d, "customer").select("c_custkey", "c_name"), table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT count(a.k) AS left_keys, count(b.k) AS right_keys, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(a.k) - count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS unmatched_left, 100.0::DOUBLE * count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) / count(a.k) AS matched_pct FROM a FULL JOIN b ON a.k = b.k")
+def key_overlap(s: SparkSession, d: str) -> DataFrame:
+    return quality.key_overlap(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("WITH l AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS line_total FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k, o_totalprice FROM orders) SELECT coalesce(o.k, l.k) AS k, o_totalprice, line_total, CASE WHEN o_totalprice IS NULL THEN 'MISSING_LEFT' WHEN line_total IS NULL THEN 'MISSING_RIGHT' WHEN o_totalprice = line_total THEN 'EXACT' WHEN abs(o_totalprice - line_total) <= 1e-9 * greatest(abs(o_totalprice), abs(line_total), 1.0) THEN 'WITHIN_TOLERANCE' ELSE 'DIFFERENT' END AS agreement FROM o FULL JOIN l ON o.k = l.k")
+def reconcile_sources(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.expr(f"CAST(sum({_P}) AS DOUBLE)").alias("line_total"))
+    return quality.reconcile(table(s, d, "orders").withColumnRenamed("o_orderkey", "k"), lines, "k", "o_totalprice", "line_total")
+
+
+@query("WITH s AS (SELECT l_partkey, l_suppkey, min(l_shipdate) AS f, max(l_shipdate) AS t FROM lineitem GROUP BY 1, 2) SELECT a.l_partkey, a.l_suppkey AS identity_a, b.l_suppkey AS identity_b FROM s a JOIN s b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey AND a.f <= b.t AND b.f <= a.t")
+def overlapping_mappings(s: SparkSession, d: str) -> DataFrame:
+    return quality.overlapping_mappings(table(s, d, "lineitem"), "l_suppkey", "l_partkey", "l_shipdate")
+
+
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) + count(*) FILTER (WHERE o_custkey IS NULL) + count(*) FILTER (WHERE o_totalprice IS NULL) AS missing_cells, count(*) - count(DISTINCT (o_custkey, o_orderpriority)) AS duplicate_keys, CAST(6 AS BIGINT) AS n_columns FROM orders")
+def table_profile(s: SparkSession, d: str) -> DataFrame:
+    return quality.table_profile(table(s, d, "orders"), ["o_custkey", "o_orderpriority"])
+
+
+_END = "2001-05-04"
+_KINDS = "CASE l_returnflag WHEN 'R' THEN 'FAILURE' WHEN 'A' THEN 'EXIT' ELSE 'ASSISTANCE' END"
+_LABEL_SQL = f"""WITH ev AS (SELECT l_partkey AS entity, CAST(l_shipdate AS DATE) AS event_date, min({_KINDS}) AS event_type FROM lineitem WHERE l_discount >= 0.09 AND l_quantity >= 48 AND l_returnflag IN ('R', 'A') GROUP BY 1, 2),
+p AS (SELECT l_partkey AS entity, {_PERIOD} AS period, sum(CAST(l_quantity AS DECIMAL(12,2))) >= 190 AS blocked FROM lineitem GROUP BY 1, 2),
+x AS (SELECT p.*, row_number() OVER (PARTITION BY entity ORDER BY period) AS history, (SELECT min(event_date) FROM ev WHERE ev.entity = p.entity AND event_date > period) AS next_date, (SELECT min(event_date) FROM ev WHERE ev.entity = p.entity AND event_type = 'FAILURE') AS first_event FROM p),
+y AS (SELECT x.*, event_type AS next_type FROM x LEFT JOIN ev ON ev.entity = x.entity AND ev.event_date = next_date)"""
+
+
+def _label_case(months: int) -> str:
+    h = f"CAST(period + INTERVAL {months} MONTH AS DATE)"
+    return f"CASE WHEN coalesce(period >= first_event, FALSE) THEN 'INELIGIBLE_POST_EVENT' WHEN blocked THEN 'INELIGIBLE_QUALITY' WHEN history < 4 THEN 'INELIGIBLE_SHORT_HISTORY' WHEN next_date <= {h} AND next_type = 'FAILURE' THEN 'POSITIVE' WHEN next_date <= {h} THEN 'COMPETING_EXIT' WHEN {h} > DATE '{_END}' THEN 'RIGHT_CENSORED' ELSE 'NEGATIVE' END"
+
+
+def _labels(s: SparkSession, d: str, months: int) -> DataFrame:
+    lines = table(s, d, "lineitem").withColumns({"entity": F.col("l_partkey"), "period": C.quarter_end(F.col("l_shipdate"))})
+    p = lines.groupBy("entity", "period").agg((F.sum(F.col("l_quantity").cast("decimal(12,2)")) >= 190).alias("blocked"))
+    ev = lines.where("l_discount >= 0.09 and l_quantity >= 48 and l_returnflag in ('R', 'A')").select("entity", F.col("l_shipdate").cast("date").alias("event_date"), F.expr(_KINDS).alias("event_type"))
+    p = events.next_event(p, ev, "entity", "period")
+    p = events.prior_event(p, ev.where("event_type = 'FAILURE'"), "entity", "period")
+    return events.outcome_labels(p, "entity", "period", months, _END)
+
+
+@query(f"{_LABEL_SQL} SELECT entity, period, next_date, next_type, {_label_case(12)} AS status, CASE {_label_case(12)} WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN 0 END AS label FROM y")
+def outcome_labels_4q(s: SparkSession, d: str) -> DataFrame:
+    return _labels(s, d, 12).select("entity", "period", "next_date", "next_type", "status", "label")
+
+
+@query(f"{_LABEL_SQL} SELECT entity, period, next_date, next_type, {_label_case(24)} AS status, CASE {_label_case(24)} WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN 0 END AS label FROM y")
+def outcome_labels_8q(s: SparkSession, d: str) -> DataFrame:
+    return _labels(s, d, 24).select("entity", "period", "next_date", "next_type", "status", "label")
+
+
+@query(f"{_LABEL_SQL}, z AS (SELECT *, {_label_case(12)} AS status FROM y) SELECT period, count(*) FILTER (WHERE status IN ('POSITIVE', 'NEGATIVE')) AS eligible, count(*) FILTER (WHERE status = 'POSITIVE') AS positives, count(*) FILTER (WHERE status = 'RIGHT_CENSORED') AS censored, CASE WHEN count(*) FILTER (WHERE status IN ('POSITIVE', 'NEGATIVE')) > 0 THEN CAST(count(*) FILTER (WHERE status = 'POSITIVE') AS DOUBLE) / count(*) FILTER (WHERE status IN ('POSITIVE', 'NEGATIVE')) END AS rate FROM z GROUP BY period")
+def label_prevalence(s: SparkSession, d: str) -> DataFrame:
+    x = _labels(s, d, 12).groupBy("period").agg(F.count("label").alias("eligible"), F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("status") == "RIGHT_CENSORED").alias("censored"))
+    return x.withColumn("rate", F.try_divide(F.col("positives").cast("double"), F.col("eligible")))
+
+
+_SCORED = "SELECT l_orderkey, l_linenumber, l_suppkey AS entity, l_linestatus AS grp, l_discount AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS target FROM lineitem"
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("entity"), F.col("l_linestatus").alias("grp"), F.col("l_discount").alias("score"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("target"))
+
+
+def _ranking_sql(source: str, group: str) -> str:
+    return f"""s AS ({source}), b AS (SELECT {group}, score, CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w * target) AS DOUBLE) AS t FROM s GROUP BY {group}, score),
+c AS (SELECT *, sum(n) OVER d AS cn, sum(t) OVER d AS ct, sum(n) OVER (PARTITION BY {group}) AS tn, sum(t) OVER (PARTITION BY {group}) AS tt FROM b WINDOW d AS (PARTITION BY {group} ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT {group}, max(tn) AS n_rows, max(tt) AS positives, round(sum(t / tt * ct / cn), 6) AS average_precision, round(sum(t * ((tn - tt) - (cn - ct) + (n - t) / 2) / (tt * (tn - tt))), 6) AS roc_auc FROM c WHERE tt > 0 AND tn > tt GROUP BY {group}"""
+
+
+@query(f"WITH {_ranking_sql(f'SELECT *, 1.0::DOUBLE AS w FROM ({_SCORED})', 'grp')}")
+def ranking_metrics(s: SparkSession, d: str) -> DataFrame:
+    return metrics.ranking_metrics(_scored(s, d), "score", "target", ["grp"])
+
+
+_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
+_U = "CAST(CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+_BOOT = f"SELECT * FROM (SELECT rep, score, target, CAST({' + '.join(f'(CASE WHEN {_U} >= {c} THEN 1 ELSE 0 END)' for c in _CUTS)} AS DOUBLE) AS w FROM ({_SCORED}), range(1, 21) r(rep)) WHERE w > 0"
+
+
+@query(f"SELECT CAST(rep AS INTEGER) AS rep, * EXCLUDE (rep) FROM (WITH {_ranking_sql(_BOOT, 'rep')})")
+def cluster_bootstrap(s: SparkSession, d: str) -> DataFrame:
+    return metrics.cluster_bootstrap(_scored(s, d), "entity", "score", "target", 20)
+
+
+@query(f"WITH s AS ({_SCORED}), c AS (SELECT count(*) FILTER (WHERE score >= 0.05 AND target = 1) AS tp, count(*) FILTER (WHERE score >= 0.05 AND target = 0) AS fp, count(*) FILTER (WHERE score < 0.05 AND target = 1) AS fn, count(*) FILTER (WHERE score < 0.05 AND target = 0) AS tn FROM s) SELECT *, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall, tn::DOUBLE / (tn + fp) AS specificity, (2 * tp)::DOUBLE / (2 * tp + fp + fn) AS f1, (5 * tp)::DOUBLE / (5 * tp + 4 * fn + fp) AS f2, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy, (tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2 AS balanced_accuracy FROM c")
+def threshold_metrics(s: SparkSession, d: str) -> DataFrame:
+    return metrics.threshold_metrics(_scored(s, d), "score", "target", 0.05)
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT CAST(greatest(1, ceil(score * 20)) AS INTEGER) AS bin, count(*) AS n_rows, round(avg(score), 6) AS mean_score, round(avg(target), 6) AS observed_rate FROM s GROUP BY 1")
+def reliability(s: SparkSession, d: str) -> DataFrame:
+    return metrics.reliability(_scored(s, d), "score", "target", 20)
+
+
+@query(f"WITH s AS ({_SCORED}), p AS (SELECT target, score, greatest(least(score, 1 - 1e-12), 1e-12) AS q FROM s) SELECT round(avg((score - target) * (score - target)), 6) AS brier, round(avg(-(target * ln(q) + (1 - target) * ln(1 - q))), 6) AS log_loss FROM p")
+def probability_errors(s: SparkSession, d: str) -> DataFrame:
+    return metrics.probability_errors(_scored(s, d), "score", "target")
+
+
+_PATTERNS = {"secret": r"(?i)(password|token|api_key)\s*=\s*\S+", "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
+
+
+@query("WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS finding, CAST(n AS INTEGER) AS line_number, substr(line, 1, 240) AS evidence FROM l WHERE regexp_matches(line, '{p}')" for k, p in _PATTERNS.items()))
+def text_patterns(s: SparkSession, d: str) -> DataFrame:
+    return text_scan.scan_patterns(table(s, d, "documents"), "doc_id", "text", _PATTERNS)
+
+
+@query("WITH t AS (SELECT doc_id, lower(text) AS t, unnest(['license', 'rights reserved', 'password']) AS phrase FROM documents), a AS (SELECT *, strpos(t, phrase) AS at FROM t) SELECT doc_id, phrase, CASE WHEN regexp_matches(substr(t, greatest(at - 40, 1), at - greatest(at - 40, 1)), '(no|not|never) ') THEN 'ALLOWED' ELSE 'UNRESOLVED' END AS status FROM a WHERE at > 0")
+def text_phrases(s: SparkSession, d: str) -> DataFrame:
+    return text_scan.scan_phrases(table(s, d, "documents"), "doc_id", "text", ["license", "rights reserved", "password"], "(no|not|never) ")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS parsed, CASE WHEN c_custkey % 7 = 0 THEN 'MISSING_ID' WHEN c_custkey % 5 = 0 THEN 'BAD_DATE' ELSE 'VALID' END AS parse_status FROM customer")
+def typed_parse(s: SparkSession, d: str) -> DataFrame:
+    raw = table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, " n/a ").otherwise(F.concat(F.lit("  "), F.col("c_custkey").cast("string"))).alias("id"), F.when(F.col("c_custkey") % 5 == 0, "13/45/2020").otherwise("3/1/2024").alias("day"))
+    day, number = C.safe_date(F.col("day"), ["M/d/yyyy"]), C.safe_long(F.col("id"))
+    return raw.select("c_custkey", number.alias("parsed"), C.first_rule([(number.isNull(), "MISSING_ID"), (day.isNull(), "BAD_DATE")]).alias("parse_status"))
