@@ -98,7 +98,7 @@ for _name in features.FAMILIES:
 _PEER_BANDS = ((10000.0, 100000.0, 1000000.0), ("LT_10K", "LT_100K", "LT_1M", "GE_1M"))
 _BAND_SQL = "CASE WHEN asset IS NULL OR asset < 0 THEN 'UNKNOWN' WHEN asset < 10000 THEN 'LT_10K' WHEN asset < 100000 THEN 'LT_100K' WHEN asset < 1000000 THEN 'LT_1M' ELSE 'GE_1M' END"
 _GROUPS_SQL = f"""p AS ({_PARTS}),
-b AS (SELECT entity, period, 100.0 * equity / nullif(asset, 0) AS equity_ratio, 100.0 * loans / nullif(deposits, 0) AS loan_ratio, {_BAND_SQL} AS band, p_brand AS kind FROM p JOIN part ON p_partkey = entity),
+b AS (SELECT entity, period, round(100.0 * equity / nullif(asset, 0), 6) AS equity_ratio, round(100.0 * loans / nullif(deposits, 0), 6) AS loan_ratio, {_BAND_SQL} AS band, p_brand AS kind FROM p JOIN part ON p_partkey = entity),
 c AS (SELECT *, strftime(period, '%Y-%m-%d') || '|' || band || '|' || kind AS dg, strftime(period, '%Y-%m-%d') || '|' || band AS bg FROM b),
 n AS (SELECT *, count(*) OVER (PARTITION BY dg) AS dn, count(*) OVER (PARTITION BY bg) AS bn FROM c),
 g AS (SELECT *, CASE WHEN dn >= 20 THEN dg ELSE bg END AS peer_group, CASE WHEN dn >= 20 THEN 'DETAILED' ELSE 'BROAD' END AS peer_method, CASE WHEN dn >= 20 THEN dn ELSE bn END AS peer_size FROM n)"""
@@ -106,7 +106,7 @@ g AS (SELECT *, CASE WHEN dn >= 20 THEN dg ELSE bg END AS peer_group, CASE WHEN
 
 def _groups(s: SparkSession, d: str) -> DataFrame:
     p = filings(s, d, "l_partkey").join(table(s, d, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("kind")), "entity")
-    p = p.select("entity", "period", "kind", C.ratio(F.col("equity"), F.col("asset")).alias("equity_ratio"), C.ratio(F.col("loans"), F.col("deposits")).alias("loan_ratio"), C.band(F.col("asset"), *_PEER_BANDS).alias("band"))
+    p = p.select("entity", "period", "kind", F.round(C.ratio(F.col("equity"), F.col("asset")), 6).alias("equity_ratio"), F.round(C.ratio(F.col("loans"), F.col("deposits")), 6).alias("loan_ratio"), C.band(F.col("asset"), *_PEER_BANDS).alias("band"))
     return peers.peer_groups(p, "period", "band", "kind")
 
 
