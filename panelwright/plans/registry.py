@@ -126,10 +126,10 @@ def _bench(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_BENCH_SQL}, r AS (SELECT *, percent_rank() OVER (PARTITION BY peer_group, feature ORDER BY value) AS pr FROM l)
-SELECT entity, period, feature, peer_count, round(med, 6) AS peer_median, round(p25, 6) AS peer_p25, round(p75, 6) AS peer_p75, round(pr, 6) AS percentile, round(CASE WHEN feature = 'equity_ratio' THEN 1 - pr ELSE pr END, 6) AS risk_percentile, round(CASE WHEN mad > 0 THEN (value - med) / (1.4826 * mad) END, 4) + 0.0 AS robust_z FROM r JOIN st USING (peer_group, feature) JOIN md USING (peer_group, feature)""")
+SELECT entity, period, feature, peer_count, round(med, 9) AS peer_median, round(p25, 9) AS peer_p25, round(p75, 9) AS peer_p75, round(pr, 6) AS percentile, round(CASE WHEN feature = 'equity_ratio' THEN 1 - pr ELSE pr END, 6) AS risk_percentile, round(CASE WHEN mad > 0 THEN (value - med) / (1.4826 * mad) END, 4) + 0.0 AS robust_z FROM r JOIN st USING (peer_group, feature) JOIN md USING (peer_group, feature)""")
 def peer_benchmark(s: SparkSession, d: str) -> DataFrame:
     r = lambda c, n=6: F.round(c, n).alias(c)
-    return _bench(s, d).select("entity", "period", "feature", "peer_count", r("peer_median"), r("peer_p25"), r("peer_p75"), r("percentile"), r("risk_percentile"), (F.round("robust_z", 4) + 0.0).alias("robust_z"))
+    return _bench(s, d).select("entity", "period", "feature", "peer_count", r("peer_median", 9), r("peer_p25", 9), r("peer_p75", 9), r("percentile"), r("risk_percentile"), (F.round("robust_z", 4) + 0.0).alias("robust_z"))
 
 
 @query(f"""{_BENCH_SQL} SELECT period, feature, count(*) AS n_rows, count(DISTINCT peer_group) AS n_groups, min(peer_count) AS min_peer_count, median(peer_count) AS median_peer_count, count(*) FILTER (WHERE peer_count < 20) AS small_rows FROM l JOIN st USING (peer_group, feature) GROUP BY 1, 2""")
