@@ -26,6 +26,7 @@ BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
 LEADERS = 8
 BUCKET_BLOCK = 2048
+BLOCK_SHINGLES = 500  # a document counts once for so many in a block
 SALT_MEMBERS = 256
 
 
@@ -106,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.bincount(doc, minlength=len(texts)) > 0
             bands = band_keys(sig)
             low = (mix(sig.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b.tolist() if s else [] for b, s in zip(bands, some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())], names=["key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b.tolist() if s else [] for b, s in zip(bands, some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(np.bincount(doc, minlength=len(texts)), pa.int64())], names=["key", "bands", "sketch", "size"])
 
 
 def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
@@ -167,45 +168,103 @@ def _likely(similarity: float, registers: int = REGISTERS):
     return run
 
 
-def _bucket_pairs(similarity: float):
-    """Likely pairs of different classes within each block pair (band, i, j); rows come sorted by it.
-
-    A pair is put out in the first band that it shares only, so it comes once, not once per band.
+def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((band, at, i, j), its rows of (key, class, own, value)) of batches sorted by block pair."""
+    now, rows = None, []
+    for batch in batches:
+        c = {n: batch.column(n).to_pylist() for n in batch.schema.names if n != value}
+        for r, v in enumerate(_values(batch, value)):
+            group = (c["band"][r], c["at"][r], c["i"][r], c["j"][r])
+            if group != now:
+                if rows:
+                    yield now, rows
+                now, rows = group, []
+            rows.append((c["key"][r], c["c"][r], c["own"][r], v))
+    if rows:
+        yield now, rows
+
+
+def _values(batch: pa.RecordBatch, value: str) -> Iterator:
+    """The sketches of a batch, or (shingles, counts) of each text, so that no more than a piece of texts is held."""
+    if value == "sketch":
+        yield from batch.column(value).to_pylist()
+        return
+    for _, texts in pieces(((0, x.as_py() or b"") for x in batch.column(value).cast(pa.binary()))):
+        doc, gram, n = shingle_counts(texts)
+        bound = np.searchsorted(doc, np.arange(len(texts) + 1))
+        for i in range(len(texts)):
+            yield gram[bound[i] : bound[i + 1]].copy(), n[bound[i] : bound[i + 1]].astype(np.int32)
+
+
+def _sides(cls: np.ndarray, own: np.ndarray, same_block: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, those to be compared with x): all pairs of different classes, reached from outside of the largest class."""
+    names, at, n = np.unique(cls, return_inverse=True, return_counts=True)
+    for x in np.flatnonzero(at != n.argmax()):
+        yield int(x), np.flatnonzero((at != at[x]) & (same_block | (own != own[x])))
+
+
+def _bucket_members(similarity: float):
+    """The rows of each block pair that have a likely partner of another class in it.
+
+    A pair counts in the first band that it shares only, so it is judged once, not once per band.
     """
     least = _least_agreement(similarity)
 
-    def compare(at: int, same_block: bool, rows: list[tuple]) -> np.ndarray:
-        key, cls = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        left = np.array([r[3] for r in rows])
-        x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, REGISTERS)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(left):
-            others = np.arange(i + 1, len(rows)) if same_block else np.flatnonzero(~left)
-            others = others[cls[others] != cls[i]]
-            agree = x[others] == x[i]
-            others, agree = others[(near := agree.mean(axis=1) >= least)], agree[near]
-            first = agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == at
-            found.append(np.stack([np.full(first.sum(), key[i]), key[others[first]]], 1))
-        return np.concatenate(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, at, i, j), rows in _groups(batches, "sketch"):
+            key, cls, own = (np.array([r[k] for r in rows]) for k in range(3))
+            sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, REGISTERS)
+            keep = np.zeros(len(rows), bool)
+            for x, others in _sides(cls, own, i == j):
+                agree = sketch[others] == sketch[x]
+                others, agree = others[(near := agree.mean(axis=1) >= least)], agree[near]
+                others = others[agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == at]
+                keep[others] = True
+                keep[x] |= len(others) > 0
+            n = int(keep.sum())
+            if n:
+                same = [pa.array([v] * n, t) for v, t in ((band, pa.int64()), (at, pa.int32()), (i, pa.int32()), (j, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(key[keep]), pa.array(cls[keep]), pa.array(own[keep])], names=["band", "at", "i", "j", "key", "c", "own"])
+
+    return run
+
+
+def _bucket_links(similarity: float):
+    """Links that join the classes of a block pair: exact overlaps of all its pairs, and one pair for each union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        out: list[np.ndarray] = []
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            for r in range(batch.num_rows):
-                group = (c["band"][r], c["at"][r], c["i"][r], c["j"][r])
-                if group != now:
-                    if rows:
-                        out.append(compare(now[1], now[2] == now[3], rows))
-                    now, rows = group, []
-                rows.append((c["key"][r], c["c"][r], c["sketch"][r], c["own"][r]))
-            for x in out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
-            out = []
-        if rows:
-            x = compare(now[1], now[2] == now[3], rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
+        for (_, _, i, j), rows in _groups(batches, "text"):
+            key, cls, own = (np.array([r[k] for r in rows]) for k in range(3))
+            size = np.array([len(r[3][0]) for r in rows])
+            total = np.array([int(r[3][1].sum()) for r in rows])
+            _, gram, seen = np.unique(np.concatenate([r[3][0] for r in rows]), return_inverse=True, return_counts=True)
+            shared = seen[gram] > 1  # a shingle of one document only adds to no overlap
+            doc, count = np.repeat(np.arange(len(rows)), size)[shared], np.concatenate([r[3][1] for r in rows])[shared]
+            gram = gram[shared]
+            bound = np.searchsorted(doc, np.arange(len(rows) + 1))
+            own_count = np.zeros(len(seen), np.int32)
+            parent = {c: c for c in cls.tolist()}
+
+            def root(c: int, parent: dict = parent) -> int:
+                while parent[c] != c:
+                    c = parent[c]
+                return c
+
+            found = []
+            for x, others in _sides(cls, own, i == j):
+                mine = slice(bound[x], bound[x + 1])
+                own_count[gram[mine]] = count[mine]
+                sums = np.concatenate([[0], np.cumsum(np.minimum(count, own_count[gram]), dtype=np.int64)])
+                own_count[gram[mine]] = 0
+                low = sums[bound[others + 1]] - sums[bound[others]]
+                high = total[x] + total[others] - low
+                for k in np.flatnonzero((low >= similarity * high - 1e-9) & (high > 0)):
+                    p, q = root(int(cls[x])), root(int(cls[others[k]]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.append((*sorted((int(key[x]), int(key[others[k]]))), low[k] / high[k]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run
 
@@ -235,6 +294,13 @@ class _Corpus:
         return stored(runs.mapInArrow(_verify(self.similarity), "a long, b long, similarity double"), "links")
 
 
+    def by_block(self, rows: DataFrame, of: DataFrame, value: str) -> DataFrame:
+        """``rows`` with the ``value`` of their key, those of a block pair together."""
+        group = ("band", "at", "i", "j")
+        met = rows.join(of.select("key", value).hint("merge"), "key")
+        return met.repartition(shuffle_partitions(self.docs.sparkSession), *group).sortWithinPartitions(*group, "key").select(*group, "key", "c", "own", value)
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -249,12 +315,14 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
     Equal texts are met first by digest. Each bucket of a band then compares its members with its least and its
     greatest, then, where several classes are left in it, with ``LEADERS`` random members. What still lies apart is
-    compared within the bucket by signatures, in block pairs of ``BUCKET_BLOCK`` members, and verified where these
-    allow it; so no link across classes is lost to the choice of leaders, and no pairs are put out to be dropped.
+    compared within the bucket by signatures, in block pairs of ``BUCKET_BLOCK`` members (fewer long ones); the members
+    that these don't rule out meet again in their block with their texts, all pairs of different classes are verified
+    there, and the links that join classes come out. So no link across classes is lost to the choice of leaders, and
+    no pairs are put out to be dropped.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     sketched = docs.withColumn("digest", F.unhex(F.md5("text")))
-    sketches = docs.mapInArrow(_sketch, "key long, bands array<long>, sketch binary")
+    sketches = docs.mapInArrow(_sketch, "key long, bands array<long>, sketch binary, size long")
     # the digest rides along natively: one row per key on both sides
     sketches = stored(sketches, "sketches")
     digests = stored(sketched.select("key", "digest"), "digests")
@@ -263,17 +331,17 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     reps = member.where("key = rep").select("key")
     sketches = stored(sketches.join(reps, "key", "left_semi").where("size(bands) > 0"), "sketches")
     corpus = _Corpus(docs, sketches.select("key", "sketch"), similarity)
-    rows = sketches.select(F.posexplode("bands").alias("at", "band"), "key")
+    rows = sketches.select(F.posexplode("bands").alias("at", "band"), "key", F.greatest(F.lit(1.0), F.col("size") / BLOCK_SHINGLES).alias("weight"))
     ends = rows.groupBy("band", "at").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    full = stored(rows.join(ends.hint("merge"), ["band", "at"]).select("band", "at", "key", "lo", "hi", "n"), "buckets")
+    full = stored(rows.join(ends.hint("merge"), ["band", "at"]).select("band", "at", "key", "weight", "lo", "hi", "n"), "buckets")
     stars = full.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("key").alias("b")), F.struct(F.col("hi").alias("a"), F.col("key").alias("b")))).alias("p")).select("p.*")
     links = corpus.verified(_ordered(stars))
     classes = stored(connected_components(links), "classes")
     for last in (False, True):
         # what the leaders left apart
-        held = full.where("n > 2").join(classes.withColumnRenamed("node", "key"), "key", "left").select("band", "at", "key", F.coalesce("component", "key").alias("c"))
-        apart = held.groupBy("band", "at").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("a"), F.col("c").alias("ca"))).alias(f"l{r}") for r in range(LEADERS)]).where("c0 <> c1")
-        left = stored(held.join(apart.hint("merge"), ["band", "at"]), "apart")
+        held = full.where("n > 2").join(classes.withColumnRenamed("node", "key"), "key", "left").select("band", "at", "key", "weight", F.coalesce("component", "key").alias("c"))
+        apart = held.groupBy("band", "at").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum("weight").alias("weight"), *[F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("h"), F.col("key").alias("a"), F.col("c").alias("ca"))).alias(f"l{r}") for r in range(LEADERS)]).where("c0 <> c1")
+        left = stored(held.drop("weight").join(apart.hint("merge"), ["band", "at"]), "apart")
         if left.isEmpty():
             break
         if not last:
@@ -281,12 +349,12 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             pairs = _ordered(stars.where("l.ca <> c").select(F.col("l.a").alias("a"), F.col("key").alias("b"))).join(links.select("a", "b"), ["a", "b"], "left_anti")
             more = corpus.verified(pairs)
         else:
-            rows = left.select("band", "at", "key", "c", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+            blocks = F.greatest(F.ceil(F.col("weight") / BUCKET_BLOCK), F.lit(1)).cast("int")
+            rows = left.select("band", "at", "key", "c", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
             rows = rows.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "at", "key", "c", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") <= F.col("x")).alias("own"))
-            rows = rows.join(sketches.select("key", "sketch").hint("merge"), "key")
-            dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "band", "i", "j").sortWithinPartitions("band", "at", "i", "j", "key")
-            near = dealt.select("band", "at", "i", "j", "key", "c", "sketch", "own").mapInArrow(_bucket_pairs(similarity), "a long, b long")
-            more = corpus.confirmed(stored(_ordered(near), "near"))
+            near = corpus.by_block(rows, sketches, "sketch").mapInArrow(_bucket_members(similarity), "band long, at int, i int, j int, key long, c long, own boolean")
+            near = corpus.by_block(stored(near, "near"), corpus.docs, "text")
+            more = stored(near.mapInArrow(_bucket_links(similarity), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
         if not more.isEmpty():
             links = stored(links.unionByName(more), "links")
             classes = stored(connected_components(links), "classes")

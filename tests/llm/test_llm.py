@@ -92,3 +92,42 @@ def test_perspectives(spark):
     got = rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == 8 and {r.perspective for r in got} == {"ann", "bob"}
     assert all(r.mask_end > r.mask_start for r in got if r.role == "assistant")
+
+
+def test_minhash_outside_of_leaders(spark):
+    """A large group of near copies with texts around the threshold: classes as from all pairs."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(260):
+        words, edits = list(base), r.choice((0, 1, 2, 2, 3, 4, 5))
+        for at in r.sample(range(120), edits):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    bags = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    at = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b]):
+                p, q = sorted((at[a], at[b]))
+                at = [p if x == q else x for x in at]
+    got = {x.doc_id: x.class_id for x in minhash_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == at
+
+
+def test_minhash_block_links():
+    """The exact step alone: every pair of different classes within a block, and across two blocks."""
+    import pyarrow as pa
+
+    from panelwright.llm.minhash_dedup import _bucket_links
+
+    texts = {1: P1, 2: P1 + " tail", 3: "q " + P1, 4: " ".join(f"z{i}" for i in range(60)), 5: P1 + " tail more"}
+
+    def links(own, j):
+        n = len(texts)
+        names = ["band", "at", "i", "j", "key", "c", "own", "text"]
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array([0] * n), pa.array([0] * n), pa.array([j] * n), pa.array(list(texts)), pa.array([1, 2, 2, 4, 5]), pa.array(own), pa.array(list(texts.values()))], names=names)
+        return [(a, b) for out in _bucket_links(0.8)(iter([batch])) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+
+    assert len(links([True] * 5, 0)) == 2
+    assert {x for p in links([True, False, False, False, True], 1) for x in p} >= {1, 5}
