@@ -110,19 +110,28 @@ def _compare(threshold: float, within: bool):
     return run
 
 
+def _unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, dim, v, digest): the comparable rows at length 1, and the digest of the vector as given."""
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v"), F.unhex(F.md5(F.col(vector).cast("string"))).alias("digest"))
+    v = rows.where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
+    top = v.withColumn("top", F.array_max(F.transform("v", F.abs))).where("top > 0")
+    unit = top.withColumn("v", F.transform("v", lambda x: x / F.col("top")))  # no overflow in the squares
+    unit = unit.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    return unit.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm")).alias("v"), "digest")
+
+
 def similar_pairs(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, miss: float = 0.01, seed: int = 7) -> DataFrame:
     """(a, b), a < b: pairs of rows whose cosine, in double precision, is ``threshold`` or more.
 
     None below the threshold is returned; a pair at the threshold is missed with a chance of ``miss`` at most. Null,
     zero and non-finite vectors, and vectors of different lengths, link with nothing; nor do rows without a key.
     """
-    spark = vectors.sparkSession
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    v = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-    top = v.withColumn("top", F.array_max(F.transform("v", F.abs))).where("top > 0")
-    unit = top.withColumn("v", F.transform("v", lambda x: x / F.col("top")))  # no overflow in the squares
-    unit = unit.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    unit = stored(unit.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm")).alias("v")), "unit")
+    return _pairs_of(stored(_unit(vectors, key, vector).drop("digest"), "unit"), threshold, miss, seed)
+
+
+def _pairs_of(unit: DataFrame, threshold: float, miss: float, seed: int = 7) -> DataFrame:
+    spark = unit.sparkSession
     n = unit.count()
     passes = passes_needed(n, threshold, miss)
     codes = unit.mapInArrow(_keys(passes, seed), "pass int, dim int, code long, id long")
@@ -155,11 +164,21 @@ def embedding_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """(key, n_links, component_id, kept), one row per row of ``vectors``.
 
     ``component_id`` is the least key reachable by links, itself included; ``kept`` marks the row that has it. Vectors
-    that can't be compared stand alone. Repeated rows of one key don't link with each other.
+    that can't be compared stand alone. Keys should be unique: repeated rows of one key don't link with each other,
+    and a key with several vectors has the links of each.
+
+    Equal vectors are met by digest, and only the first of each goes on to be compared; the others have its links and
+    each other's, counted without a row for each pair.
     """
-    pairs = stored(similar_pairs(vectors, key, vector, threshold, miss), "links")
-    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = links.join(connected_components(pairs), "node")
-    out = vectors.select(F.col(key).alias("key")).join(found, F.col("key") == F.col("node"), "left")
+    unit = stored(_unit(vectors, key, vector), "unit")
+    firsts = stored(unit.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "firsts")
+    reps = stored(unit.join(firsts.select(F.col("rep").alias("id"), "digest").hint("merge"), ["id", "digest"], "left_semi").select("id", "dim", "v"), "reps")
+    pairs = stored(_pairs_of(reps, threshold, miss), "links")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("rep")), F.struct(F.col("b").alias("node"), F.col("a").alias("rep")))).alias("p")).select("p.*")
+    others = ends.join(firsts.select("rep", "copies").hint("merge"), "rep").groupBy("node").agg(F.sum("copies").alias("others"))
+    linked = firsts.join(others.join(connected_components(pairs), "node").withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    named = linked.select("digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    found = unit.select("id", "digest").distinct().join(named.hint("merge"), "digest").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
+    out = vectors.select(F.col(key).alias("key")).join(found.hint("merge"), F.col("key") == F.col("id"), "left")
     component = F.coalesce("component", F.col("key").cast("long"))
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("key") == component).alias("kept"))

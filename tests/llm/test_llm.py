@@ -131,3 +131,19 @@ def test_minhash_block_links():
 
     assert len(links([True] * 5, 0)) == 2
     assert {x for p in links([True, False, False, False, True], 1) for x in p} >= {1, 5}
+
+
+def test_embedding_copies(spark):
+    """Copies of a vector, scaled copies, and a neighbour: each counts all the others, by brute force."""
+    r = np.random.default_rng(3)
+    base = r.standard_normal((20, 8))
+    rows = [x for x in base for _ in range(int(r.integers(1, 5)))] + [base[0] * 2.0, base[1] + 0.05, base[1] + 0.1]
+    r.shuffle(rows)
+    v = np.array(rows)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= 0.9 - 1e-12
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    reach = near.copy()
+    for _ in range(6):
+        reach = reach @ reach
+    assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(reach[i])[0])) for i in range(len(v))}
