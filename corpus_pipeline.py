@@ -1,8 +1,8 @@
 """A corpus pipeline: toxicity, line dedup, near dedup, mixing and SentencePiece encoding of ``documents``.
 
 Each stage gets what the one before it wrote, works on all of it, and returns the columns of ``documents`` (the
-last one returns the token ids). No stage is plain SQL, so there is no ORACLE_SQL; tests compare each with a
-brute-force version.
+last one returns the token ids). No stage is plain SQL, so there is no ORACLE_SQL; tests of the stages against a
+brute-force version are still to be written (those of the operators are in tests/llm).
 """
 
 from __future__ import annotations
