@@ -1,8 +1,12 @@
 """A corpus pipeline: toxicity, line dedup, near dedup, mixing and SentencePiece encoding of ``documents``.
 
 Each stage gets what the one before it wrote, works on all of it, and returns the columns of ``documents`` (the
-last one returns the token ids). No stage is plain SQL, so there is no ORACLE_SQL; tests of the stages against a
-brute-force version are still to be written (those of the operators are in tests/llm).
+last one returns the token ids). No stage is plain SQL, so there is no ORACLE_SQL; tests/llm/test_pipeline.py holds each
+stage against a brute-force version.
+
+Null and empty texts pass every stage but mixing, which takes no document without words. Rows without a doc_id
+are judged by their own text alone and never dropped as duplicates; of a repeated row near dedup keeps one. Columns
+other than those of ``documents`` are left out, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,15 +40,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class."""
-    kept = minhash_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the least id of each class; rows without an id stay, of rows that repeat an id one stays."""
+    found = stored(minhash_dedup(docs), "found")
+    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    docs = docs.select(*COLUMNS)
+    once = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti")
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its rows are repeated, or it is left out."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each row as often as the mix takes it: it is repeated, or left out."""
+    rest = [c for c in COLUMNS if c not in ("doc_id", "source")]
+    mix = mix_sources(docs, carry=tuple(rest)).where("copies > 0")
+    again = mix.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.withColumnsRenamed({f"carried_{c}": c for c in rest}).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

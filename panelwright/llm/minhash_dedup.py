@@ -291,8 +291,7 @@ class _Corpus:
         leaders = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
         texts = self.docs.join(members.unionByName(leaders).hint("merge"), "key").select("a", "salt", "b", "text")
         runs = texts.repartition(shuffle_partitions(self.docs.sparkSession), "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
-        return stored(runs.mapInArrow(_verify(self.similarity), "a long, b long, similarity double"), "links")
-
+        return stored(runs.mapInArrow(_verify(self.similarity), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
 
     def by_block(self, rows: DataFrame, of: DataFrame, value: str) -> DataFrame:
         """``rows`` with the ``value`` of their key, those of a block pair together."""
@@ -311,7 +310,9 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     Two documents are linked where the weighted Jaccard similarity of their multisets of five-word shingles
     is ``similarity`` or more; classes are what links connect, named by their least key. ``n_links`` counts the verified
     links of a document's text to other texts that were needed to find the classes; copies of one text share it.
-    Keys must be unique longs. Null, empty and blank texts are never duplicates and keep a class of their own.
+    Keys are longs; a repeated row shares the class and the decision of its first. Null, empty and blank texts are
+    never duplicates and keep a class of their own; a row without a key is compared with nothing and kept, its class null.
+    An empty table gives an empty one. Other columns, whatever their names, are not read.
 
     Equal texts are met first by digest. Each bucket of a band then compares its members with its least and its
     greatest, then, where several classes are left in it, with ``LEADERS`` random members. What still lies apart is
@@ -329,7 +330,7 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     firsts = digests.where("digest is not null").groupBy("digest").agg(F.min("key").alias("rep"))
     member = stored(digests.join(firsts.hint("merge"), "digest").select("key", "rep"), "members")
     reps = member.where("key = rep").select("key")
-    sketches = stored(sketches.join(reps, "key", "left_semi").where("size(bands) > 0"), "sketches")
+    sketches = stored(sketches.join(reps, "key", "left_semi").where("size(bands) > 0").dropDuplicates(["key"]), "sketches")
     corpus = _Corpus(docs, sketches.select("key", "sketch"), similarity)
     rows = sketches.select(F.posexplode("bands").alias("at", "band"), "key", F.greatest(F.lit(1.0), F.col("size") / BLOCK_SHINGLES).alias("weight"))
     ends = rows.groupBy("band", "at").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
@@ -360,9 +361,9 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             classes = stored(connected_components(links), "classes")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(degree, "node").select(F.col("node").alias("rep"), "component", "n_links")
-    ours = member.join(named.hint("merge"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("class"), "n_links")
+    ours = member.join(named.hint("merge"), "rep", "left").groupBy(F.col("key").alias("k")).agg(F.min(F.coalesce("component", "rep")).alias("class"), F.max("n_links").alias("n_links"))
     blank = F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) == 0
     blanks = docs.select("key", (F.col("text").isNull() | blank).alias("blank"))
     out = blanks.join(ours, blanks["key"] == ours["k"], "left")
     final = F.when(F.col("blank"), F.col("key")).otherwise(F.coalesce("class", "key"))
-    return out.select(F.col("key").alias(key), final.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (final == F.col("key")).alias("kept"))
+    return out.select(F.col("key").alias(key), final.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), final.eqNullSafe(F.col("key")).alias("kept"))

@@ -78,9 +78,12 @@ def tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     return per.select("source", "scale", F.when(~full, solved["x"]).alias("tilt"))
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, source, size, source_size, target, rate, copies, taken): how often each document enters the mix.
 
+    The columns ``carry`` come along as ``carried_<name>``: they are neither stored nor shuffled, but for the rows at
+    the cut. One row per row of ``docs``; repeated rows and rows without a key are dealt with one by one.
+
     Rates are rounded to whole copies by sequential Poisson sampling: a document's fraction f is rounded up in
     the order of u / f, u a hash of its key, until the source's words reach the target; the document at the
     cut goes to the nearer side. So a source's ``taken`` misses its target by half a document at most, reruns
@@ -89,27 +92,34 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
     The running sum is taken over ``BINS`` sums per source; only the bin at the cut is ordered row by row.
     """
-    base = stored(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    base = stored(rows.select("key", "source", "size"), "sizes")
     targets = stored(source_targets(base, weights, share, cap), "targets")
-    per = targets.join(tilts(base, targets, cap).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rated = base.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    per = stored(targets.join(tilts(base, targets, cap).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "tilts")
+
+    def of_source(df: DataFrame, facts: DataFrame) -> DataFrame:
+        return df.join(facts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))))
-    rated = rated.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("f", F.col("rate") - F.col("whole"))
     u = (F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("mix")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     turn = F.when(F.col("f") > 1e-9, u / F.col("f"))
-    # half of all turns lie below 1/2, so turn / (1 + turn) spreads them over the bins
-    rated = rated.withColumn("turn", turn).withColumn("bin", F.floor(BINS * F.col("turn") / (1 + F.col("turn"))).cast("int"))
-    sums = rated.groupBy("source", "bin").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)).alias("up"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.max("target").alias("target"))
+
+    def rated_rows(df: DataFrame) -> DataFrame:
+        df = of_source(df, per).withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("f", F.col("rate") - F.col("whole"))
+        # half of all turns lie below 1/2, so turn / (1 + turn) spreads them over the bins
+        return df.withColumn("turn", turn).withColumn("bin", F.floor(BINS * F.col("turn") / (1 + F.col("turn"))).cast("int"))
+    sums = rated_rows(base).groupBy("source", "bin").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)).alias("up"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.max("target").alias("target"))
     own = Window.partitionBy("source")
     sums = sums.withColumn("need", F.col("target") - F.sum("sure").over(own)).where("bin is not null")
     sums = sums.withColumn("through", F.sum("up").over(own.orderBy("bin")))
     cut = sums.groupBy("source").agg(F.min(F.when(F.col("through") >= F.col("need"), F.col("bin"))).alias("cut"), F.max("need").alias("need"))
     below = sums.join(cut.select(F.col("source").alias("s"), "cut"), F.col("source").eqNullSafe(F.col("s"))).where("bin < cut").groupBy("source").agg(F.sum("up").alias("below"))
     cut = cut.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "cut", (F.col("need") - F.coalesce("below", F.lit(0))).alias("left"))
-    rated = rated.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    rated = of_source(rated_rows(rows if carry else base), stored(cut, "cuts"))
     at = rated.where("bin = cut")
-    running = F.sum("size").over(own.orderBy(F.desc("size"), "turn", "key").rowsBetween(Window.unboundedPreceding, 0))
+    ties = [F.xxhash64(*[f"carried_{c}" for c in carry])] if carry else []
+    running = F.sum("size").over(own.orderBy(F.desc("size"), "turn", "key", *ties).rowsBetween(Window.unboundedPreceding, 0))
     at = at.withColumn("run", running).withColumn("extra", (F.col("run") - F.col("size") / 2.0) <= F.col("left"))
     plain = rated.where("bin is null or cut is null or bin <> cut").withColumn("extra", F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))))
     out = plain.unionByName(at.drop("run")).withColumn("copies", (F.col("whole") + F.col("extra").cast("long")).cast("long"))
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"carried_{c}" for c in carry])

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+NO_KEY = -(1 << 63)  # stands for a null key where keys travel as packed longs
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.scratch import shuffle_partitions
+from panelwright.llm.scratch import NO_KEY, shuffle_partitions
 from panelwright.llm.textnum import Words, mix, pieces, rows_of, sliding_min
 
 FLUSH_BYTES = 16_000_000
@@ -236,10 +236,11 @@ def _receive(k: int):
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 35, m: int = 5) -> DataFrame:
     """(key, s, e): word spans covered by windows of ``k`` words that start more than once in the table.
 
-    Null and empty texts, and texts under ``k`` words, have no window. ``key`` must be a unique long.
+    Null and empty texts, and texts under ``k`` words, have no window. ``key`` is a long. Rows without a key count as
+    places of a window, but have no spans here; a repeated row is another place of each of its windows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
     buckets = 8 * shuffle_partitions(spark)
     counts = docs.mapInArrow(_count_minimisers(k, m, "key", "text"), "value long, total boolean, n long")
     counts = counts.groupBy("total", "value").agg(F.sum("n").alias("n")).persist()
@@ -251,7 +252,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         counts.unpersist()
     sent = docs.mapInArrow(_send(k, m, "key", "text", buckets, hot), "bucket int, kind tinyint, payload binary")
     dealt = sent.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_receive(k), "key long, s long, e long")
+    return dealt.mapInArrow(_receive(k), "key long, s long, e long").where(F.col("key") != NO_KEY)
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +282,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Returns (key, n_words, n_removed, kept_sha256, kept_text), one row per row of ``docs``. Windows are judged on
     the input; all copies of a repeated window go, the first too. Null text counts as empty: no words, the
-    digest of the empty string. Keys must be unique; other columns of ``docs`` are ignored.
+    digest of the empty string. A row without a key keeps all its words, a repeated row makes all its windows repeated;
+    rows of one key with different texts aren't supported. Other columns of ``docs`` are ignored, an empty table
+    gives an empty one.
     """
     spans = repeated_spans(docs, key, text, k, m).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
