@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import columns as C
-from panelwright.operators import events, features, metrics
+from panelwright.operators import events, features, metrics, models, ranking
 
 
 def test_parsing(spark):
@@ -28,3 +29,43 @@ def test_ranking_ties(spark):
     df = spark.createDataFrame([(0.5, 1), (0.5, 0), (0.1, 0)], "s double, y int")
     row = metrics.ranking_metrics(df, "s", "y").first()
     assert (row.average_precision, row.roc_auc) == (0.5, 0.75)
+
+
+def test_rank_scores(spark):
+    days = [dt.date(2024, 3, 31), dt.date(2024, 6, 30)]
+    df = spark.createDataFrame([(e, p, float((e * (i + 1)) % 21)) for i, p in enumerate(days) for e in range(1, 21)], "e int, p date, s double")
+    got = {(r.e, r.p): r for r in ranking.rank_scores(df, "e", "p", "s").collect()}
+    assert sum(r.top_5pct for r in got.values()) == 2 and sum(r.top_10pct for r in got.values()) == 4
+    top = got[(20, days[0])]
+    assert (top.score_rank, top.percentile, top.tier, top.alert, top.change_1q) == (1, 100.0, "Highest monitored tier", "Top-5% review", None)
+    assert got[(10, days[1])].tier == "Highest monitored tier" and got[(10, days[1])].change_1q > 0
+    assert ranking.rank_scores(df.limit(0), "e", "p", "s").count() == 0
+
+
+def test_best_threshold_takes_the_greater_of_equals(spark):
+    df = spark.createDataFrame([(i / 100, int(i >= 90)) for i in range(100)], "s double, y int")
+    row = ranking.best_f2_threshold(df, "s", "y").first()
+    brute = max((5 * sum(i >= 90 for i in range(100) if i / 100 >= t) / (40 + sum(i / 100 >= t for i in range(100))), t) for t in (j / 100 for j in range(70, 100)))
+    assert row.f2 == pytest.approx(brute[0]) and 0.89 < row.threshold <= 0.9
+
+
+def test_events_are_captured_once(spark):
+    day = dt.date(2025, 1, 15)
+    rows = [(1, dt.date(2024, 3, 31), 0.9, 1), (1, dt.date(2024, 6, 30), 0.1, 1), (2, dt.date(2024, 3, 31), 0.5, 0), (2, dt.date(2024, 6, 30), 0.5, 0)]
+    got = ranking.event_capture(spark.createDataFrame([(*r, day) for r in rows], "e int, p date, s double, y int, d date"), "e", "p", "s", "d", "y").collect()
+    assert [(r.captured, r.first_alert, r.alerted_periods, r.lead_days) for r in got] == [(True, dt.date(2024, 3, 31), 1, 290)]
+
+
+def test_windows_may_not_overlap():
+    with pytest.raises(ValueError):
+        models.check_windows([("a", "2020-01-01", "2020-12-31"), ("b", "2020-12-31", "2021-12-31")])
+
+
+def test_fitted_model(spark):
+    df = spark.createDataFrame([(i, float(i % 10) if i % 7 else None, float(i % 3), int(i % 10 > 6)) for i in range(200)], "k int, a double, b double, target int")
+    fitted = models.fit(df, ["a", "b"], models.candidates()["logistic_l2"])
+    scored = fitted.score(df)
+    assert scored.columns == [*df.columns, "probability"] and scored.where("a >= 7 and probability < 0.5").count() == 0
+    drivers = models.local_drivers(fitted, df, ["k"], ["a", "b"], 1).where("k = 9").first()
+    assert drivers.feature == "a" and drivers.score_delta > 0 and drivers.reference == fitted.medians["a"]
+    assert models.platt(scored, scored).where("calibrated is null").count() == 0
