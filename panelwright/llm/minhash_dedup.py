@@ -346,8 +346,10 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
         if left.isEmpty():
             break
         if not last:
-            stars = left.select("key", "c", F.explode(F.array(*[F.struct(F.col(f"l{r}.a").alias("a"), F.col(f"l{r}.ca").alias("ca")) for r in range(LEADERS)])).alias("l"))
-            pairs = _ordered(stars.where("l.ca <> c").select(F.col("l.a").alias("a"), F.col("key").alias("b"))).join(links.select("a", "b"), ["a", "b"], "left_anti")
+            leaders = F.array(*[F.struct(F.col(f"l{r}.a").alias("a"), F.col(f"l{r}.ca").alias("ca")) for r in range(LEADERS)])
+            others = F.array_distinct(F.filter(leaders, lambda x: x["ca"] != F.col("c")))  # of other classes only, each once
+            stars = left.select("key", F.explode(others).alias("l"))
+            pairs = _ordered(stars.select(F.col("l.a").alias("a"), F.col("key").alias("b"))).join(links.select("a", "b"), ["a", "b"], "left_anti")
             more = corpus.verified(pairs)
         else:
             blocks = F.greatest(F.ceil(F.col("weight") / BUCKET_BLOCK), F.lit(1)).cast("int")
