@@ -79,7 +79,7 @@ def bag_signatures(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, n_docs
         bits = mix(seed[:, None] + c * np.uint64(0x9E3779B97F4A7C15))
         more = mix(bits ^ np.uint64(0xD6E8FEB86659FD93))
         gap = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * unit) / rate[:, None]
-        times = t[:, None] + np.cumsum(gap, axis=1)
+        times = np.cumsum(np.concatenate([t[:, None], gap], axis=1), axis=1)[:, 1:]  # one order of sums whatever the burst
         register = ((more >> np.uint64(40)) % np.uint64(registers)).astype(np.int64)
         spot = lo[:, None] + rate[:, None] * ((more & np.uint64(0xFFFFFFFFFF)).astype(np.float64) / (1 << 40))
         ok = spot < w[:, None]

@@ -10,7 +10,7 @@ from panelwright.llm.chat_format import rotate_perspectives
 from panelwright.llm.embedding_dedup import embedding_dedup
 from panelwright.llm.line_dedup import line_dedup
 from panelwright.llm.media import document_media, parse_parts
-from panelwright.llm.minhash_dedup import bag_signatures, minhash_dedup
+from panelwright.llm.minhash_dedup import bag_signatures, minhash_dedup, shingle_counts
 from panelwright.llm.mixing import mix_sources
 from panelwright.llm.pieces import MarkedWords
 from panelwright.llm.substring_dedup import substring_dedup
@@ -147,3 +147,14 @@ def test_embedding_copies(spark):
     for _ in range(6):
         reach = reach @ reach
     assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(reach[i])[0])) for i in range(len(v))}
+
+
+def test_signature_bits_do_not_depend_on_company():
+    rnd = random.Random(3)
+    text = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n)).encode()
+    own = [text(24), text(44), text(400), (text(12) + b" ") * 30]
+    alone = [bag_signatures(*shingle_counts([t]), 1)[0] for t in own]
+    for fill in (600, 5_000, 19_000, 90_000):  # words beside them: a batch tail up to a full piece
+        texts = [*own, *[text(200) for _ in range(fill // 200)]]
+        together = bag_signatures(*shingle_counts(texts), len(texts))
+        assert all((a.view(np.uint64) == b.view(np.uint64)).all() for a, b in zip(alone, together, strict=False))
