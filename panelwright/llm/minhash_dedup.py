@@ -185,9 +185,10 @@ def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[tup
 
 
 def _values(batch: pa.RecordBatch, value: str) -> Iterator:
-    """The sketches of a batch, or (shingles, counts) of each text, so that no more than a piece of texts is held."""
-    if value == "sketch":
-        yield from batch.column(value).to_pylist()
+    """(sketch, band keys) of a batch, or (shingles, counts) of each text, so that no more than a piece of texts is held."""
+    if value == "marks":
+        marks = batch.column(value)
+        yield from zip(marks.field("sketch").to_pylist(), marks.field("bands").flatten().to_numpy().reshape(-1, BANDS), strict=True)
         return
     for _, texts in pieces(((0, x.as_py() or b"") for x in batch.column(value).cast(pa.binary()))):
         doc, gram, n = shingle_counts(texts)
@@ -206,19 +207,19 @@ def _sides(cls: np.ndarray, own: np.ndarray, same_block: bool) -> Iterator[tuple
 def _bucket_members(similarity: float):
     """The rows of each block pair that have a likely partner of another class in it.
 
-    A pair counts in the first band that it shares only, so it is judged once, not once per band.
+    A pair counts in the first band whose full key it shares only, so it is judged once, not once per band.
     """
     least = _least_agreement(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, at, i, j), rows in _groups(batches, "sketch"):
+        for (band, at, i, j), rows in _groups(batches, "marks"):
             key, cls, own = (np.array([r[k] for r in rows]) for k in range(3))
-            sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, REGISTERS)
+            sketch = np.frombuffer(b"".join(r[3][0] for r in rows), np.uint8).reshape(-1, REGISTERS)
+            bands = np.array([r[3][1] for r in rows])
             keep = np.zeros(len(rows), bool)
             for x, others in _sides(cls, own, i == j):
-                agree = sketch[others] == sketch[x]
-                others, agree = others[(near := agree.mean(axis=1) >= least)], agree[near]
-                others = others[agree.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == at]
+                others = others[(sketch[others] == sketch[x]).mean(axis=1) >= least]
+                others = others[(bands[others] == bands[x]).argmax(axis=1) == at]
                 keep[others] = True
                 keep[x] |= len(others) > 0
             n = int(keep.sum())
@@ -355,7 +356,8 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             blocks = F.greatest(F.ceil(F.col("weight") / BUCKET_BLOCK), F.lit(1)).cast("int")
             rows = left.select("band", "at", "key", "c", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
             rows = rows.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "at", "key", "c", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") <= F.col("x")).alias("own"))
-            near = corpus.by_block(rows, sketches, "sketch").mapInArrow(_bucket_members(similarity), "band long, at int, i int, j int, key long, c long, own boolean")
+            marks = sketches.select("key", F.struct("bands", "sketch").alias("marks"))
+            near = corpus.by_block(rows, marks, "marks").mapInArrow(_bucket_members(similarity), "band long, at int, i int, j int, key long, c long, own boolean")
             near = corpus.by_block(stored(near, "near"), corpus.docs, "text")
             more = stored(near.mapInArrow(_bucket_links(similarity), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
         if not more.isEmpty():

@@ -158,3 +158,19 @@ def test_signature_bits_do_not_depend_on_company():
         texts = [*own, *[text(200) for _ in range(fill // 200)]]
         together = bag_signatures(*shingle_counts(texts), len(texts))
         assert all((a.view(np.uint64) == b.view(np.uint64)).all() for a, b in zip(alone, together, strict=False))
+
+
+def test_minhash_first_shared_band_is_of_full_keys():
+    """Sketches that agree by chance in an earlier band, whose keys differ, don't take a pair out of its real bucket."""
+    import pyarrow as pa
+
+    from panelwright.llm.minhash_dedup import BANDS, REGISTERS, _bucket_members
+
+    def members(at):
+        sketches = [bytes(REGISTERS)] * 2
+        bands = [list(range(BANDS)), [99, *range(1, BANDS)]]
+        marks = pa.StructArray.from_arrays([pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["bands", "sketch"])
+        columns = {"band": pa.array([7, 7]), "at": pa.array([at, at]), "i": pa.array([0, 0]), "j": pa.array([0, 0]), "key": pa.array([1, 2]), "c": pa.array([1, 2]), "own": pa.array([True, True]), "sketch": pa.array(sketches, pa.binary()), "marks": marks}
+        return [k for out in _bucket_members(0.8)(iter([pa.RecordBatch.from_pydict(columns)])) for k in out.column("key").to_pylist()]
+
+    assert members(1) == [1, 2] and members(2) == []
