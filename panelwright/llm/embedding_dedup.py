@@ -4,8 +4,9 @@ In each pass the vectors are put in the lexicographic order of a concatenation o
 of equal length, and each block is compared with itself and the next; similar vectors share long prefixes in some
 pass and so meet in a window. Verified pairs of all passes are put together.
 
-Runs of blocks that are nearly all linked with their successor hold groups wider than the window: there all
-pairs of blocks of the run are compared as well, block by block, so a group of any size keeps its links.
+The number of passes counts on vectors that share their first log2(n / block) hashes to meet. Where more than a window
+of them do, as in a cluster with a large share of the rows, all pairs of blocks that hold them are compared as well,
+block by block; so are those of runs of blocks that are linked densely with their successor.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ def passes_needed(n: int, threshold: float, miss: float, block: int = BLOCK) ->
     return max(1, math.ceil(math.log(miss) / math.log(1 - agree)))
 
 
+def prefix_bits(n: int, block: int = BLOCK) -> int:
+    """The hashes which ``passes_needed`` counts on, rounded down: vectors that agree in them are all compared."""
+    return min(HASH_BITS, max(0, math.floor(math.log2(max(1, n) / block))))
+
+
 def _keys(passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -77,7 +83,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = (int(p[i]), int(d[i]))
             at[i : i + n] += seen.get(k, 0)
             seen[k] = seen.get(k, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), part, np.int32)), batch.column("pass"), batch.column("dim"), pa.array(at), batch.column("id")], names=["part", "pass", "dim", "at", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), part, np.int32)), batch.column("pass"), batch.column("dim"), pa.array(at), batch.column("prefix"), batch.column("id")], names=["part", "pass", "dim", "at", "prefix", "id"])
 
 
 _PAIRS = "pass int, dim int, i long, a long, b long"
@@ -136,12 +142,13 @@ def _pairs_of(unit: DataFrame, threshold: float, miss: float, seed: int = 7) ->
     passes = passes_needed(n, threshold, miss)
     codes = unit.mapInArrow(_keys(passes, seed), "pass int, dim int, code long, id long")
     ordered = codes.repartitionByRange(shuffle_partitions(spark), "pass", "dim", "code", "id").sortWithinPartitions("pass", "dim", "code", "id")
-    placed = stored(ordered.mapInArrow(_number, "part int, pass int, dim int, at long, id long"), "order")
+    ordered = ordered.select("pass", "dim", F.shiftright("code", HASH_BITS - prefix_bits(n)).alias("prefix"), "id")
+    placed = stored(ordered.mapInArrow(_number, "part int, pass int, dim int, at long, prefix long, id long"), "order")
     sizes = placed.groupBy("pass", "dim", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("pass", "dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # a row for each part and pass at most
     base = F.broadcast(sizes.select("pass", "dim", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    ranked = placed.join(base, ["pass", "dim", "part"]).select("pass", "dim", "id", F.floor((F.col("base") + F.col("at")) / BLOCK).cast("long").alias("block"))
+    ranked = placed.join(base, ["pass", "dim", "part"]).select("pass", "dim", "prefix", "id", F.floor((F.col("base") + F.col("at")) / BLOCK).cast("long").alias("block"))
     ranked = stored(ranked, "blocks")
     ends = F.array(F.struct(F.col("block").alias("i"), F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("i"), F.lit(False).alias("own")))
     dealt = ranked.select("pass", "dim", "id", F.inline(ends)).where("i >= 0").join(unit.select("id", "v"), "id")
@@ -149,8 +156,10 @@ def _pairs_of(unit: DataFrame, threshold: float, miss: float, seed: int = 7) ->
     pairs = found.where("a is not null").select("a", "b")
     marks = found.where("a is null").select("pass", "dim", "i")
     runs = marks.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("pass", "dim").orderBy("i"))).groupBy("pass", "dim", "run").agg(F.min("i").alias("s"), (F.max("i") + 1).alias("e")).where("e - s >= 2")
-    if not runs.isEmpty():
-        meets = runs.select("pass", "dim", "s", "e", F.explode(F.expr("sequence(s, e - 2)")).alias("x")).select("pass", "dim", "x", F.explode(F.expr("sequence(x + 2, e)")).alias("y"))
+    hot = ranked.groupBy("pass", "dim", "prefix").agg(F.min("block").alias("s"), F.max("block").alias("e")).where("e - s >= 2")
+    spans = stored(runs.select("pass", "dim", "s", "e").union(hot.select("pass", "dim", "s", "e")), "spans")
+    if not spans.isEmpty():
+        meets = spans.select("pass", "dim", "s", "e", F.explode(F.expr("sequence(s, e - 2)")).alias("x")).select("pass", "dim", "x", F.explode(F.expr("sequence(x + 2, e)")).alias("y")).distinct()
         meets = meets.withColumn("i", F.col("x") * (1 << 31) + F.col("y"))
         left = meets.select("pass", "dim", F.col("x").alias("block"), "i", F.lit(True).alias("own"))
         right = meets.select("pass", "dim", F.col("y").alias("block"), "i", F.lit(False).alias("own"))

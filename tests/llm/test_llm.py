@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 
 from panelwright.llm.chat_format import rotate_perspectives
-from panelwright.llm.embedding_dedup import embedding_dedup
+from panelwright.llm.embedding_dedup import embedding_dedup, similar_pairs
 from panelwright.llm.line_dedup import line_dedup
 from panelwright.llm.media import document_media, parse_parts
 from panelwright.llm.minhash_dedup import bag_signatures, minhash_dedup, shingle_counts
@@ -174,3 +174,23 @@ def test_minhash_first_shared_band_is_of_full_keys():
         return [k for out in _bucket_members(0.8)(iter([pa.RecordBatch.from_pydict(columns)])) for k in out.column("key").to_pylist()]
 
     assert members(1) == [1, 2] and members(2) == []
+
+
+def test_embedding_cluster_of_a_third(spark):
+    """One cluster with a third of the rows, of cosines around 0.86: linked, but too sparsely for the dense runs."""
+    r = np.random.default_rng(11)
+    n, dim = 15_000, 64
+    x = r.standard_normal((n, dim))
+    centre = r.standard_normal(dim)
+    x[: n // 3] = centre / np.linalg.norm(centre) + x[: n // 3] * (0.16 / dim) ** 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = x[: n // 3] @ x[: n // 3].T
+    assert 0.85 < cos.mean() < 0.87
+    want = {(a, b) for a, b in np.argwhere(np.triu(cos >= 0.9, 1)).tolist()}
+    ids = r.permutation(n)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    back = np.argsort(ids)
+    got = {tuple(sorted((int(back[p.a]), int(back[p.b])))) for p in similar_pairs(rows, threshold=0.9).collect()}
+    missed = len(want - got) / len(want)
+    print(f"{len(want)} links, recall {1 - missed:.4f}")
+    assert missed <= 0.01
