@@ -297,6 +297,15 @@ def text_phrases(s: SparkSession, d: str) -> DataFrame:
     return text_scan.scan_phrases(table(s, d, "documents"), "doc_id", "text", ["license", "rights reserved", "password"], "(no|not|never) ")
 
 
+_NEGATED = " OR ".join("contains(low, '" + n.replace("'", "''") + "')" for n in text_scan.NEGATIONS)
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, regexp_split_to_array(text, '{text_scan.LINE_ENDS}') AS ls FROM documents)), p AS (SELECT *, ' ' || lower(line) || ' ' AS low, unnest(['license', 'rights reserved', 'password']) AS phrase FROM l) SELECT doc_id, CAST(n AS INTEGER) AS line_number, phrase, substr(line, 1, 240) AS evidence, CASE WHEN {_NEGATED} THEN 'ALLOWED' ELSE 'UNRESOLVED' END AS status FROM p WHERE contains(low, phrase)")
+def text_phrase_lines(s: SparkSession, d: str) -> DataFrame:
+    """Every line with a phrase, judged by itself; ``text_phrases`` has the first occurrence in each document only."""
+    return text_scan.scan_phrase_lines(table(s, d, "documents"), "doc_id", "text", ["license", "rights reserved", "password"])
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS parsed, CASE WHEN c_custkey % 7 = 0 THEN 'MISSING_ID' WHEN c_custkey % 5 = 0 THEN 'BAD_DATE' ELSE 'VALID' END AS parse_status FROM customer")
 def typed_parse(s: SparkSession, d: str) -> DataFrame:
     raw = table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, " n/a ").otherwise(F.concat(F.lit("  "), F.col("c_custkey").cast("string"))).alias("id"), F.when(F.col("c_custkey") % 5 == 0, "13/45/2020").otherwise("3/1/2024").alias("day"))

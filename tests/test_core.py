@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import columns as C
-from panelwright.operators import events, features, metrics, models, ranking
+from panelwright.operators import events, features, metrics, models, ranking, text_scan
 
 
 def test_parsing(spark):
@@ -69,3 +69,9 @@ def test_fitted_model(spark):
     drivers = models.local_drivers(fitted, df, ["k"], ["a", "b"], 1).where("k = 9").first()
     assert drivers.feature == "a" and drivers.score_delta > 0 and drivers.reference == fitted.medians["a"]
     assert models.platt(scored, scored).where("calibrated is null").count() == 0
+
+
+def test_each_line_of_a_phrase_is_judged(spark):
+    docs = spark.createDataFrame([(1, "This is not a PASSWORD\nplain\r\npassword and license here"), (2, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in text_scan.scan_phrase_lines(docs, "doc_id", "text", ["license", "password"]).select("line_number", "phrase", "status").collect())
+    assert got == [(1, "password", "ALLOWED"), (3, "license", "UNRESOLVED"), (3, "password", "UNRESOLVED")]
