@@ -246,7 +246,7 @@ def preprocess_audit(s: SparkSession, d: str) -> DataFrame:
 @query()
 def model_cross_validation(s: SparkSession, d: str) -> DataFrame:
     """Average precision and AUC of each candidate in each expanding fold (no SQL: fitted models)."""
-    return models.cross_validate(_model_rows(s, d).cache(), _FEATURES, FOLDS[1:])
+    return models.cross_validate(_model_rows(s, d).cache(), _FEATURES, FOLDS)
 
 
 def _train(s: SparkSession, d: str) -> tuple[DataFrame, models.Fitted]:

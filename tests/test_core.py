@@ -75,3 +75,13 @@ def test_each_line_of_a_phrase_is_judged(spark):
     docs = spark.createDataFrame([(1, "This is not a PASSWORD\nplain\r\npassword and license here"), (2, None)], "doc_id long, text string")
     got = sorted(tuple(r) for r in text_scan.scan_phrase_lines(docs, "doc_id", "text", ["license", "password"]).select("line_number", "phrase", "status").collect())
     assert got == [(1, "password", "ALLOWED"), (3, "license", "UNRESOLVED"), (3, "password", "UNRESOLVED")]
+
+
+def test_all_folds_are_validated(monkeypatch):
+    from panelwright.plans import reports
+
+    folds = []
+    monkeypatch.setattr(reports, "_model_rows", lambda s, d: type("Rows", (), {"cache": lambda self: self})())
+    monkeypatch.setattr(reports.models, "cross_validate", lambda rows, columns, given: folds.extend(given))
+    reports.model_cross_validation(None, "")
+    assert tuple(folds) == reports.FOLDS
