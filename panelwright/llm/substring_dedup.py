@@ -12,6 +12,7 @@ are dealt singly by their first and last words as well, which spreads the many e
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,11 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.scratch import NO_KEY, shuffle_partitions
+from panelwright.llm.scratch import NO_KEY, frugal, shuffle_partitions
 from panelwright.llm.textnum import Words, mix, pieces, rows_of, sliding_min
 
 FLUSH_BYTES = 16_000_000
-_SPANS = pa.schema([("key", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+BUCKET_BYTES = 16_000_000  # of text, in the mean: what one task holds at a time
+_SPANS = pa.schema([(c, pa.int64()) for c in ("key", "row", "s", "e")])
 _SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 
 
@@ -70,31 +72,37 @@ def _count_minimisers(k: int, m: int, key: str, text: str):
                 often = n >= 2
                 values = np.concatenate([least[often].view(np.int64), [0]])
                 total = np.concatenate([np.zeros(often.sum(), bool), [True]])
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(total), pa.array(np.concatenate([n[often], [len(one)]]))], names=["value", "total", "n"])
+                size = np.concatenate([np.zeros(often.sum(), np.int64), [len(words.bytes)]])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(total), pa.array(np.concatenate([n[often], [len(one)]])), pa.array(size)], names=["value", "total", "n", "size"])
 
     return run
 
 
+def _identified(batch: pa.RecordBatch, key: str, text: str) -> Iterator[tuple[tuple[int, int], bytes]]:
+    for (i, t), row in zip(rows_of(batch, key, text), batch.column("row").to_pylist(), strict=True):
+        yield (i, row), t
+
+
 def _send(k: int, m: int, key: str, text: str, buckets: int, hot_values: list[int]):
     hot = np.array(hot_values, np.int64).view(np.uint64)
 
     def flush(held: dict[int, dict[bytes, list]], turn: int) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        settled: list[tuple[int, int, int]] = []
+        settled: list[tuple[int, int, int, int]] = []
         out: list[tuple[int, int, bytes]] = []
         for bucket, strings in held.items():
             names = sorted(strings)
             twice = np.zeros(len(names), np.uint8)
-            keys, offs = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            places_of = np.zeros((3, len(names)), np.int64)  # key, row, first word
             for i, s in enumerate(names):
                 places = strings[s]
                 if len(places) > 1:
                     twice[i] = 1
                     n = s.count(b" ") + 1
-                    settled.extend((d, o, o + n) for d, o in places)
+                    settled.extend((d, r, o, o + n) for d, r, o in places)
                 else:
-                    keys[i], offs[i] = places[0]
-            body = struct.pack("<q", len(names)) + twice.tobytes() + keys.tobytes() + offs.tobytes() + b"\n".join(names)
+                    places_of[:, i] = places[0]
+            body = struct.pack("<q", len(names)) + twice.tobytes() + places_of.tobytes() + b"\n".join(names)
             out.append((bucket, 0, pack.compress(body)))
         for i in range(0, len(settled), 50_000):
             out.append(((turn * 7919 + i // 50_000) % buckets, 1, pack.compress(np.array(settled[i : i + 50_000], np.int64).tobytes())))
@@ -110,7 +118,7 @@ def _send(k: int, m: int, key: str, text: str, buckets: int, hot_values: list[in
         held: dict[int, dict[bytes, list]] = defaultdict(dict)
         size = 0
         for batch in batches:
-            for keys, texts in pieces(rows_of(batch, key, text)):
+            for keys, texts in pieces(_identified(batch, key, text)):
                 words = Words(texts)
                 a, b, _, deal = _runs(words, k, m, hot)
                 if not len(a):
@@ -124,10 +132,10 @@ def _send(k: int, m: int, key: str, text: str, buckets: int, hot_values: list[in
                     s = data[x:y]
                     places = held[t].get(s)
                     if places is None:
-                        held[t][s] = [(keys[d], o)]
+                        held[t][s] = [(*keys[d], o)]
                         size += y - x + 200
                     else:
-                        places.append((keys[d], o))
+                        places.append((*keys[d], o))
                         size += 80
                 if size > FLUSH_BYTES:
                     yield from flush(held, turn)
@@ -164,17 +172,16 @@ def _repeated(data: bytes, lo: np.ndarray, hi: np.ndarray, grams: np.ndarray, ti
 
 
 def _count_bucket(parts: list[bytes], k: int) -> np.ndarray:
-    """(key, first word, end word) spans of the repeated windows of one bucket."""
+    """(key, row, first word, end word) spans of the repeated windows of one bucket."""
     where: dict[bytes, int] = {}
     times: list[int] = []
-    owner, keys, offs = [], [], []
+    owner, places = [], []
     for body in parts:
         n = struct.unpack_from("<q", body)[0]
         twice = np.frombuffer(body, np.uint8, n, 8)
-        key = np.frombuffer(body, np.int64, n, 8 + n)
-        off = np.frombuffer(body, np.int64, n, 8 + 9 * n)
+        place = np.frombuffer(body, np.int64, 3 * n, 8 + n).reshape(3, n)
         ids = np.empty(n, np.int64)
-        for i, s in enumerate(body[8 + 17 * n :].split(b"\n") if n else []):
+        for i, s in enumerate(body[8 + 25 * n :].split(b"\n") if n else []):
             j = where.setdefault(s, len(times))
             if j == len(times):
                 times.append(0)
@@ -182,12 +189,11 @@ def _count_bucket(parts: list[bytes], k: int) -> np.ndarray:
             ids[i] = j
         single = twice == 0
         owner.append(ids[single])
-        keys.append(key[single])
-        offs.append(off[single])
+        places.append(place[:, single])
     if not times:
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     strings = list(where)
-    spans: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+    spans: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
     words = Words(strings)
     grams, inside = words.grams(k)
     at = np.flatnonzero(inside)
@@ -202,18 +208,18 @@ def _count_bucket(parts: list[bytes], k: int) -> np.ndarray:
         s, e = hit[begin] - words.first[run_doc], hit[last] + k - words.first[run_doc]
         first_run = np.searchsorted(run_doc, np.arange(len(strings)))
         n_runs = np.bincount(run_doc, minlength=len(strings))
-        own, key, off = np.concatenate(owner), np.concatenate(keys), np.concatenate(offs)
+        own, (key, version, off) = np.concatenate(owner), np.concatenate(places, axis=1)
         n = n_runs[own]
         row = np.repeat(np.arange(len(own)), n)
         run = first_run[own][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        spans.append(np.stack([key[row], off[row] + s[run], off[row] + e[run]], 1))
+        spans.append(np.stack([key[row], version[row], off[row] + s[run], off[row] + e[run]], 1))
     return np.concatenate(spans)
 
 
 def _receive(k: int):
     def batch_of(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(x), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + 100_000, c])) for c in range(3)], schema=_SPANS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + 100_000, c])) for c in range(4)], schema=_SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -222,7 +228,7 @@ def _receive(k: int):
             for bucket, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 body = unpack.decompress(payload)
                 if kind == 1:
-                    yield from batch_of(np.frombuffer(body, np.int64).reshape(-1, 3))
+                    yield from batch_of(np.frombuffer(body, np.int64).reshape(-1, 4))
                     continue
                 if bucket != now:
                     yield from batch_of(_count_bucket(parts, k))
@@ -233,26 +239,31 @@ def _receive(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 35, m: int = 5) -> DataFrame:
-    """(key, s, e): word spans covered by windows of ``k`` words that start more than once in the table.
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, text): ``row`` tells apart the texts of one key, and of the rows without a key."""
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
+    return texts.select("key", F.xxhash64("text").alias("row"), "text")
+
+
+def repeated_spans(rows: DataFrame, k: int = 35, m: int = 5) -> DataFrame:
+    """(key, row, s, e): word spans of the rows (key, row, text) covered by windows of ``k`` words that start more than once.
 
-    Null and empty texts, and texts under ``k`` words, have no window. ``key`` is a long. Rows without a key count as
-    places of a window, but have no spans here; a repeated row is another place of each of its windows.
+    Null and empty texts, and texts under ``k`` words, have no window. A repeated row is another place of each of its
+    windows. The number of buckets follows the bytes of all texts, so a bucket's size doesn't.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
-    buckets = 8 * shuffle_partitions(spark)
-    counts = docs.mapInArrow(_count_minimisers(k, m, "key", "text"), "value long, total boolean, n long")
-    counts = counts.groupBy("total", "value").agg(F.sum("n").alias("n")).persist()
+    spark = rows.sparkSession
+    counts = rows.mapInArrow(frugal(_count_minimisers(k, m, "key", "text")), "value long, total boolean, n long, size long")
+    counts = counts.groupBy("total", "value").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).persist()
     try:
-        total = counts.where("total").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        total, size = counts.where("total").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        buckets = max(8 * shuffle_partitions(spark), math.ceil(size / BUCKET_BYTES))
         # at most 2 * buckets values can hold half a bucket's share or more
         hot = [r.value for r in counts.where(~F.col("total") & (F.col("n") * 2 * buckets >= total) & (F.col("n") >= 64)).select("value").collect()]
     finally:
         counts.unpersist()
-    sent = docs.mapInArrow(_send(k, m, "key", "text", buckets, hot), "bucket int, kind tinyint, payload binary")
+    sent = rows.mapInArrow(frugal(_send(k, m, "key", "text", buckets, hot)), "bucket int, kind tinyint, payload binary")
     dealt = sent.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_receive(k), "key long, s long, e long").where(F.col("key") != NO_KEY)
+    return dealt.mapInArrow(frugal(_receive(k)), "key long, row long, s long, e long")
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +293,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Returns (key, n_words, n_removed, kept_sha256, kept_text), one row per row of ``docs``. Windows are judged on
     the input; all copies of a repeated window go, the first too. Null text counts as empty: no words, the
-    digest of the empty string. A row without a key keeps all its words, a repeated row makes all its windows repeated;
-    rows of one key with different texts aren't supported. Other columns of ``docs`` are ignored, an empty table
-    gives an empty one.
+    digest of the empty string. Every row is judged by its own text, with or without a key, and also where rows of one key have
+    different texts; a repeated row makes all its windows repeated. Long texts are cut into windows where they lie. Other
+    columns of ``docs`` aren't read, so their names may clash with any here; an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, key, text, k, m).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    kept = texts.join(spans, "key", "left").select("key", "text", "spans").mapInArrow(_keep, "key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return kept.withColumnRenamed("key", key)
+    texts = _rows(docs, key, text)
+    spans = repeated_spans(texts, k, m).groupBy("key", "row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    kept = texts.join(spans, ["key", "row"], "left").select("key", "text", "spans").mapInArrow(frugal(_keep), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return kept.select(F.nullif(F.col("key"), F.lit(NO_KEY)).alias(key), "n_words", "n_removed", "kept_sha256", "kept_text")

@@ -62,7 +62,19 @@ def test_minhash_decisions(docs):
 
 def test_substring_decisions(docs):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(docs).collect()}
-    assert got == {(1, 50, 50), (2, 50, 50), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 60_000, 0), (None, 50, 0), (None, 0, 0), (None, 4, 0)}
+    assert got == {(1, 50, 50), (2, 50, 50), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 60_000, 0), (None, 50, 50), (None, 0, 0), (None, 4, 0)}
+
+
+def test_rows_of_one_key_with_different_texts(spark):
+    """Each row is judged by its own text: spans and line positions of one text never touch the other."""
+    long, short = PASSAGE + " " + " ".join(f"t{i}" for i in range(40)), "only these few words"
+    rows = [(1, long), (1, short), (2, "q " + PASSAGE), (None, "r " + PASSAGE), (None, short)]
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 90, 50), (1, 4, 0), (2, 51, 50), (None, 51, 50), (None, 4, 0)}
+    shared = "a line that is shared"
+    rows = [(2, f"x\ny\n{shared}"), (2, "one line here"), (1, shared), (None, shared)]
+    got = {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 3, 1, "x\ny"), (2, 1, 0, "one line here"), (1, 1, 0, shared), (None, 1, 0, shared)}
 
 
 def test_line_decisions(docs):
