@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import connected_components
-from panelwright.llm.scratch import shuffle_partitions, stored
+from panelwright.llm.scratch import frugal, join_spread, shuffle_partitions, stored
 from panelwright.llm.textnum import Words, mix, pieces, rows_of
 
 SHINGLE = 5
@@ -282,7 +282,7 @@ class _Corpus:
         """
         s = self.sketches
         near = pairs.join(s.select(F.col("key").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a").join(s.select(F.col("key").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
-        near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_likely(self.similarity), "a long, b long"), "near")
+        near = stored(near.select("a", "b", "sa", "sb").mapInArrow(frugal(_likely(self.similarity)), "a long, b long"), "near")
         return self.confirmed(near)
 
     def confirmed(self, near: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ class _Corpus:
         leaders = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("key"))
         texts = self.docs.join(members.unionByName(leaders).hint("merge"), "key").select("a", "salt", "b", "text")
         runs = texts.repartition(shuffle_partitions(self.docs.sparkSession), "a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
-        return stored(runs.mapInArrow(_verify(self.similarity), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
+        return stored(runs.mapInArrow(frugal(_verify(self.similarity)), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
 
     def by_block(self, rows: DataFrame, of: DataFrame, value: str) -> DataFrame:
         """``rows`` with the ``value`` of their key, those of a block pair together."""
@@ -324,12 +324,13 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     sketched = docs.withColumn("digest", F.unhex(F.md5("text")))
-    sketches = docs.mapInArrow(_sketch, "key long, bands array<long>, sketch binary, size long")
+    sketches = docs.mapInArrow(frugal(_sketch), "key long, bands array<long>, sketch binary, size long")
     # the digest rides along natively: one row per key on both sides
     sketches = stored(sketches, "sketches")
     digests = stored(sketched.select("key", "digest"), "digests")
-    firsts = digests.where("digest is not null").groupBy("digest").agg(F.min("key").alias("rep"))
-    member = stored(digests.join(firsts.hint("merge"), "digest").select("key", "rep"), "members")
+    digests = digests.where("digest is not null")
+    firsts = stored(digests.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "firsts")
+    member = stored(join_spread(digests, firsts, "digest", "n").select("key", "rep"), "members")
     reps = member.where("key = rep").select("key")
     sketches = stored(sketches.join(reps, "key", "left_semi").where("size(bands) > 0").dropDuplicates(["key"]), "sketches")
     corpus = _Corpus(docs, sketches.select("key", "sketch"), similarity)
@@ -357,9 +358,9 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             rows = left.select("band", "at", "key", "c", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
             rows = rows.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "at", "key", "c", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), (F.col("block") <= F.col("x")).alias("own"))
             marks = sketches.select("key", F.struct("bands", "sketch").alias("marks"))
-            near = corpus.by_block(rows, marks, "marks").mapInArrow(_bucket_members(similarity), "band long, at int, i int, j int, key long, c long, own boolean")
+            near = corpus.by_block(rows, marks, "marks").mapInArrow(frugal(_bucket_members(similarity)), "band long, at int, i int, j int, key long, c long, own boolean")
             near = corpus.by_block(stored(near, "near"), corpus.docs, "text")
-            more = stored(near.mapInArrow(_bucket_links(similarity), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
+            more = stored(near.mapInArrow(frugal(_bucket_links(similarity)), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "links")
         if not more.isEmpty():
             links = stored(links.unionByName(more), "links")
             classes = stored(connected_components(links), "classes")

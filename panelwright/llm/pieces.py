@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.scratch import frugal
 from panelwright.llm.textnum import pieces, rows_of
 from panelwright.llm.word_memo import WordMemo
 
@@ -45,7 +46,7 @@ class Vocabulary:
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.widest = max(map(len, self.ids))
-        self.raw = [b"" if sp.is_control(i) or sp.is_unknown(i) else self.names[i].replace(MARK, " ").encode() for i in range(n)]
+        self.raw = [b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else self.names[i].replace(MARK, " ").encode() for i in range(n)]
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
@@ -114,7 +115,7 @@ class MergeStates:
                 before, a = ra, parts[a][1]
             else:  # a merge across of the same rank stands further left, so it would come first
                 before, b = rb + 0.5, parts[b][0]
-        if len(self.seams) > 1_000_000:
+        if len(self.seams) > 150_000:
             self.seams.clear()
         self.seams[left, right] = holds
         return holds
@@ -145,7 +146,11 @@ class MergeStates:
 
 
 class ScoreStates:
-    """Forward states of a unigram model: best score and last piece of each prefix."""
+    """Forward states of a unigram model: best score and last piece of each prefix.
+
+    Of paths with equal scores the library takes the one that single-precision sums from the text's beginning favour, which no
+    word can tell by itself; here the one with the longest last piece stays.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.score = {p: -r for p, r in vocab.rank.items()}
@@ -164,10 +169,12 @@ class ScoreStates:
                 same += 1
             del best[same + 1 :], last[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                top, at = best[i - 1] + self.score.get(word[i - 1], self.unknown), i - 1
-                for j in range(max(0, i - self.widest), i - 1):
+                top, at = None, i - 1
+                for j in range(max(0, i - self.widest), i):  # of equal paths the one with the longest last piece stays
                     score = self.score.get(word[j:i])
-                    if score is not None and best[j] + score > top:
+                    if score is None and j == i - 1:
+                        score = self.unknown
+                    if score is not None and (top is None or best[j] + score > top):
                         top, at = best[j] + score, j
                 best.append(top)
                 last.append(at)
@@ -208,6 +215,18 @@ class MarkedWords(WordMemo):
             return key.decode()
         return key if key == "\n" else key[1:] if key[:1] == "\x01" else MARK + key
 
+    def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As of the base class; without byte pieces a run of unknown characters is one unknown id, as in the library."""
+        ids, n = super().encode(texts, end)
+        if self.vocab.bytes or not len(ids):
+            return ids, n
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == self.vocab.unknown) & (ids[:-1] == self.vocab.unknown)
+        stop = np.cumsum(n)
+        again[(stop - n)[n > 0]] = False  # a run ends with its text
+        dropped = np.concatenate([[0], np.cumsum(again)])
+        return ids[~again], n - (dropped[stop] - dropped[stop - n])
+
     def encode_new(self, words: list) -> list[list[int]]:
         marked = [self._marked(w) for w in words]
         order = sorted(range(len(words)), key=marked.__getitem__)
@@ -227,9 +246,11 @@ def marked_words(path: str, model: str) -> MarkedWords:
 def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", model: str = "bpe") -> DataFrame:
     """(key, n_tokens, ids, ids_crc32, decoded_sha256, round_trip): every text as ids, and what they decode to.
 
-    One row per row of ``docs``, repeated rows repeated. Null and empty texts have no ids. ``round_trip`` tells whether
-    the decoded text is the text; it is false only for texts that hold the mark character itself or, with a
-    vocabulary without byte pieces, unknown characters. ``ids_crc32`` is over little-endian 32-bit ids.
+    One row per row of ``docs``, repeated rows repeated, rows without a key too. Null and empty texts have no ids; an empty
+    table gives an empty one. ``round_trip`` tells whether the decoded text is the text; it is false only for texts that
+    hold the mark character itself or, with a vocabulary without byte pieces, unknown characters. ``ids_crc32`` is over
+    little-endian 32-bit ids. Texts are encoded in pieces of about a MB, a longer one by itself. Columns of ``docs`` other
+    than key and text aren't read, so their names may clash with any here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +273,19 @@ def encode_pieces(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), arrays, pa.array(crc, pa.int64()), pa.array(digest), pa.array(same)], names=["key", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "key long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    out = rows.mapInArrow(frugal(run), "key long, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
     return out.withColumnRenamed("key", key)
 
 
 def decode_pieces(tokens: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, text) of encoded rows; null ids give a null text, bytes that aren't UTF-8 the replacement character."""
+    """(key, text) of encoded rows, in any order of rows and with other columns unread.
+
+    Null ids give a null text, no ids an empty one, bytes that aren't UTF-8 the replacement character.
+    """
 
     @F.pandas_udf("string")
     def text(rows):
         vocab = vocabulary(model_path)
-        return rows.map(lambda x: None if x is None else vocab.decode(list(x)).decode(errors="replace"))
+        return rows.map(lambda x: None if x is None else vocab.decode(list(x)).decode(errors="replace")).astype(object)
 
     return tokens.select(F.col(key), text(F.col(ids)).alias("text"))

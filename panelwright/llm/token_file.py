@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.scratch import NO_KEY, scratch_path, shuffle_partitions
+from panelwright.llm.scratch import NO_KEY, frugal, scratch_path, shuffle_partitions
 from panelwright.llm.textnum import pieces, rows_of
 from panelwright.llm.word_memo import library_words
 
@@ -120,7 +120,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end: int | None
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
     ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(frugal(run), BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def read_token_file(spark, path: str, key: str = "doc_id") -> DataFrame:
 
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    docs = blocks.mapInArrow(_read, "part int, key long, local long, n_tokens long, ids_crc32 long")
+    docs = blocks.mapInArrow(frugal(_read), "part int, key long, local long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(base), "part").select(F.nullif(F.col("key"), F.lit(NO_KEY)).alias(key), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -154,6 +154,8 @@ def token_file(docs: DataFrame, tokenizer: str, end: int | None = 2, key: str =
 
     A null text is empty and has the end id alone; without one it has no ids and keeps its row. Rows with one key
     follow each other in the order of their texts, those without a key come first. An empty table gives an empty index.
+    Texts are encoded in pieces of about a MB, a longer one by itself, and a text's ids are never split. Columns of ``docs``
+    other than key and text aren't read, so their names may clash with any here.
     """
     path = scratch_path(docs.sparkSession, "tokens")
     write_token_file(docs, path, tokenizer, end, key, text)

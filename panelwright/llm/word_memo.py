@@ -25,10 +25,11 @@ class _Codes(dict):
 class WordMemo:
     """Ids of texts from the ids of their words. Subclasses say how texts split and how new words are encoded.
 
-    ``limit`` bounds the words remembered; past it the memory is started anew.
+    ``limit`` bounds the bytes that the remembered words take, by a rough count; past it the memory is started anew.
     """
 
-    limit = 2_000_000
+    limit = 48_000_000
+    per_word = 150  # a word's entry beside its characters and ids
 
     def __init__(self) -> None:
         self._reset()
@@ -40,6 +41,7 @@ class WordMemo:
         raise NotImplementedError
 
     def _reset(self) -> None:
+        self.held = 0
         self.codes = _Codes()
         self.flat = np.zeros(1 << 16, np.int32)
         self.bounds = np.zeros(1 << 16, np.int64)
@@ -57,12 +59,13 @@ class WordMemo:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         self.flat[used:total] = np.fromiter((i for ids in got for i in ids), np.int32, total - used)
         self.bounds[n + 1 : n + 1 + len(new)] = used + np.cumsum(lengths)
+        self.held += self.per_word * len(new) + sum(map(len, new)) + 4 * int(lengths.sum())
         new.clear()
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text), ``end`` appended to each where given."""
         words = [self.split(t) for t in texts]
-        if len(self.codes) > self.limit:
+        if self.held > self.limit:
             self._reset()
         counts = np.fromiter(map(len, words), np.int64, len(words))
         code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))

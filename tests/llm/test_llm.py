@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from panelwright.llm.chat_format import rotate_perspectives
 from panelwright.llm.embedding_dedup import embedding_dedup, similar_pairs
@@ -12,7 +13,7 @@ from panelwright.llm.line_dedup import line_dedup
 from panelwright.llm.media import document_media, parse_parts
 from panelwright.llm.minhash_dedup import bag_signatures, minhash_dedup, shingle_counts
 from panelwright.llm.mixing import mix_sources
-from panelwright.llm.pieces import MarkedWords
+from panelwright.llm.pieces import MarkedWords, decode_pieces, encode_pieces
 from panelwright.llm.substring_dedup import substring_dedup
 from panelwright.llm.token_file import decode_words, encode_words, token_file
 
@@ -194,3 +195,88 @@ def test_embedding_cluster_of_a_third(spark):
     missed = len(want - got) / len(want)
     print(f"{len(want)} links, recall {1 - missed:.4f}")
     assert missed <= 0.01
+
+
+def model_file(path, pieces, kind):
+    """A SentencePiece model written by hand: no tokenizer is trained. ``kind``: 1 unigram, 2 merges."""
+
+    def field(n, wire, body):
+        return bytes([n << 3 | wire]) + body
+
+    def sized(n, body):
+        return field(n, 2, size(len(body)) + body)
+
+    def size(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + size(n >> 7)
+
+    out = sized(1, sized(1, b"<unk>") + field(2, 5, np.float32(0).tobytes()) + field(3, 0, b"\x02"))
+    for piece, score in pieces:
+        out += sized(1, sized(1, piece.encode()) + field(2, 5, np.float32(score).tobytes()))
+    out += sized(2, field(3, 0, bytes([kind])) + field(4, 0, size(len(pieces) + 1)))
+    out += sized(3, sized(1, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", (1, 2))
+def test_pieces_without_byte_pieces_equal_library(tmp_path, kind):
+    """Scores (unigram) and merges, unknown characters and runs of them, against the library."""
+    r = random.Random(kind)
+    letters = "▁abcde"
+    known = list(letters)
+    while len(known) < 106:  # as merges make them: each piece of two earlier ones
+        piece = r.choice(known) + r.choice([x for x in known if x[0] != "▁"])
+        if piece not in known:
+            known.append(piece)
+    longer = known[len(letters) :]
+    # distinct scores, so that no two paths tie; of a merge model the scores are the order of the merges
+    scores = [(-1.0 - 7.3 * r.random()) * 1.0 if kind == 1 else -float(i) for i in range(len(longer) + len(letters))]
+    path = model_file(tmp_path / "m.model", list(zip([*letters, *longer], scores, strict=True)), kind)
+    sp, memo = sentencepiece.SentencePieceProcessor(model_file=path), MarkedWords(path, {1: "unigram", 2: "bpe"}[kind])
+    texts = ["", "xx", "axxa x", "\nxx\nx a"] + ["".join(r.choice("aabbccdde  xz\n") for _ in range(r.randrange(40))) for _ in range(400)]
+    ids, n = memo.encode([t.encode() for t in texts])
+    got, want = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])], sp.encode(texts)
+    if kind == 1:  # "aa" + "a" and "a" + "aa" tie
+        assert sum(x != y for x, y in zip(got, want, strict=True)) < 20
+        total = lambda x: (sum(sp.get_score(i) for i in x), x.count(0))
+        assert all(total(x) == pytest.approx(total(y), abs=1e-4) for x, y in zip(got, want, strict=True))
+    else:
+        assert got == want
+    assert [memo.vocab.decode(x).decode() for x in want] == [sp.decode(x) for x in want]
+
+
+def test_decoding(spark):
+    path = P.path("piece_bpe_32k.model")
+    texts = ["", " a  b", "漢字\n\nx", "plain words", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit(1))
+    encoded = encode_pieces(rows, path)
+    assert {r.doc_id: r.text for r in decode_pieces(encoded, path).collect()} == dict(enumerate(t or "" for t in texts))
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert decode_pieces(none, path).collect()[0].text is None
+
+
+def test_memo_starts_anew():
+    memo = MarkedWords(P.path("piece_bpe_32k.model"))
+    memo.limit = 2_000
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for i in range(20):
+        text = " ".join(f"word{i}x{j}" for j in range(40))
+        assert memo.encode([text.encode()])[0].tolist() == sp.encode(text)
+
+
+def test_token_file_against_library(spark):
+    """Every column of the index, and the ids read back, against the tokenizers library."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()} | {10**9: None, 10**9 + 1: "A<|endoftext|>b İx ẞ. word. 12,"}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    tokenizer, want, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), {}, 0
+    for key in sorted(rows):
+        ids = np.array([*tokenizer.encode(rows[key] or "", add_special_tokens=False).ids, 2], "<u4")
+        want[key] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file(docs, P.path("word_bpe_49k.json")).collect()}
+    assert got == want
