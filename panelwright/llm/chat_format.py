@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.llm.scratch import shuffle_partitions, stored
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
-BLOCK = 256
 
 
 def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", instruction: str = "system") -> DataFrame:
@@ -20,15 +21,18 @@ def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
     Speakers equal to ``instruction`` are no participants: they render as system in every perspective. A null
     speaker is named "unknown", a null text is empty, rows without a conversation id are dropped. Rows of one turn come in order of
     speaker and text, equal rows all stay. Marks inside a text are broken up (a space after "<"), so a text
-    can't end its own segment. A conversation without participants has no rows.
+    can't end its own segment. A conversation without participants has no rows, an empty table gives an empty one. Columns
+    other than the four aren't read, so their names may clash with any here.
 
-    Positions and offsets are running sums over blocks of ``BLOCK`` turns and then over the blocks' totals, so
-    a conversation of any length is never sorted in one task.
+    The turns are dealt to shuffle partitions by ranges of (conversation, turn, speaker, text). Positions and offsets are
+    running sums within a partition's part of a conversation and then over the parts' totals, so a conversation of any
+    length is spread and never sorted in one task, also where all its turns have one number or none.
     """
     t = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     t = t.where("conv is not null").withColumn("text", F.replace("text", F.lit("<|"), F.lit("< |")))
-    t = t.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    t = t.groupBy("conv", "block", "turn", "speaker", "text").agg(F.count("*").alias("times")).withColumn("system", F.col("speaker") == instruction)
+    t = t.groupBy("conv", "turn", "speaker", "text").agg(F.count("*").alias("times")).withColumn("system", F.col("speaker") == instruction)
+    # stored, so that the parts stay the same for all that is derived from them
+    t = stored(t.repartitionByRange(shuffle_partitions(turns.sparkSession), "conv", "turn", "speaker", "text").withColumn("block", F.spark_partition_id()), "turns")
     people = t.where("not system").select("conv", F.col("speaker").alias("perspective")).distinct()
     rows = t.join(people, "conv").withColumn("me", F.col("speaker") == F.col("perspective"))
     role = F.when(F.col("me"), "assistant").when(F.col("system"), "system").otherwise("user")

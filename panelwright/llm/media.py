@@ -1,8 +1,8 @@
 """Interleaved document sequences: HTML into ordered text and media references, digests joined to payloads.
 
 A media reference is an ``img`` (or ``source``, ``video``, ``audio``) whose ``src`` is ``sha256:<hex>``; its caption is the
-``figcaption`` of its figure, or else its ``alt`` text. Sequences stay in long form, one row per position, so a
-page with any number of parts is never gathered into one row.
+``figcaption`` of its figure, or else its ``alt`` text. A page's parts come out of the
+parser together; from there on sequences are in long form, one row per position, and are never gathered again.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.scratch import scratch_path
+from panelwright.llm.scratch import frugal, join_spread, scratch_path, stored
 
 ROW = 24
 UNIT = ROW * ROW
@@ -98,12 +98,27 @@ def interleaved(pages: DataFrame, key: str, html: str) -> DataFrame:
     one with another ``src`` than a digest keeps its place with a null digest. Repeated rows repeat their parts.
     """
 
+    cut = pages.select(F.col(key).alias("key"), page_parts(F.col(html)).alias("parts"))
+    return cut.select("key", F.inline("parts")).withColumnRenamed("key", key)
+
+
+def page_parts(html: Column) -> Column:
+    """The parts of each page as an array in page order."""
+
     @F.pandas_udf(PARTS)
     def parts(texts):
         return texts.map(parse_parts)
 
-    cut = pages.select(F.col(key).alias("key"), parts(F.col(html)).alias("parts"))
-    return cut.select("key", F.inline("parts")).withColumnRenamed("key", key)
+    return parts(html)
+
+
+def interleaved_media(pages: DataFrame, store: DataFrame, key: str, html: str) -> DataFrame:
+    """:func:`interleaved` with what the media store (digest, media) knows of every reference, in any order of rows.
+
+    Texts keep their positions and have nulls there; so have references to digests that aren't in the store, or whose
+    file doesn't have the digest it is filed under.
+    """
+    return resolve_media(stored(interleaved(pages, key, html), "parts"), media_features(store))
 
 
 def pgm(text: Column) -> Column:
@@ -148,20 +163,29 @@ def store_media(docs: DataFrame, text: str, path: str) -> None:
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """One row per digest of a media store: sizes, digests of samples and file, checksum of the end, features.
+    """One row per digest of a media store: sizes, digests of samples and file, checksum of the end, features, ``uses``.
+
+    ``uses`` is how often the store has it.
 
     Copies are computed where they lie and met by partial aggregation, so no payload is shuffled. A stored
     file whose digest isn't the one it is filed under is left out: its references then resolve to nulls.
     """
     samples = store.where(F.sha2("media", 256) == F.col("digest")).withColumn("samples", pgm_samples(F.col("media")))
     small = samples.select("digest", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "samples")
-    featured = small.mapInArrow(_features, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return featured.groupBy("digest").agg(*[F.first(c).alias(c) for c in featured.columns[1:]])
+    featured = small.mapInArrow(frugal(_features), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return featured.groupBy("digest").agg(*[F.first(c).alias(c) for c in featured.columns[1:]], F.count("*").alias("uses"))
 
 
 def resolve_media(parts: DataFrame, features: DataFrame) -> DataFrame:
-    """Parts with what the media store knows of their digests; texts and unknown digests keep nulls."""
-    return parts.join(features.hint("merge"), "digest", "left")
+    """Parts with what the media store knows of their digests; texts and unknown digests keep nulls.
+
+    Texts don't take part in the join. A digest that many parts refer to is joined where they lie.
+    """
+    media, rest = parts.where("digest is not null"), parts.where("digest is null")
+    uses = media.groupBy("digest").agg(F.count("*").alias("uses"))
+    known = stored(features.drop("uses").join(uses, "digest"), "features")
+    met = join_spread(media, known, "digest", "uses", "left")
+    return met.unionByName(rest, allowMissingColumns=True)
 
 
 def document_page(text: Column, caption: Column) -> Column:
@@ -176,8 +200,11 @@ def document_media(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
     """Each document's text stored as a picture, referred to from its page, and resolved by digest.
 
     Returns (key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, n_texts,
-    caption), one row per row of ``docs``, all but n_bytes read back from the stored files. Keys must be unique; a
-    null text is empty and has one unit of filling. ``position`` is the picture's place in the page.
+    caption), one row per row of ``docs``, all but n_bytes read back from the stored files. A null text is empty and has one unit
+    of filling; null keys and repeated rows stay as they are, an empty table gives an empty one. Each document's page, its lines
+    and the figure that refers to its picture, is cut into its sequence of parts: ``position`` is the picture's place in it,
+    ``n_texts`` the number of its texts. Texts of any length stay in one row. Columns of ``docs`` other than key, text and caption
+    aren't read, so their names may clash with any here.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "media")
@@ -185,17 +212,8 @@ def document_media(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
     features = media_features(spark.read.schema("digest string, media binary").parquet(path))
     pages = docs.select(F.col(key).alias("key"), F.octet_length(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).cast("long").alias("n_bytes"), document_page(F.col(text), F.col(caption)).alias("html"))
 
-    @F.pandas_udf("struct<digest:string,caption:string,position:int,n_texts:int>")
-    def reference(html):
-        import pandas as pd
-
-        rows = []
-        for page in html:
-            parts = parse_parts(page)
-            last = parts[-1]
-            rows.append((last["digest"], last["caption"], last["position"], sum(p["kind"] == "text" for p in parts)))
-        return pd.DataFrame(rows, columns=["digest", "caption", "position", "n_texts"])
-
-    refs = pages.select("key", "n_bytes", reference("html").alias("r")).select("key", "n_bytes", "r.*")
+    cut = pages.select("key", "n_bytes", page_parts(F.col("html")).alias("parts"))
+    media = F.filter("parts", lambda p: p["kind"] == "media")
+    refs = stored(cut.select("key", "n_bytes", (F.size("parts") - F.size(media)).alias("n_texts"), F.inline(media)).drop("kind", "text"), "references")
     out = resolve_media(refs, features)
     return out.select(F.col("key").alias(key), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_texts", "caption")

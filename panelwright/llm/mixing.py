@@ -1,8 +1,8 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame functions only.
 
 For each source the document rates r minimise the entropy sum r ln r - r under sum r * size = target and r <= cap.
-The dual has one multiplier per source, r = min(cap, exp(x * size / scale)), and its Newton iterations are run
-for all sources at once on the executors, over the source's counts of equal sizes rather than its documents.
+The dual has one multiplier per source, r = min(cap, exp(x * size / scale)). Its Newton iterations are distributed rounds
+over the counts of (source, size), for all sources at once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from panelwright.llm.scratch import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 NEWTON_STEPS = 60
+CLOSE = 1e-9
 BINS = 4096
 
 
@@ -44,38 +45,43 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return per.select("source", "source_size", target.alias("target"))
 
 
+def of_source(df: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
+    """``df`` with the facts of its source; null is a source as any other. Spark broadcasts them where they measure small."""
+    return df.join(facts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+
+
 def tilts(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     """(source, scale, tilt): the dual solution of each source, by guarded Newton steps.
 
-    Documents of equal size share a rate, so a source is handled as its counts of sizes: a source with a third of
-    all documents costs one row per distinct size. A target at its cap needs no tilt: null, every rate is ``cap``.
+    Documents of equal size share a rate, so a source is handled as its counts of sizes. Each round sums the dual's
+    gradient and curvature over the counts of all open sources, with partial sums where the counts lie, and moves every
+    source's multiplier; a source is done when its words are within ``CLOSE`` of its target, after ``NEWTON_STEPS`` rounds at
+    the latest. A target at its cap needs no tilt: null, every rate is ``cap``.
     """
-    counts = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").cast("double").alias("n"))
-    per = counts.groupBy("source").agg(F.collect_list(F.struct(F.col("size").cast("double").alias("s"), "n")).alias("hist"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
-    per = per.join(targets, per["source"].eqNullSafe(targets["source"])).select(per["source"], "hist", "scale", "target", F.col("source_size").cast("double").alias("source_size"))
-
-    def step(state: Column, _: Column) -> Column:
-        x, lo, hi = state["x"], state["lo"], state["hi"]
-
-        def add(acc: Column, h: Column) -> Column:
-            z = h["s"] / F.col("scale")
-            r = F.exp(F.least(x * z, F.lit(50.0)))
-            free = r < cap
-            w = h["s"] * h["n"]
-            return F.struct((acc["f"] + w * F.least(r, F.lit(cap))).alias("f"), (acc["g"] + F.when(free, w * z * r).otherwise(0.0)).alias("g"))
-
-        got = F.aggregate("hist", F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("g")), add)
+    counts = stored(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").cast("double").alias("n")), "counts")
+    scale = counts.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
+    full = F.col("target") >= cap * F.col("source_size").cast("double") * (1 - 1e-12)
+    begun = of_source(scale, targets, "inner").select("source", "scale", "target", F.when(~full, 0.0).alias("x"), F.lit(-1000.0).alias("lo"), F.lit(1000.0).alias("hi"), full.alias("done"))
+    state = stored(begun, "multipliers")
+    z = F.col("size") / F.col("scale")
+    rate = F.exp(F.least(F.col("x") * z, F.lit(50.0)))
+    words = F.col("size") * F.col("n")
+    own = [F.any_value(c).alias(c) for c in ("scale", "target", "x", "lo", "hi")]
+    miss = F.col("f") - F.col("target")
+    for _ in range(NEWTON_STEPS):
+        live = state.where("not done")
+        if live.isEmpty():
+            break
+        sums = of_source(counts, live, "inner").groupBy("source").agg(*own, F.sum(words * F.least(rate, F.lit(cap))).alias("f"), F.sum(F.when(rate < cap, words * z * rate).otherwise(0.0)).alias("g"))
         # the dual's gradient rises with x: keep the bracket, take Newton's point where it lies inside
-        miss = got["f"] - F.col("target")
-        low, high = F.when(miss < 0, x).otherwise(lo), F.when(miss < 0, hi).otherwise(x)
-        newton = F.when(got["g"] > 0, x - miss / got["g"])
-        inside = newton.isNotNull() & (newton > low) & (newton < high)
-        return F.struct(F.when(inside, newton).otherwise((low + high) / 2).alias("x"), low.alias("lo"), high.alias("hi"))
-
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(-1000.0).alias("lo"), F.lit(1000.0).alias("hi"))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)
-    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
-    return per.select("source", "scale", F.when(~full, solved["x"]).alias("tilt"))
+        sums = sums.withColumns({"low": F.when(miss < 0, F.col("x")).otherwise(F.col("lo")), "high": F.when(miss < 0, F.col("hi")).otherwise(F.col("x"))})
+        sums = sums.withColumn("newton", F.when(F.col("g") > 0, F.col("x") - miss / F.col("g")))
+        inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        close = F.abs(miss) <= CLOSE * F.col("target")
+        to = F.when(close, F.col("x")).when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+        moved = sums.select("source", "scale", "target", to.alias("x"), F.col("low").alias("lo"), F.col("high").alias("hi"), close.alias("done"))
+        state = stored(state.where("done").unionByName(moved), "multipliers")
+    return state.select("source", "scale", F.round("x", 10).alias("tilt"))  # sums may differ in their last bits from run to run
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -90,15 +96,13 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     agree, and no document exceeds ``cap`` (a whole number) times its size. Null text has size 0, null sources
     are one source, sizeless documents get no copies; an empty table gives an empty table.
 
-    The running sum is taken over ``BINS`` sums per source; only the bin at the cut is ordered row by row.
+    The running sum is taken over ``BINS`` sums per source; only the bin at the cut is ordered row by row. Other columns of ``docs``
+    aren't read, so their names may clash with any here; texts of any length are counted where they lie.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     base = stored(rows.select("key", "source", "size"), "sizes")
     targets = stored(source_targets(base, weights, share, cap), "targets")
-    per = stored(targets.join(tilts(base, targets, cap).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "tilts")
-
-    def of_source(df: DataFrame, facts: DataFrame) -> DataFrame:
-        return df.join(facts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    per = stored(of_source(targets, tilts(base, targets, cap)), "tilts")
 
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))))
     u = (F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("mix")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
