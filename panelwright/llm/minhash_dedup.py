@@ -366,7 +366,8 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             classes = stored(connected_components(links), "classes")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(degree, "node").select(F.col("node").alias("rep"), "component", "n_links")
-    ours = member.join(named.hint("merge"), "rep", "left").groupBy(F.col("key").alias("k")).agg(F.min(F.coalesce("component", "rep")).alias("class"), F.max("n_links").alias("n_links"))
+    named = stored(named.join(firsts.groupBy("rep").agg(F.sum("n").alias("n")), "rep"), "named")
+    ours = join_spread(member, named, "rep", "n", "left").groupBy(F.col("key").alias("k")).agg(F.min(F.coalesce("component", "rep")).alias("class"), F.max("n_links").alias("n_links"))
     blank = F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) == 0
     blanks = docs.select("key", (F.col("text").isNull() | blank).alias("blank"))
     out = blanks.join(ours, blanks["key"] == ours["k"], "left")

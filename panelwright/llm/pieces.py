@@ -92,14 +92,11 @@ class MergeStates:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.usable = {p for p in vocab.ids if len(p) == 1 or vocab.parts[p]}
-        self.seams: dict[tuple[str, str], bool] = {}
+        self.usable = {p: i for p, i in vocab.ids.items() if len(p) == 1 or vocab.parts[p]}
+        self.seams: dict[int, bool] = {}  # by both pieces' ids in one number
 
     def seam_holds(self, left: str, right: str) -> bool:
         """Whether no merge across the seam comes before the merges that made ``left`` and ``right``."""
-        known = self.seams.get((left, right))
-        if known is not None:
-            return known
         rank, parts = self.vocab.rank, self.vocab.parts
         a, b, before, holds = left, right, float("inf"), True
         while True:
@@ -115,14 +112,12 @@ class MergeStates:
                 before, a = ra, parts[a][1]
             else:  # a merge across of the same rank stands further left, so it would come first
                 before, b = rb + 0.5, parts[b][0]
-        if len(self.seams) > 150_000:
-            self.seams.clear()
-        self.seams[left, right] = holds
         return holds
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[str]]:
-        usable, widest, holds = self.usable, self.vocab.widest, self.seam_holds
+        usable, widest, seams = self.usable, self.vocab.widest, self.seams
         last: list[str] = [""]
+        number: list[int] = [0]  # the last piece's id, -1 for an unknown character
         held = ""
         for word in words:
             same = 0
@@ -130,14 +125,28 @@ class MergeStates:
                 if x != y:
                     break
                 same += 1
-            del last[same + 1 :]
+            del last[same + 1 :], number[same + 1 :]
             for i in range(same + 1, len(word) + 1):
                 for j in range(max(0, i - widest), i):
                     piece = word[j:i]
-                    if (piece in usable or j == i - 1) and (j == 0 or holds(last[j], piece)):
-                        last.append(piece)
-                        break
+                    n = usable.get(piece, -1)
+                    if n < 0 and j < i - 1:
+                        continue
+                    if j:
+                        seam = number[j] << 24 | n if n >= 0 <= number[j] else -1
+                        holds = seams.get(seam)
+                        if holds is None:
+                            holds = self.seam_holds(last[j], piece)
+                            if seam >= 0:
+                                seams[seam] = holds
+                        if not holds:
+                            continue
+                    last.append(piece)
+                    number.append(n)
+                    break
             held = word
+            if len(seams) > 400_000:
+                seams.clear()
             out, i = [], len(word)
             while i:
                 out.append(last[i])

@@ -40,6 +40,7 @@ FEATURES = (*OUTPUTS, "best_clause", "clauses")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = ".", "insult", "threat", "target", "negation", "report"
 INPUT = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
 _HARMS = (INSULT, THREAT)
+_NOTHING = (OTHER, 0.0)
 _QUOTED, _NEGATED, _AIMED, _LATE = "quoted", "negated", "aimed", "aimed late"
 
 
@@ -110,7 +111,7 @@ class Grammar:
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             if word in words:
                 return symbol, 0.0
-        return OTHER, 0.0
+        return _NOTHING
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         c = np.array(self.coefficients)
@@ -120,12 +121,14 @@ class Grammar:
 class Reader:
     """Clause features of texts, with a bounded memory of word symbols."""
 
-    limit = 100_000
+    limit = 250_000
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
         self.known: dict[str, tuple[str, float]] = {}
-        self.first_of_pair = {p.split(" ")[0] for p in grammar.pairs}
+        self.seconds: dict[str, set[str]] = {}
+        for first, second in (p.split(" ") for p in grammar.pairs):
+            self.seconds.setdefault(first, set()).add(second)
         self.machine: dict[int, dict[str, tuple[str, float, int]]] = {}
         for (state, x), arc in grammar_machine().arcs.items():
             self.machine.setdefault(state, {})[x] = arc
@@ -157,10 +160,10 @@ class Reader:
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
         sums, best, matched = [0.0] * len(OUTPUTS), 0.0, 0
-        symbol = self.symbol
+        symbol, known = self.symbol, self.known
         distinct = set(WORD.findall(text))
-        hits = {w for w in distinct if symbol(w)[0] in _HARMS}
-        hits |= distinct & self.first_of_pair
+        hits = {w for w in distinct if (known[w] if w in known else symbol(w)) is not _NOTHING and symbol(w)[0] in _HARMS}
+        hits.update(b for w in distinct & self.seconds.keys() for b in self.seconds[w] & distinct)
         if hits:
             for clause in CLAUSE.split(text):
                 words = WORD.findall(clause)
@@ -231,14 +234,15 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         by_start = starts.select("key", "y", "start").distinct().groupBy("start").agg(c1.alias("c1"), bound.alias("weight"))
         beginnings = heavy(by_start.join(forms, "start").where("forms >= 3"), "start")
         grammar = Grammar(words, beginnings)
-        clauses = low.select("key", "y", F.explode(F.split("text", CLAUSE.pattern)).alias("clause")).withColumn("words", _words(F.col("clause")))
-        aimed = clauses.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in sorted(TARGETS)]))).select("key", "y", F.explode("words").alias("word")).distinct()
+        clauses = F.transform(F.split("text", CLAUSE.pattern), _words)
+        some = F.array(*[F.lit(t) for t in sorted(TARGETS)])
+        aimed = low.select("y", F.explode(F.array_distinct(F.flatten(F.filter(clauses, lambda w: F.arrays_overlap(w, some))))).alias("word"))
         found = heavy(aimed.groupBy("word").agg(c1.alias("c1"), surer.alias("weight")), "word")
         grammar.threats = {w: v for w, v in found.items() if grammar.symbol(w)[0] == OTHER}
-        pair = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.get("words", i - 1), F.lit(" "), F.get("words", i)))
-        pairs = clauses.where("size(words) > 1").select("key", "y", F.explode(pair).alias("pair"))
-        often = pairs.where("y = 1").distinct().groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pair")
-        found = heavy(pairs.join(often, "pair", "left_semi").distinct().groupBy("pair").agg(c1.alias("c1"), surer.alias("weight")), "pair")
+        rest = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+        neighbours = lambda w: F.zip_with(F.slice(w, F.lit(1), rest(w)), F.slice(w, F.lit(2), rest(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+        pairs = low.select("y", F.explode(F.array_distinct(F.flatten(F.transform(clauses, neighbours)))).alias("pair"))
+        found = heavy(pairs.groupBy("pair").agg(c1.alias("c1"), surer.alias("weight")), "pair")
         grammar.pairs = {p: v for p, v in found.items() if all(grammar.symbol(w)[0] == OTHER for w in p.split(" "))}
         got = rows.select("y", "text").mapInArrow(frugal(_feature_rows(grammar)), "y int, x array<double>").toPandas()
         grammar.coefficients = _fit_logistic(np.array(got["x"].tolist()), got["y"].to_numpy(float))
