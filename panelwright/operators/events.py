@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def next_event(panel: DataFrame, events: DataFrame, entity: str, period: str, date: str = "event_date", kind: str = "event_type") -> DataFrame:
     """Adds the first event after each row's period: a union of both tables and one window, not a range join.
 
-    Events and rows of an entity are sorted by date; each row takes the nearest event behind it. Of two events on
-    one day the one with the lesser type name counts. An event on the period's own day is past.
+    Events and rows of an entity are sorted by date, the last first; each row takes the latest event seen so far, which is one
+    pass whatever the history's length. Of two events on one day the one with the lesser type name counts. An event
+    on the period's own day is past.
     """
     rows = panel.withColumns({"_at": F.col(period), "_e": F.lit(None).cast("struct<d:date,k:string>"), "_is": F.lit(1)})
     marks = events.groupBy(entity, date).agg(F.min(kind).alias("_k")).select(entity, F.col(date).alias("_at"), F.struct(F.col(date).alias("d"), F.col("_k").alias("k")).alias("_e"), F.lit(0).alias("_is"))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    after = Window.partitionBy(entity).orderBy("_at", "_is").rowsBetween(1, Window.unboundedFollowing)
-    out = both.withColumn("_n", F.first("_e", ignorenulls=True).over(after)).where("_is = 1")
+    after = Window.partitionBy(entity).orderBy(F.desc("_at"), F.desc("_is")).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("_n", F.last("_e", ignorenulls=True).over(after)).where("_is = 1")
     return out.withColumns({"next_date": F.col("_n.d"), "next_type": F.col("_n.k")}).drop("_at", "_e", "_is", "_n")
 
 

@@ -153,16 +153,23 @@ def risk_features(panel: DataFrame, entity: str, period: str) -> DataFrame:
     return df.select(entity, period, *feature_columns())
 
 
-def features_sql(panel: str, entity: str, period: str, columns: list[str]) -> str:
-    """The same contract in SQL for another engine: lags by self-joins on quarter ends, statistics by windows."""
+def features_sql(panel: str, entity: str, period: str, columns: list[str], gaps: bool = False) -> str:
+    """The same contract in SQL for another engine: lags by self-joins on quarter ends, statistics by windows.
+
+    ``gaps``: lags by rows, which count only where they have the very quarter, as :func:`risk_features` has them; in a
+    panel without gaps both are one.
+    """
     lags = ", ".join(f"l{n}.{c} AS {c}{n}" for c in LAGGED for n in (1, 4))
+    if gaps:
+        on = lambda n: f"CAST(last_day(p.{period} - INTERVAL {3 * n} MONTH) AS DATE)"
+        lags = ", ".join(f"CASE WHEN lag(p.{period}, {n}) OVER e = {on(n)} THEN lag(p.{c}, {n}) OVER e END AS {c}{n}" for c in LAGGED for n in (1, 4))
     joins = " ".join(f"LEFT JOIN panel l{n} ON l{n}.{entity} = p.{entity} AND l{n}.{period} = CAST(last_day(p.{period} - INTERVAL {3 * n} MONTH) AS DATE)" for n in (1, 4))
     plain = ", ".join(f"CAST({text} AS DOUBLE) AS {name}" for family in FAMILIES.values() for name, text in family.items() if not name.endswith("_flag"))
     flags = ", ".join(f"{text} AS {name}" for family in FAMILIES.values() for name, text in family.items() if name.endswith("_flag"))
     stat = {"slope": "regr_slope({0}, qi)", "volatility": "stddev_samp({0})", "mean": "avg({0})"}
     trail = ", ".join(f"round(CASE WHEN count({b}) OVER t8 = 8 THEN {stat[s].format(b)} OVER t8 END, 6) AS {f}" for f, (_, b, s) in TRAILING.items())
     return f"""WITH panel AS ({panel}),
-lagged AS (SELECT p.*, {lags}, year(p.{period}) * 4 + quarter(p.{period}) AS qi, sum(CASE WHEN p.net_income < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY p.{entity} ORDER BY p.{period} ROWS UNBOUNDED PRECEDING) AS run FROM panel p {joins}),
+lagged AS (SELECT p.*, {lags}, year(p.{period}) * 4 + quarter(p.{period}) AS qi, sum(CASE WHEN p.net_income < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY p.{entity} ORDER BY p.{period} ROWS UNBOUNDED PRECEDING) AS run FROM panel p {f'WINDOW e AS (PARTITION BY p.{entity} ORDER BY p.{period})' if gaps else joins}),
 streaks AS (SELECT *, CASE WHEN net_income IS NOT NULL THEN CAST(sum(CASE WHEN net_income < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {entity}, run ORDER BY {period} ROWS UNBOUNDED PRECEDING) AS INTEGER) END AS consecutive_loss_quarters FROM lagged),
 plain AS (SELECT *, {plain} FROM streaks),
 flagged AS (SELECT *, {flags} FROM plain)

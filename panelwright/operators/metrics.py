@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 def ranking_metrics(df: DataFrame, score: str, target: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Average precision (step form) and ROC AUC per group, ties counted as one step; weighted where asked."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    by_score = df.groupBy(*groups, score).agg(F.sum(w).alias("n"), F.sum(w * F.col(target)).alias("t"))
+    return _by_score_metrics(df.groupBy(*groups, score).agg(F.sum(w).alias("n"), F.sum(w * F.col(target)).alias("t")), score, groups)
+
+
+def _by_score_metrics(by_score: DataFrame, score: str, groups: Sequence[str]) -> DataFrame:
+    """The same from the rows n and positives t of each score."""
     down = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     all_rows = Window.partitionBy(*groups)
     x = by_score.withColumns({"cn": F.sum("n").over(down), "ct": F.sum("t").over(down), "tn": F.sum("n").over(all_rows), "tt": F.sum("t").over(all_rows)})
@@ -46,9 +50,44 @@ def cluster_bootstrap(df: DataFrame, entity: str, score: str, target: str, draws
     """Ranking metrics of each draw of whole entities; an entity's multiplicity comes from a hash of (draw, entity).
 
     Draw counts follow the Poisson bootstrap: the hash as a uniform number through the Poisson(1) distribution.
+    The rows are summed by entity and score once and the draws made of distinct entities, so a draw costs no scan.
     """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(entity).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
     times = sum(((h >= c).cast("int") for c in cuts), F.lit(0))
-    x = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", times).where("times > 0")
-    return ranking_metrics(x, score, target, ("rep",), "times")
+    rows = df.groupBy(entity, score).agg(F.count("*").cast("double").alias("n"), F.sum(target).cast("double").alias("t"))
+    drawn = df.select(entity).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", times).where("times > 0")
+    x = rows.join(drawn, entity).groupBy("rep", score).agg(F.sum(F.col("times") * F.col("n")).alias("n"), F.sum(F.col("times") * F.col("t")).alias("t"))
+    return _by_score_metrics(x, score, ("rep",))
+
+
+def bootstrap_interval(draws: DataFrame, metric: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Number of draws, mean and the interval of a metric over :func:`cluster_bootstrap`'s draws."""
+    q = F.percentile(metric, F.array(F.lit(low), F.lit(high)))
+    x = draws.agg(F.count(metric).alias("n_draws"), F.avg(metric).alias("mean"), q.alias("q"))
+    return x.select(F.lit(metric).alias("metric"), "n_draws", F.round("mean", 6).alias("mean"), F.round(F.get("q", 0), 6).alias("low"), F.round(F.get("q", 1), 6).alias("high"))
+
+
+def calibration_error(df: DataFrame, score: str, target: str, bins: int = 10) -> DataFrame:
+    """Expected calibration error: the mean gap of score and rate over right-closed bins, weighted by their rows."""
+    b = F.greatest(F.lit(1), F.ceil(F.col(score) * bins)).cast("int")
+    per = df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg(score) - F.avg(target)).alias("gap"))
+    return per.agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_rows"), F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("ece"))
+
+
+def matthews(df: DataFrame, score: str, target: str, threshold: float, groups: Sequence[str] = ()) -> DataFrame:
+    """Counts and Matthews correlation at a threshold, per group; null where a margin is empty."""
+    p, y = F.col(score) >= threshold, F.col(target) == 1
+    c = df.groupBy(*groups).agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
+    margins = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+    return c.withColumn("mcc", F.when(margins > 0, F.round((tp * tn - fp * fn) / F.sqrt(margins), 6)))
+
+
+def subgroup_metrics(df: DataFrame, score: str, target: str, group: str) -> DataFrame:
+    """Rows, positives, average precision, its lift over no skill and ROC AUC of each group, with how far they can be relied on."""
+    n = df.groupBy(group).agg(F.count("*").alias("n_rows"), F.sum(target).cast("long").alias("positives"))
+    ranked = ranking_metrics(df, score, target, (group,)).select(group, "average_precision", "roc_auc")
+    reliability_class = F.when(F.col("positives") == 0, "INSUFFICIENT_EVENTS").when(F.col("positives") < 10, "REPORT_WITH_CAUTION").otherwise("RELIABLE")
+    lift = F.round(F.col("average_precision") / (F.col("positives") / F.col("n_rows")), 4)
+    return n.join(ranked, group, "left").withColumns({"reliability": reliability_class, "lift": lift})

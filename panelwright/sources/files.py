@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -30,6 +31,46 @@ def check_schema(df: DataFrame, required: Sequence[str], allowed: Sequence[str]
     return df
 
 
+def page_problems(pages: DataFrame) -> DataFrame:
+    """(offset, problem) of landed pages (offset, row_count, total, sha256): gaps, overlaps, repeated content, changed totals, a short end.
+
+    Pages are metadata, a row for each file of one source; the windows run over those rows.
+    """
+    order = Window.orderBy("offset")
+    x = pages.withColumns({"before": F.lag(F.col("offset") + F.col("row_count")).over(order), "first_total": F.first("total").over(order), "twin": F.count("*").over(Window.partitionBy("sha256")), "next": F.lead("offset").over(order)})
+    start = F.coalesce("before", F.lit(0))
+    tests = [(F.col("offset") > start, "GAP"), (F.col("offset") < start, "OVERLAP"), (F.col("twin") > 1, "REPEATED_CONTENT"), (F.col("total") != F.col("first_total"), "CHANGED_TOTAL"), (F.col("next").isNull() & (F.col("offset") + F.col("row_count") != F.col("total")), "INCOMPLETE")]
+    return x.select("offset", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in tests]))).alias("problem"))
+
+
+def query_table(spark: SparkSession, path: str, columns: Sequence[str], where: str = "true", **args: object) -> DataFrame:
+    """Columns of a Parquet table under a condition with named parameters (``:name``); both reach the scan."""
+    return spark.sql(f"SELECT {', '.join(f'`{c}`' for c in columns)} FROM {{t}} WHERE {where}", args=args, t=spark.read.parquet(path))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).where(F.col(column).isNotNull()).distinct()
+
+
+def latest_period(df: DataFrame, period: str) -> DataFrame:
+    """The rows of the last period; the period itself is one row."""
+    return df.join(F.broadcast(df.agg(F.max(period).alias(period))), period)
+
+
+def table_manifest(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """(table, n_rows, n_keys) of every table, with its rows of distinct keys."""
+    parts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("n_rows"), F.count_distinct(F.struct(*keys)).alias("n_keys")) for name, (df, keys) in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def forbidden_columns(df: DataFrame, patterns: Sequence[str]) -> list[str]:
+    """The columns whose names match a pattern that predictors may not have."""
+    return [c for c in df.columns if any(re.search(p, c) for p in patterns)]
+
+
 def flatten_pages(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """Rows of paged JSON responses {meta: {total}, data: [{data: {...}}]}, all fields text."""
     schema = StructType.fromDDL(f"meta struct<total:long>, data array<struct<data:struct<{','.join(f'{f}:string' for f in required)}>>>")
