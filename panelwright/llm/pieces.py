@@ -92,7 +92,8 @@ class MergeStates:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.usable = {p: i for p, i in vocab.ids.items() if len(p) == 1 or vocab.parts[p]}
+        usable = {p: i for p, i in vocab.ids.items() if len(p) == 1 or vocab.parts[p]}
+        self.ends = {p[k:]: -1 for p in usable for k in range(len(p))} | usable  # a piece's id, -1 for what only ends one
         self.seams: dict[int, bool] = {}  # by both pieces' ids in one number
 
     def seam_holds(self, left: str, right: str) -> bool:
@@ -115,7 +116,7 @@ class MergeStates:
         return holds
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[str]]:
-        usable, widest, seams = self.usable, self.vocab.widest, self.seams
+        ends, widest, seams = self.ends, self.vocab.widest, self.seams
         last: list[str] = [""]
         number: list[int] = [0]  # the last piece's id, -1 for an unknown character
         held = ""
@@ -127,23 +128,29 @@ class MergeStates:
                 same += 1
             del last[same + 1 :], number[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                for j in range(max(0, i - widest), i):
-                    piece = word[j:i]
-                    n = usable.get(piece, -1)
-                    if n < 0 and j < i - 1:
-                        continue
+                fits = []
+                for j in range(i - 1, max(-1, i - 1 - widest), -1):
+                    n = ends.get(word[j:i])
+                    if n is None:  # nothing longer ends a piece either
+                        break
+                    if n >= 0:
+                        fits.append((j, n))
+                for j, n in reversed(fits):
                     if j:
-                        seam = number[j] << 24 | n if n >= 0 <= number[j] else -1
+                        seam = number[j] << 24 | n if number[j] >= 0 else -1
                         holds = seams.get(seam)
                         if holds is None:
-                            holds = self.seam_holds(last[j], piece)
+                            holds = self.seam_holds(last[j], word[j:i])
                             if seam >= 0:
                                 seams[seam] = holds
                         if not holds:
                             continue
-                    last.append(piece)
+                    last.append(word[j:i])
                     number.append(n)
                     break
+                else:  # an unknown character
+                    last.append(word[i - 1])
+                    number.append(-1)
             held = word
             if len(seams) > 400_000:
                 seams.clear()

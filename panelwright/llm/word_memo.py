@@ -28,7 +28,7 @@ class WordMemo:
     ``limit`` bounds the bytes that the remembered words take, by a rough count; past it the memory is started anew.
     """
 
-    limit = 64_000_000
+    limit = 128_000_000
     per_word = 150  # a word's entry beside its characters and ids
 
     def __init__(self) -> None:
