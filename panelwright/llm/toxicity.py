@@ -126,6 +126,7 @@ class Reader:
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
         self.known: dict[str, tuple[str, float]] = {}
+        self.harms: set[str] = set()  # the known insults and threats
         self.seconds: dict[str, set[str]] = {}
         for first, second in (p.split(" ") for p in grammar.pairs):
             self.seconds.setdefault(first, set()).add(second)
@@ -136,9 +137,9 @@ class Reader:
     def symbol(self, word: str) -> tuple[str, float]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > self.limit:
-                self.known.clear()
             got = self.known[word] = self.grammar.symbol(word)
+            if got[0] in _HARMS:
+                self.harms.add(word)
         return got
 
     def read_clause(self, words: list[str]) -> dict[str, float]:
@@ -160,9 +161,14 @@ class Reader:
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
         sums, best, matched = [0.0] * len(OUTPUTS), 0.0, 0
-        symbol, known = self.symbol, self.known
+        symbol = self.symbol
+        if len(self.known) > self.limit:
+            self.known.clear()
+            self.harms.clear()
         distinct = set(WORD.findall(text))
-        hits = {w for w in distinct if (known[w] if w in known else symbol(w)) is not _NOTHING and symbol(w)[0] in _HARMS}
+        for w in distinct.difference(self.known):
+            symbol(w)
+        hits = distinct & self.harms
         hits.update(b for w in distinct & self.seconds.keys() for b in self.seconds[w] & distinct)
         if hits:
             for clause in CLAUSE.split(text):
