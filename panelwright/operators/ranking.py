@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.panel import budget_flags, shift_join
+from panelwright.operators.panel import budget_flags, running_totals, shift_join
 
 #: Lower ends of the percentile tiers, and their names.
 TIERS = ((99.0, "Highest monitored tier"), (95.0, "High"), (90.0, "Elevated"), (50.0, "Moderate"))
@@ -64,28 +64,42 @@ def event_capture(df: DataFrame, entity: str, period: str, score: str, event_dat
     return per.withColumns({"captured": F.col("first_alert").isNotNull(), "lead_days": F.datediff(event_date, "first_alert")})
 
 
+def _score_counts(df: DataFrame, score: str, target: str) -> DataFrame:
+    """(threshold, n, t, run_n, run_t, all_n, all_t): rows and positives at each distinct score, at or above it, and in all."""
+    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(target).alias("t"))
+    return running_totals(by, "threshold", ["n", "t"])
+
+
+def _f2() -> Column:
+    return F.try_divide((5 * F.col("run_t")).cast("double"), 4 * F.col("all_t") + F.col("run_n"))
+
+
 def threshold_curve(df: DataFrame, score: str, target: str) -> DataFrame:
     """A row per distinct score as threshold: true and false positives, precision, recall, false positive rate and F2.
 
-    Rows are summed by score first; the running sum is then over the distinct scores.
+    Rows are summed by score first; the running sums over the distinct scores are made range by range.
     """
-    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(target).alias("t"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy()
-    c = by.withColumns({"tp": F.sum("t").over(down), "alerts": F.sum("n").over(down), "positives": F.sum("t").over(all_rows), "rows": F.sum("n").over(all_rows)})
     d = lambda a, b: F.try_divide(a.cast("double"), b)
-    tp, alerts, pos = F.col("tp"), F.col("alerts"), F.col("positives")
-    return c.select("threshold", "tp", (alerts - tp).alias("fp"), d(tp, alerts).alias("precision"), d(tp, pos).alias("recall"), d(alerts - tp, F.col("rows") - pos).alias("fpr"), d(5 * tp, 4 * pos + alerts).alias("f2"))
+    tp, alerts, pos = F.col("run_t"), F.col("run_n"), F.col("all_t")
+    fp = alerts - tp
+    return _score_counts(df, score, target).select("threshold", tp.alias("tp"), fp.alias("fp"), d(tp, alerts).alias("precision"), d(tp, pos).alias("recall"), d(fp, F.col("all_n") - pos).alias("fpr"), _f2().alias("f2"))
 
 
 def best_f2_threshold(df: DataFrame, score: str, target: str, low: float = 0.70, high: float = 0.999, steps: int = 200) -> DataFrame:
-    """(threshold, f2): the best of ``steps`` quantiles of the score by F2, the greater of equal ones.
+    """(threshold, f2): the best of ``steps`` interpolated quantiles of the score by F2, the greater of equal ones.
 
-    A quantile between two scores flags what the next greater score flags, so it takes that score's counts.
+    Each distinct score knows which ranks it holds, so it names the quantiles that it is the lower or upper neighbour of. A quantile
+    between two scores flags what the greater one flags and takes its F2.
     """
-    at = [low + (high - low) * i / (steps - 1) for i in range(steps)]
-    marks = df.agg(F.explode(F.percentile(score, F.array(*map(F.lit, at)))).alias("threshold")).distinct()
-    both = threshold_curve(df, score, target).select("threshold", F.struct("f2").alias("c"), F.lit(1).alias("side")).unionByName(marks.select("threshold", F.lit(None).cast("struct<f2:double>").alias("c"), F.lit(0).alias("side")))
-    above = Window.orderBy(F.desc("threshold"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    scored = both.withColumn("f2", F.last("c", ignorenulls=True).over(above)["f2"]).where("side = 0")
-    return scored.select("threshold", "f2").orderBy(F.desc("f2"), F.desc("threshold")).limit(1)
+    at = F.array(*[F.lit(low + (high - low) * i / (steps - 1)) for i in range(steps)])
+    below = F.col("all_n") - F.col("run_n")  # ranks from here to below + n - 1, the least score's first being 0
+    place = lambda q: (F.col("all_n") - 1) * q
+    held = lambda rank: (rank >= below) & (rank < below + F.col("n"))
+    near = F.filter(at, lambda q: held(F.floor(place(q))) | held(F.ceil(place(q))))
+    c = _score_counts(df, score, target).withColumn("f2", _f2()).withColumn("q", F.explode(near)).withColumn("place", place(F.col("q")))
+    side = lambda rank, name: F.max(F.when(held(rank), F.struct("threshold", "f2"))).alias(name)
+    marks = c.groupBy("q", "place").agg(side(F.floor("place"), "lo"), side(F.ceil("place"), "hi"))
+    share = F.col("place") - F.floor("place")
+    value = F.when(F.col("lo.threshold") == F.col("hi.threshold"), F.col("lo.threshold")).otherwise((1 - share) * F.col("lo.threshold") + share * F.col("hi.threshold"))
+    marks = marks.withColumn("threshold", value)
+    return marks.select("threshold", F.when(F.col("threshold") == F.col("lo.threshold"), F.col("lo.f2")).otherwise(F.col("hi.f2")).alias("f2")).orderBy(F.desc("f2"), F.desc("threshold")).limit(1)

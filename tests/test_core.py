@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,18 @@ def test_all_folds_are_validated(monkeypatch):
     monkeypatch.setattr(reports.models, "cross_validate", lambda rows, columns, given: folds.extend(given))
     reports.model_cross_validation(None, "")
     assert tuple(folds) == reports.FOLDS
+
+
+def test_threshold_curve_and_quantiles_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    s, y = np.round(rng.random(3000), 3) ** 2, rng.integers(0, 2, 3000)
+    df = spark.createDataFrame(pd.DataFrame({"s": s, "y": y}))
+    got = {r.threshold: (r.tp, r.fp) for r in ranking.threshold_curve(df, "s", "y").collect()}
+    assert got == {t: (int(y[s >= t].sum()), int((1 - y[s >= t]).sum())) for t in set(s.tolist())}
+    marks = np.quantile(s, np.linspace(0.70, 0.999, 200))
+    f2 = [5 * y[s >= m - 1e-12].sum() / (4 * y.sum() + (s >= m - 1e-12).sum()) for m in marks]
+    best = max(zip(np.round(f2, 9), marks, strict=True))
+    row = ranking.best_f2_threshold(df, "s", "y").first()
+    assert abs(row.threshold - best[1]) < 1e-9 and abs(row.f2 - best[0]) < 1e-8
+    assert ranking.threshold_curve(df.limit(0), "s", "y").count() == 0
+    assert ranking.best_f2_threshold(df.limit(0), "s", "y").count() == 0
