@@ -102,3 +102,11 @@ def test_threshold_curve_and_quantiles_against_brute_force(spark):
     assert abs(row.threshold - best[1]) < 1e-9 and abs(row.f2 - best[0]) < 1e-8
     assert ranking.threshold_curve(df.limit(0), "s", "y").count() == 0
     assert ranking.best_f2_threshold(df.limit(0), "s", "y").count() == 0
+
+
+def test_ungrouped_ranking_metrics_equal_grouped_ones(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "s": np.round(rng.random(2000), 3), "y": rng.integers(0, 2, 2000)}))
+    df = df.unionByName(spark.createDataFrame([(1, None, 1), (1, None, 0)], "g long, s double, y long"))
+    assert metrics.ranking_metrics(df, "s", "y").first() == metrics.ranking_metrics(df, "s", "y", ("g",)).drop("g").first()
+    assert [tuple(r) for r in metrics.ranking_metrics(df.limit(0), "s", "y").collect()] == [(None,) * 4]  # one row, as of any global aggregate
