@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -243,14 +244,15 @@ class MarkedWords(WordMemo):
         dropped = np.concatenate([[0], np.cumsum(again)])
         return ids[~again], n - (dropped[stop] - dropped[stop - n])
 
-    def encode_new(self, words: list) -> list[list[int]]:
+    def encode_new(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         marked = [self._marked(w) for w in words]
         order = sorted(range(len(words)), key=marked.__getitem__)
         ids_of = self.vocab.ids_of
         out: list = [None] * len(words)
         for i, found in zip(order, self.states.encode_sorted([marked[i] for i in order]), strict=True):
             out[i] = [x for p in found for x in ids_of(p)]
-        return out
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int32, int(n.sum())), n
 
 
 @lru_cache(maxsize=1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -37,7 +38,8 @@ class WordMemo:
     def split(self, text: bytes) -> list:
         raise NotImplementedError
 
-    def encode_new(self, words: list) -> list[list[int]]:
+    def encode_new(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids per word)."""
         raise NotImplementedError
 
     def _reset(self) -> None:
@@ -50,16 +52,15 @@ class WordMemo:
         new = self.codes.new
         n = len(self.codes) - len(new)  # codes before these
         used = int(self.bounds[n])
-        got = self.encode_new(new)  # may put parts of words behind them in new
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        total = used + int(lengths.sum())
+        ids, lengths = self.encode_new(new)
+        total = used + len(ids)
         while len(self.flat) < total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.bounds) < len(self.codes) + 1:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.flat[used:total] = np.fromiter((i for ids in got for i in ids), np.int32, total - used)
+        self.flat[used:total] = ids
         self.bounds[n + 1 : n + 1 + len(new)] = used + np.cumsum(lengths)
-        self.held += self.per_word * len(new) + sum(map(len, new)) + 4 * int(lengths.sum())
+        self.held += self.per_word * len(new) + sum(map(len, new)) + 4 * len(ids)
         new.clear()
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,15 @@ class WordMemo:
 
 
 class LibraryWords(WordMemo):
-    """Words through the tokenizers library, for vocabularies that drop white space and split at it."""
+    """Words through the tokenizers library, for vocabularies that drop white space, split at it and ignore case.
+
+    New words go to the library many at a time with a special token behind each: it parts what is around it, so a word's
+    ids are those that it has alone.
+    """
+
+    limit = 192_000_000
+    together = 2_000
+    _mark = re.compile(rb"[.,](?<=[a-z0-9][.,])(?!\S)")
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -91,34 +100,38 @@ class LibraryWords(WordMemo):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = self.tokenizer.get_added_tokens_decoder()
+        fit = [i for i, t in special.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        if not fit or not all(t.content.startswith("<|") for t in special.values()):
+            raise ValueError("the vocabulary needs special tokens, and all of the form <|...")
+        self.apart = max(fit)
+        self.behind = special[self.apart].content.encode()
 
     def split(self, text: bytes) -> list:
-        return text.split()
-
-    @staticmethod
-    def parts(word: bytes) -> list[bytes]:
-        """The word as the vocabulary sees it: A-Z in lower case, an end mark behind a letter or digit apart."""
-        if b"<|" in word:  # may hold a special token, which is matched before any change of case
-            return [word]
-        word = word.lower()
-        if len(word) > 1 and word[-1] in b".," and (97 <= word[-2] <= 122 or 48 <= word[-2] <= 57):
-            return [word[:-1], word[-1:]]
-        return [word]
-
-    def encode_new(self, words: list) -> list[list[int]]:
-        known = len(self.codes) - len(words)
-        cut: list[list[int] | None] = []
-        for word in words:  # the list grows by parts that are new themselves
-            parts = self.parts(word)
-            cut.append(None if parts == [word] else [self.codes[p] for p in parts])
-        whole = [i for i, c in enumerate(cut) if c is None]
-        ids: list = [None] * len(words)
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([words[i].decode() for i in whole], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        for i, c in enumerate(cut):
-            if c is not None:
-                ids[i] = [x for code in c for x in (ids[code - known] if code >= known else self.flat[self.bounds[code] : self.bounds[code + 1]].tolist())]
-        return ids
+        """Words as the vocabulary sees them: A-Z in lower case, an end mark behind a letter or digit apart."""
+        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:  # special tokens and combining marks are matched before any change of case
+            return text.split()
+        return self._mark.sub(rb" \g<0>", text.lower()).split()
+
+    def encode_new(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, w in enumerate(words) if b"<|" in w]
+        found, done = [], 0
+        for i in [*odd, len(words)]:
+            found.append(self._joined(words[done:i]))
+            if i < len(words):
+                ids = self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids
+                found.append((np.array(ids, np.int32), np.array([len(ids)])))
+            done = i + 1
+        return np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
+
+    def _joined(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        texts = [(self.behind.join(words[i : i + self.together]) + self.behind).decode() for i in range(0, len(words), self.together)]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in got)])
+        cut = np.flatnonzero(ids == self.apart)
+        if len(cut) != len(words):
+            raise ValueError("a word has the id of the special token")
+        return np.delete(ids, cut), np.diff(cut, prepend=-1) - 1
 
 
 @lru_cache(maxsize=1)

@@ -375,3 +375,17 @@ def test_token_file_against_library(spark):
         start += len(ids)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file(docs, P.path("word_bpe_49k.json")).collect()}
     assert got == want
+
+
+def test_library_words_on_odd_texts():
+    """Special tokens, combining marks, odd white space and end marks: the ids of the library on the whole text."""
+    from panelwright.llm.word_memo import library_words
+
+    memo = library_words(P.path("word_bpe_49k.json"))
+    r = random.Random(3)
+    some = [*"aBT.,'sT5é̈ \n\t\x0b\x1c\x85\xa0  Σς%<|İK١字", "<|endoftext|>", "<|", "|>", "'re", "'S ", "5. ", "x, ", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(40))) for _ in range(5000)]
+    ids, n = memo.encode([t.encode() for t in texts], 2)
+    stop = np.cumsum(n)
+    for t, e, a, b in zip(texts, memo.tokenizer.encode_batch(texts, add_special_tokens=False), stop - n, stop, strict=True):
+        assert ids[a:b].tolist() == [*e.ids, 2], t
