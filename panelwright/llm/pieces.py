@@ -93,9 +93,32 @@ class MergeStates:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        usable = {p: i for p, i in vocab.ids.items() if len(p) == 1 or vocab.parts[p]}
-        self.ends = {p[k:]: -1 for p in usable for k in range(len(p))} | usable  # a piece's id, -1 for what only ends one
+        self.usable = {p: i for p, i in vocab.ids.items() if len(p) == 1 or vocab.parts[p]}
+        self.begins = {p[:k] for p in self.usable for k in range(1, len(p) + 1)}
         self.seams: dict[int, bool] = {}  # by both pieces' ids in one number
+        self._start_places()
+
+    def _start_places(self) -> None:
+        """A place is the longest end of a prefix that begins a piece; it tells the pieces that end there, the longest first."""
+        self.place = {"": 0}
+        self.texts = [""]
+        self.fits: list[list[tuple[int, int]]] = [[]]  # length and id
+        self.moves: list[dict[str, int]] = [{}]
+        self.n_moves = 0
+
+    def _move(self, at: int, char: str) -> int:
+        to = self.texts[at] + char
+        while to and to not in self.begins:
+            to = to[1:]
+        new = self.place.get(to)
+        if new is None:
+            new = self.place[to] = len(self.texts)
+            self.texts.append(to)
+            self.fits.append([(len(to) - k, self.usable[to[k:]]) for k in range(len(to)) if to[k:] in self.usable])
+            self.moves.append({})
+        self.moves[at][char] = new
+        self.n_moves += 1
+        return new
 
     def seam_holds(self, left: str, right: str) -> bool:
         """Whether no merge across the seam comes before the merges that made ``left`` and ``right``."""
@@ -116,10 +139,13 @@ class MergeStates:
                 before, b = rb + 0.5, parts[b][0]
         return holds
 
-    def encode_sorted(self, words: list[str]) -> Iterator[list[str]]:
-        ends, widest, seams = self.ends, self.vocab.widest, self.seams
-        last: list[str] = [""]
+    def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
+        if self.n_moves > 200_000:
+            self._start_places()
+        seams, fits, moves, ids_of, names = self.seams, self.fits, self.moves, self.vocab.ids_of, self.vocab.names
         number: list[int] = [0]  # the last piece's id, -1 for an unknown character
+        length: list[int] = [0]
+        places: list[int] = [0]
         held = ""
         for word in words:
             same = 0
@@ -127,38 +153,42 @@ class MergeStates:
                 if x != y:
                     break
                 same += 1
-            del last[same + 1 :], number[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                fits = []
-                for j in range(i - 1, max(-1, i - 1 - widest), -1):
-                    n = ends.get(word[j:i])
-                    if n is None:  # nothing longer ends a piece either
-                        break
-                    if n >= 0:
-                        fits.append((j, n))
-                for j, n in reversed(fits):
+            del number[same + 1 :], length[same + 1 :], places[same + 1 :]
+            at, i = places[same], same
+            for char in word[same:]:
+                i += 1
+                to = moves[at].get(char)
+                at = self._move(at, char) if to is None else to
+                places.append(at)
+                for size, n in fits[at]:
+                    j = i - size
                     if j:
-                        seam = number[j] << 24 | n if number[j] >= 0 else -1
-                        holds = seams.get(seam)
-                        if holds is None:
-                            holds = self.seam_holds(last[j], word[j:i])
-                            if seam >= 0:
-                                seams[seam] = holds
-                        if not holds:
-                            continue
-                    last.append(word[j:i])
+                        left = number[j]
+                        if left < 0:
+                            if not self.seam_holds(word[j - 1 : j], names[n]):
+                                continue
+                        else:
+                            holds = seams.get(left << 24 | n)
+                            if holds is None:
+                                holds = seams[left << 24 | n] = self.seam_holds(names[left], names[n])
+                            if not holds:
+                                continue
                     number.append(n)
+                    length.append(size)
                     break
                 else:  # an unknown character
-                    last.append(word[i - 1])
                     number.append(-1)
+                    length.append(1)
             held = word
             if len(seams) > 400_000:
                 seams.clear()
             out, i = [], len(word)
             while i:
-                out.append(last[i])
-                i -= len(last[i])
+                if number[i] >= 0:
+                    out.append(number[i])
+                else:
+                    out.extend(reversed(ids_of(word[i - 1])))
+                i -= length[i]
             yield out[::-1]
 
 
@@ -170,11 +200,12 @@ class ScoreStates:
     """
 
     def __init__(self, vocab: Vocabulary):
+        self.ids_of = vocab.ids_of
         self.score = {p: -r for p, r in vocab.rank.items()}
         self.widest = vocab.widest
         self.unknown = min(self.score.values()) - 10.0
 
-    def encode_sorted(self, words: list[str]) -> Iterator[list[str]]:
+    def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         best: list[float] = [0.0]
         last: list[int] = [0]
         held = ""
@@ -200,7 +231,7 @@ class ScoreStates:
             while i:
                 out.append(word[last[i] : i])
                 i = last[i]
-            yield out[::-1]
+            yield [x for p in reversed(out) for x in self.ids_of(p)]
 
 
 class MarkedWords(WordMemo):
@@ -247,10 +278,9 @@ class MarkedWords(WordMemo):
     def encode_new(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         marked = [self._marked(w) for w in words]
         order = sorted(range(len(words)), key=marked.__getitem__)
-        ids_of = self.vocab.ids_of
         out: list = [None] * len(words)
         for i, found in zip(order, self.states.encode_sorted([marked[i] for i in order]), strict=True):
-            out[i] = [x for p in found for x in ids_of(p)]
+            out[i] = found
         n = np.fromiter(map(len, out), np.int64, len(out))
         return np.fromiter(chain.from_iterable(out), np.int32, int(n.sum())), n
 
