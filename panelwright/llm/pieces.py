@@ -241,6 +241,8 @@ class MarkedWords(WordMemo):
     word). Texts for which that is ambiguous take a slower cut whose odd keys are the marked words' bytes.
     """
 
+    limit = 64_000_000
+
     _cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
     def __init__(self, path: str, model: str = "bpe") -> None:
