@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.alignment import align_tokenizers
 from panelwright.llm.chat_format import rotate_perspectives
 from panelwright.llm.embedding_dedup import embedding_dedup
 from panelwright.llm.line_dedup import line_dedup
@@ -70,7 +71,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, grammar).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_chat_perspectives, op5_token_file, op6_minhash_dedup, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_toxicity)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_chat_perspectives, op5_token_file, op6_minhash_dedup, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_toxicity, op11_alignment)}
 
 SQL = {
     "op2_substring_dedup": r"""
