@@ -16,6 +16,7 @@ from panelwright.llm.pieces import encode_pieces
 from panelwright.llm.substring_dedup import substring_dedup
 from panelwright.llm.token_file import token_file
 from panelwright.llm.toxicity import fit_grammar, held_out, toxicity_scores
+from panelwright.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_chat_perspectives, op5_token_file, op6_minhash_dedup, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_toxicity, op11_alignment)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_chat_perspectives, op5_token_file, op6_minhash_dedup, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_toxicity, op11_alignment, op13_whitening)}
 
 SQL = {
     "op2_substring_dedup": r"""
