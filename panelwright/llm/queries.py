@@ -13,6 +13,7 @@ from panelwright.llm.media import document_media
 from panelwright.llm.minhash_dedup import minhash_dedup
 from panelwright.llm.mixing import mix_sources
 from panelwright.llm.pieces import encode_pieces
+from panelwright.llm.secret_scan import secret_scan
 from panelwright.llm.substring_dedup import substring_dedup
 from panelwright.llm.token_file import token_file
 from panelwright.llm.toxicity import fit_grammar, held_out, toxicity_scores
@@ -76,11 +77,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_chat_perspectives, op5_token_file, op6_minhash_dedup, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_toxicity, op11_alignment, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_chat_perspectives, op5_token_file, op6_minhash_dedup, op7_line_dedup, op8_embedding_dedup, op9_mixing, op10_toxicity, op11_alignment, op12_secret_scan, op13_whitening)}
 
 SQL = {
     "op2_substring_dedup": r"""
