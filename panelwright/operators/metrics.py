@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 from panelwright.operators.panel import running_totals
 
 
-def ranking_metrics(df: DataFrame, score: str, target: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """Average precision (step form) and ROC AUC per group, ties counted as one step; weighted where asked."""
+def ranking_metrics(df: DataFrame, score: str, target: str, groups: Sequence[str] = (), weight: str | None = None, ranged: bool = False) -> DataFrame:
+    """Average precision (step form) and ROC AUC per group, ties counted as one step; weighted where asked.
+
+    A group's distinct scores are summed up in one task; ``ranged`` cuts them into ranges, for groups with many (their names aren't null).
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return _by_score_metrics(df.groupBy(*groups, score).agg(F.sum(w).alias("n"), F.sum(w * F.col(target)).alias("t")), score, groups)
+    return _by_score_metrics(df.groupBy(*groups, score).agg(F.sum(w).alias("n"), F.sum(w * F.col(target)).alias("t")), score, groups, ranged)
 
 
-def _by_score_metrics(by_score: DataFrame, score: str, groups: Sequence[str]) -> DataFrame:
+def _by_score_metrics(by_score: DataFrame, score: str, groups: Sequence[str], ranged: bool = False) -> DataFrame:
     """The same from the rows n and positives t of each score."""
-    if groups:
+    if groups and not ranged:
         down = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
         all_rows = Window.partitionBy(*groups)
         x = by_score.withColumns({"cn": F.sum("n").over(down), "ct": F.sum("t").over(down), "tn": F.sum("n").over(all_rows), "tt": F.sum("t").over(all_rows)})
     else:
-        x = running_totals(by_score, score, ["n", "t"]).withColumnsRenamed({"run_n": "cn", "run_t": "ct", "all_n": "tn", "all_t": "tt"})
+        x = running_totals(by_score, score, ["n", "t"], groups).withColumnsRenamed({"run_n": "cn", "run_t": "ct", "all_n": "tn", "all_t": "tt"})
     ap = F.sum(F.when(F.col("cn") > 0, F.col("t") / F.col("tt") * F.col("ct") / F.col("cn")))
     auc = F.sum(F.col("t") * ((F.col("tn") - F.col("tt")) - (F.col("cn") - F.col("ct")) + (F.col("n") - F.col("t")) / 2) / (F.col("tt") * (F.col("tn") - F.col("tt"))))
     x = x.where("tt > 0 and tn > tt")

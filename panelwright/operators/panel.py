@@ -57,21 +57,22 @@ def budget_flags(df: DataFrame, period: str, score: str, key: str, percents: Seq
     return df.withColumns({f"top_{p}pct": (F.col("budget_rank") <= limit(p)).cast("int") for p in percents})
 
 
-def running_totals(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
-    """Adds ``run_<c>``, a column's sum from the greatest ``order`` down to here, and ``all_<c>``, its sum over all rows.
+def running_totals(df: DataFrame, order: str, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """Adds ``run_<c>``, a column's sum from the greatest ``order`` down to here, and ``all_<c>``, its sum over all rows; by ``groups`` if given.
 
-    Values of ``order`` are distinct; a null stands below all others. They are cut into ranges at approximate quantiles, one for each shuffle partition; each
-    range is summed by itself, and what stands before it, one row per range, is broadcast. No task sees all rows.
+    Values of ``order`` are distinct (in their group); a null stands below all others. They are cut into ranges at approximate quantiles, one for each
+    shuffle partition; each range is summed by itself, and what stands before it, one row per range and group, is broadcast. No task sees all rows.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = F.col(order).cast("double")
     cuts = sorted(set(df.select(x.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     rows = df.withColumn("_range", F.when(x.isNull(), len(cuts)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut > x))) if cuts else F.lit(0))
-    ahead, every = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row per range
-    totals = rows.groupBy("_range").agg(*[F.sum(c).alias(c) for c in columns])
-    base = totals.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in columns], *[F.sum(c).over(every).alias(f"all_{c}") for c in columns])
-    inside = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.join(F.broadcast(base), "_range").withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"_ahead_{c}") for c in columns})
+    every = Window.partitionBy(*groups)
+    ahead = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range and group
+    totals = rows.groupBy(*groups, "_range").agg(*[F.sum(c).alias(c) for c in columns])
+    base = totals.select(*groups, "_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_ahead_{c}") for c in columns], *[F.sum(c).over(every).alias(f"all_{c}") for c in columns])
+    inside = Window.partitionBy(*groups, "_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(F.broadcast(base), [*groups, "_range"]).withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"_ahead_{c}") for c in columns})
     return met.drop("_range", *[f"_ahead_{c}" for c in columns])
 
 
