@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.pieces import marked_words
+from panelwright.llm.pieces import MARK
 from panelwright.llm.scratch import frugal, give_back, stored
 from panelwright.llm.textnum import pieces, rows_of
 from panelwright.llm.word_memo import _Codes
@@ -82,6 +82,21 @@ class ByteLevel:
         return out
 
 
+class Pieces:
+    """A SentencePiece model by its library, with the bytes of each piece; control pieces have none."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp, n = self.model, self.model.vocab_size()
+        self.raw = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, the model putting the space before it."""
+        return self.model.encode(words, num_threads=1)
+
+
 def join_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group numbers of the tokens of two tilings of the same bytes, given each token's end; tokens of no bytes aren't allowed.
 
@@ -132,19 +147,17 @@ def _counted_pairs(word: np.ndarray, a: np.ndarray, b: np.ndarray, ga: np.ndarra
 class AlignedWords:
     """Alignments of words, each made once; past ``limit`` bytes, by a rough count, the memory is started anew."""
 
-    limit = 96_000_000
+    limit = 144_000_000
     per_word = 260
-    at_once = 200_000  # new words aligned together
+    at_once = 50_000  # new words aligned together
     #: White space, to one library or another, beside the plain space and the line break.
     _spaces = "".join(map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
     _odd = re.compile(f"[{_spaces}]")
     _cut = re.compile(f"(?<=[^ \n{_spaces}]) (?=[^ \n{_spaces}])")
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteLevel(path_a), marked_words(path_b, "bpe")
-        self.raw_b = self.b.vocab.raw
-        self.size_a = np.array([len(r) for r in self.a.raw], np.int64)
-        self.size_b = np.array([len(r) for r in self.raw_b], np.int64)
+        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        self.size_a, self.size_b = (np.array([len(r) for r in x.raw], np.int64) for x in (self.a, self.b))
         widest = max(len(self.size_a), len(self.size_b))
         if widest >> ID_BITS:
             raise ValueError("a vocabulary has too many ids")
@@ -182,11 +195,9 @@ class AlignedWords:
 
     def _learn(self, keys: list[str]) -> None:
         words = [self._spaced(w) for w in keys]
-        ids_a = self.a.encode(words)
-        flat_b, n_b = self.b.encode([w[1:].encode() for w in words])
-        n_a = np.fromiter(map(len, ids_a), np.int64, len(ids_a))
-        flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(n_a.sum()))
-        flat_b = flat_b.astype(np.int64)
+        ids_a, ids_b = self.a.encode(words), self.b.encode([w[1:] for w in words])
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
         good = self._agree(words, flat_a, n_a, flat_b, n_b)
         keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
         n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
@@ -207,7 +218,7 @@ class AlignedWords:
         whole = b"".join(raw)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         good = np.ones(len(words), bool)
-        for flat, n, table, size in ((flat_a, n_a, self.a.raw, self.size_a), (flat_b, n_b, self.raw_b, self.size_b)):
+        for flat, n, table, size in ((flat_a, n_a, self.a.raw, self.size_a), (flat_b, n_b, self.b.raw, self.size_b)):
             parts, ends, stop = list(map(table.__getitem__, flat.tolist())), np.concatenate([[0], np.cumsum(size[flat])]), np.cumsum(n)
             if np.array_equal(ends[stop] - ends[stop - n], sizes) and b"".join(parts) == whole:
                 continue
