@@ -101,13 +101,14 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys, texts in pieces(rows_of(batch, "key", "text")):
+        named = zip(batch.column("key").to_pylist(), batch.column("digest").to_pylist(), strict=True)
+        for names, texts in pieces(((name, t) for name, (_, t) in zip(named, rows_of(batch, "key", "text"), strict=True))):
             doc, gram, n = shingle_counts(texts)
             sig = bag_signatures(doc, gram, n, len(texts))
             some = np.bincount(doc, minlength=len(texts)) > 0
             bands = band_keys(sig)
             low = (mix(sig.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([b.tolist() if s else [] for b, s in zip(bands, some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(np.bincount(doc, minlength=len(texts)), pa.int64())], names=["key", "bands", "sketch", "size"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*names, strict=True), (pa.int64(), pa.binary()), strict=True)), pa.array([b.tolist() if s else [] for b, s in zip(bands, some.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array(np.bincount(doc, minlength=len(texts)), pa.int64())], names=["key", "digest", "bands", "sketch", "size"])
 
 
 def _overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
@@ -306,16 +307,17 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 
 def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(key, class_id, n_links, kept), one row per row of ``docs``.
+    """(key, text_md5, class_id, n_links, kept), one row per row of ``docs``.
 
-    Two documents are linked where the weighted Jaccard similarity of their multisets of five-word shingles
-    is ``similarity`` or more; classes are what links connect, named by their least key. ``n_links`` counts the verified
-    links of a document's text to other texts that were needed to find the classes; copies of one text share it.
-    Keys are longs; a repeated row shares the class and the decision of its first. Null, empty and blank texts are
+    Two texts are linked where the weighted Jaccard similarity of their multisets of five-word shingles is ``similarity`` or more;
+    classes are what links connect, named by the least key of their rows; the rows that have it are kept. ``n_links`` counts the verified links of a
+    text to others that were needed to find the classes; which ones these are can differ between runs.
+    Keys are longs. Rows are judged by their own texts: a repeated row shares the decision of its first, and of a key with several texts
+    each row goes with the class of its text, ``text_md5`` telling them apart. Null, empty and blank texts are
     never duplicates and keep a class of their own; a row without a key is compared with nothing and kept, its class null.
     An empty table gives an empty one. Other columns, whatever their names, are not read.
 
-    Equal texts are met first by digest. Each bucket of a band then compares its members with its least and its
+    Equal texts are met first by digest and are one from there on, under a number of their own. Each bucket of a band then compares its members with its least and its
     greatest, then, where several classes are left in it, with ``LEADERS`` random members. What still lies apart is
     compared within the bucket by signatures, in block pairs of ``BUCKET_BLOCK`` members (fewer long ones); the members
     that these don't rule out meet again in their block with their texts, all pairs of different classes are verified
@@ -323,20 +325,21 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     no pairs are put out to be dropped.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    sketched = docs.withColumn("digest", F.unhex(F.md5("text")))
-    sketches = docs.mapInArrow(frugal(_sketch), "key long, bands array<long>, sketch binary, size long")
-    # the digest rides along natively: one row per key on both sides
-    sketches = stored(sketches, "sketches")
-    digests = stored(sketched.select("key", "digest"), "digests")
-    digests = digests.where("digest is not null")
-    firsts = stored(digests.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "firsts")
-    member = stored(join_spread(digests, firsts, "digest", "n").select("key", "rep"), "members")
-    reps = member.where("key = rep").select("key")
-    sketches = stored(sketches.join(reps, "key", "left_semi").where("size(bands) > 0").dropDuplicates(["key"]), "sketches")
-    corpus = _Corpus(docs, sketches.select("key", "sketch"), similarity)
+    blank = F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) == 0
+    docs = docs.withColumn("digest", F.unhex(F.md5("text"))).withColumn("judged", F.col("key").isNotNull() & F.coalesce(~blank, F.lit(False)))
+    digests = stored(docs.select("key", "digest", "judged"), "digests")
+    firsts = digests.where("judged").groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    firsts = stored(firsts.withColumn("node", F.monotonically_increasing_id()), "firsts")
+    own = firsts.select("digest", F.col("least").alias("key"), "node")  # where a text stands
+    sketches = stored(docs.where("judged").mapInArrow(frugal(_sketch), "key long, digest binary, bands array<long>, sketch binary, size long"), "sketches")
+    sketches = sketches.join(own.hint("merge"), ["digest", "key"]).dropDuplicates(["node"])
+    sketches = stored(sketches.select(F.col("node").alias("key"), "bands", "sketch", "size").where("size(bands) > 0"), "sketches")
     rows = sketches.select(F.posexplode("bands").alias("at", "band"), "key", F.greatest(F.lit(1.0), F.col("size") / BLOCK_SHINGLES).alias("weight"))
     ends = rows.groupBy("band", "at").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
     full = stored(rows.join(ends.hint("merge"), ["band", "at"]).select("band", "at", "key", "weight", "lo", "hi", "n"), "buckets")
+    met = own.join(full.select(F.col("key").alias("node")).distinct().hint("merge"), "node")
+    texts = docs.join(met.hint("merge"), ["digest", "key"]).select(F.col("node").alias("key"), "text").dropDuplicates(["key"])
+    corpus = _Corpus(stored(texts, "texts"), sketches.select("key", "sketch"), similarity)
     stars = full.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("key").alias("b")), F.struct(F.col("hi").alias("a"), F.col("key").alias("b")))).alias("p")).select("p.*")
     links = corpus.verified(_ordered(stars))
     classes = stored(connected_components(links), "classes")
@@ -365,11 +368,11 @@ def minhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
             links = stored(links.unionByName(more), "links")
             classes = stored(connected_components(links), "classes")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.join(degree, "node").select(F.col("node").alias("rep"), "component", "n_links")
-    named = stored(named.join(firsts.groupBy("rep").agg(F.sum("n").alias("n")), "rep"), "named")
-    ours = join_spread(member, named, "rep", "n", "left").groupBy(F.col("key").alias("k")).agg(F.min(F.coalesce("component", "rep")).alias("class"), F.max("n_links").alias("n_links"))
-    blank = F.length(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))) == 0
-    blanks = docs.select("key", (F.col("text").isNull() | blank).alias("blank"))
-    out = blanks.join(ours, blanks["key"] == ours["k"], "left")
-    final = F.when(F.col("blank"), F.col("key")).otherwise(F.coalesce("class", "key"))
-    return out.select(F.col("key").alias(key), final.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), final.eqNullSafe(F.col("key")).alias("kept"))
+    joined = stored(classes.join(degree, "node").join(firsts, "node").select("digest", "least", "component", "n_links"), "joined")
+    names = joined.groupBy("component").agg(F.min("least").alias("class"), F.count("*").alias("members"))
+    named = join_spread(joined, stored(names, "names"), "component", "members").select("digest", "class", "n_links")
+    facts = firsts.join(named.hint("merge"), "digest", "left").select("digest", "n", F.coalesce("class", "least").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    judged = join_spread(digests.where("judged"), stored(facts, "facts"), "digest", "n")
+    rest = digests.where("NOT judged").withColumns({"class": F.col("key"), "n_links": F.lit(0).cast("long")})
+    out = judged.unionByName(rest)
+    return out.select(F.col("key").alias(key), F.lower(F.hex("digest")).alias("text_md5"), F.col("class").alias("class_id"), "n_links", F.col("class").eqNullSafe(F.col("key")).alias("kept"))

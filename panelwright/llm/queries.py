@@ -52,7 +52,7 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(table(spark, sf_dir, "documents")).drop("n_links")
+    return minhash_dedup(table(spark, sf_dir, "documents")).drop("n_links", "text_md5")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

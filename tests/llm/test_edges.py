@@ -60,6 +60,27 @@ def test_minhash_decisions(docs):
     assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (None, None, True)}
 
 
+def test_minhash_of_a_key_with_several_texts(spark):
+    """(1, A), (1, B), (2, near B), (3, near A): each row goes with its own text, whatever the order; nulls and reruns too."""
+    words = lambda p: [f"{p}{i}" for i in range(120)]
+    a, b = " ".join(words("a")), " ".join(words("b"))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (None, a), (None, near(b)), (4, None), (5, ""), (1, a)]
+    want = sorted([(1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (-1, -1, True), (-1, -1, True), (4, 4, True), (5, 5, True)])
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        for _ in range(2):
+            assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.class_id is None else r.class_id, r.kept) for r in minhash_dedup(df).collect()) == want
+
+
+def test_minhash_of_one_key_for_most_rows(spark):
+    """Most rows have the same key and different texts; copies of one of them lie under other keys."""
+    text = lambda i: " ".join(f"t{i}x{j}" for j in range(60))
+    rows = [(7, text(i)) for i in range(200)] + [(100 + i, text(i) + " end") for i in range(20)]
+    got = {(r.doc_id, r.class_id, r.kept) for r in minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 7, True)} | {(100 + i, 7, False) for i in range(20)}
+
+
 def test_substring_decisions(docs):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(docs).collect()}
     assert got == {(1, 50, 50), (2, 50, 50), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 60_000, 0), (None, 50, 50), (None, 0, 0), (None, 4, 0)}
