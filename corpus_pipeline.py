@@ -5,7 +5,8 @@ last one returns the token ids). No stage is plain SQL, so there is no ORACLE_SQ
 stage against a brute-force version.
 
 Null and empty texts pass every stage but mixing, which takes no document without words. Rows without a doc_id
-are judged by their own text alone and never dropped as duplicates; of a repeated row near dedup keeps one. Columns
+are judged by their own text alone and never dropped as duplicates; of a row that repeats id and text near dedup keeps one, and
+rows of one id with different texts are judged by their own. Columns
 other than those of ``documents`` are left out, whatever their names; an empty table gives an empty table.
 """
 
@@ -40,13 +41,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class; rows without an id stay, of rows that repeat an id one stays."""
-    found = stored(minhash_dedup(docs), "found")
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    repeated = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    docs = docs.select(*COLUMNS)
-    once = docs.join(dropped.unionByName(repeated), "doc_id", "left_anti")
-    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    """The rows with the least id of each class of texts; rows without an id stay, of rows that repeat an id and its text one stays."""
+    found = stored(minhash_dedup(docs), "found").where("doc_id is not null")
+    dropped = found.where("not kept").select("doc_id", "text_md5").distinct()
+    repeated = found.where("kept").groupBy("doc_id", "text_md5").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    docs = docs.select(*COLUMNS).withColumn("text_md5", F.md5("text"))
+    alone, again = (x.withColumnsRenamed({"doc_id": "_id", "text_md5": "_md5"}) for x in (dropped.unionByName(repeated), repeated))
+    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_md5").eqNullSafe(F.col("_md5"))
+    once = docs.join(alone, hit, "left_anti")
+    return once.unionByName(docs.join(again, hit, "left_semi").dropDuplicates(["doc_id", "text_md5"])).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
