@@ -91,7 +91,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     the cut. One row per row of ``docs``; repeated rows and rows without a key are dealt with one by one.
 
     Rates are rounded to whole copies by sequential Poisson sampling: a document's fraction f is rounded up in
-    the order of u / f, u a hash of its key, until the source's words reach the target; the document at the
+    the order of u / f, u a hash of its key (of its text where it has none), until the source's words reach the target; the document at the
     cut goes to the nearer side. So a source's ``taken`` misses its target by half a document at most, reruns
     agree, and no document exceeds ``cap`` (a whole number) times its size. Null text has size 0, null sources
     are one source, sizeless documents get no copies; an empty table gives an empty table.
@@ -99,13 +99,14 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     The running sum is taken over ``BINS`` sums per source; only the bin at the cut is ordered row by row. Other columns of ``docs``
     aren't read, so their names may clash with any here; texts of any length are counted where they lie.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    base = stored(rows.select("key", "source", "size"), "sizes")
+    draw = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"), F.lit("mix"))).otherwise(F.xxhash64(F.col(text), F.lit("mix")))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw.alias("draw"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    base = stored(rows.select("key", "source", "size", "draw"), "sizes")
     targets = stored(source_targets(base, weights, share, cap), "targets")
     per = stored(of_source(targets, tilts(base, targets, cap)), "tilts")
 
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))))
-    u = (F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("mix")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (F.pmod("draw", F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     turn = F.when(F.col("f") > 1e-9, u / F.col("f"))
 
     def rated_rows(df: DataFrame) -> DataFrame:

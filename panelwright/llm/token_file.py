@@ -102,7 +102,10 @@ BLOCK = "part int, block int, ids_before long, n_docs int, n_ids long, keys bina
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end: int | None = 2, key: str = "doc_id", text: str = "text") -> None:
-    """Encodes every text and writes the blocks to ``path`` in ascending order of ``key``, a file per key range."""
+    """Encodes every text and writes the blocks to ``path`` in ascending order of ``key``, a file per range of keys and text hashes.
+
+    So rows of one key, or without one, are dealt to several files where they are many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,8 +121,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end: int | None
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
                 block, before = block + 1, before + len(ids)
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "h").sortWithinPartitions("key", "h", "text").drop("h")
     ordered.mapInArrow(frugal(run), BLOCK).write.option("compression", "zstd").parquet(path)
 
 
@@ -153,7 +156,7 @@ def token_file(docs: DataFrame, tokenizer: str, end: int | None = 2, key: str =
     """Writes all documents' ids as a token file and returns its index, read back from it.
 
     A null text is empty and has the end id alone; without one it has no ids and keeps its row. Rows with one key
-    follow each other in the order of their texts, those without a key come first. An empty table gives an empty index.
+    follow each other in the order of a hash of their texts, those without a key come first (as does the least long, which stands for none). An empty table gives an empty index.
     Texts are encoded in pieces of about a MB, a longer one by itself, and a text's ids are never split. Columns of ``docs``
     other than key and text aren't read, so their names may clash with any here.
     """

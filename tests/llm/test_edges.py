@@ -109,6 +109,20 @@ def test_mixing_reruns_and_carries(docs):
     assert {r.copies for r in mix_sources(docs).where("size = 0").collect()} == {0}
 
 
+def test_rows_without_keys_are_dealt_out(spark):
+    """With nine rows of ten keyless, mixing draws for each text by itself, and the token file has several files of them."""
+    rows = [(None if i % 10 else i, f"words number {i} of a text", "s") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix_sources(df, weights=(1.0,), share=0.5).collect()
+    keyless = [r.copies for r in mixed if r.doc_id is None]
+    assert 0 < sum(keyless) < len(keyless) and abs(sum(r.taken for r in mixed) - mixed[0].target) <= 6
+    got = token_file(df, P.path("word_bpe_49k.json")).collect()
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert len(got) == 600 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids[:540] == [None] * 540 and ids[540:] == sorted(ids[540:])
+
+
 def test_media_of_nothing(docs):
     got = [r for r in document_media(docs).collect() if r.doc_id in (3, 4)]
     assert [(r.n_bytes, r.payload_bytes) for r in got] == [(0, 576)] * 2 and len({r.payload_sha256 for r in got}) == 1

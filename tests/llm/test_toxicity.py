@@ -82,13 +82,11 @@ def test_repeated_labelled_rows_count_once(spark):
     assert got == {i: int(y) for i, _, y in rows}
 
 
-def test_held_out_accuracy(spark):
-    """On sf0.01 all held-out toxic documents but those whose labels are noise (their texts hold no insult) are found."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_held_out_accuracy(spark, sf, recall):
+    """Over all held-out rows, found toxic ones and flagged clean ones; some labels are noise (3 of 18 on sf0.01: no insult in the text)."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
     grammar = T.fit_grammar(docs, labels.where(~T.held_out(F.col("doc_id"))))
-    rows = T.toxicity_scores(docs, grammar).join(labels, "doc_id").where(T.held_out(F.col("doc_id"))).join(docs.select("doc_id", "text"), "doc_id").collect()
-    harsh = ("idiot", "clown", "pathetic", "scum", "trash", "worthless", "stupid", "loser", "moron", "disgusting")
-    marked = [r for r in rows if r.toxic == 1 and any(w in r.text.lower() for w in harsh)]
-    assert marked and sum(r.predicted for r in marked) >= 0.9 * len(marked)
-    clean = [r for r in rows if r.toxic == 0]
-    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    rows = T.toxicity_scores(docs, grammar).join(labels, "doc_id").where(T.held_out(F.col("doc_id"))).select("toxic", "predicted").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == v] for v in (1, 0))
+    assert toxic and sum(toxic) >= recall * len(toxic) and sum(clean) <= 0.02 * len(clean)
