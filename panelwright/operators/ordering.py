@@ -21,14 +21,31 @@ def by_range(df: DataFrame, by: Column) -> DataFrame:
     return df.withColumn(RANGE, F.when(x.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < x)) if cuts else 0))
 
 
+def by_range_within(df: DataFrame, by: Column, within: Sequence[str]) -> DataFrame:
+    """As :func:`by_range`, but cut for each value of ``within`` by itself: few values, such as the names of measures or the periods.
+
+    The cuts come from one mergeable aggregate and are broadcast: an array for each value of ``within``.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = by.cast("double")
+    cuts = df.groupBy(*[F.col(c).alias(f"_w{c}") for c in within]).agg(F.array_distinct(F.percentile_approx(x, [i / n for i in range(1, n)] or [1.0], 20 * n)).alias("_cuts"))
+    same = F.lit(True)
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{c}"))
+    met = df.join(F.broadcast(cuts), same)
+    return met.withColumn(RANGE, F.when(x.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < x)))).drop("_cuts", *[f"_w{c}" for c in within])
+
+
 def by_digest(df: DataFrame, digest: Column, digits: int = 3) -> DataFrame:
     """``df`` with the number that a hexadecimal digest's first digits make: even ranges of the digest's order, without a look at the data."""
     return df.withColumn(RANGE, F.conv(F.substring(digest, 1, digits), 16, 10).cast("int"))
 
 
-def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_index", groups: Sequence[str] = ()) -> DataFrame:
+def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_index", groups: Sequence[str] = (), ties: Sequence[Column] = ()) -> DataFrame:
     """Adds ``name``, each row's place from 0 in the order of its range and then ``order``, and ``n_rows``; by ``groups`` if given.
 
+    With ``ties``, the beginning of ``order`` by which rows count as equal, also ``n_before``: the rows that stand before a row and its equals.
+
     The ranges are those of :func:`by_range` or :func:`by_digest`. Each is numbered by itself; the rows of the ranges before it come
     from one row for each range and group, which are broadcast. The range's number is dropped.
     """
@@ -40,8 +57,13 @@ def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_in
     same = F.lit(True)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"_b{c}"))
-    numbered = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return numbered.join(F.broadcast(base), same).withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_before", "_at", RANGE, *[f"_b{c}" for c in keys])
+    inside = Window.partitionBy(*keys)
+    numbered = ranged.withColumn("_at", F.row_number().over(inside.orderBy(*order)))
+    new = {name: F.col("_before") + F.col("_at") - 1}
+    if ties:
+        numbered = numbered.withColumn("_rank", F.rank().over(inside.orderBy(*ties)))
+        new["n_before"] = F.col("_before") + F.col("_rank") - 1
+    return numbered.join(F.broadcast(base), same).withColumns(new).drop("_before", "_at", "_rank", RANGE, *[f"_b{c}" for c in keys])
 
 
 def systematic_sample(df: DataFrame, by: Column, order: Sequence[Column], most: int = 10_000) -> DataFrame:
