@@ -19,14 +19,14 @@ def distress_events(features: DataFrame, keys: Sequence[str], categories: Mappin
 def look_ahead(rows: DataFrame, entity: str, period: str, value: Column, months: int) -> DataFrame:
     """Adds n_ahead and any_ahead: the rows of the entity within (period, period + months], and whether ``value`` holds in one.
 
-    A window over the dates themselves, not a range join: no row meets more than its own entity's partition.
+    A window over the months of the rows, not a range join: a row meets those of its entity in the months of the horizon, however many there are,
+    and the days decide in the first and the last of these months.
     """
     day = F.unix_date(F.col(period))
     end = F.unix_date(F.add_months(F.col(period), months))
-    own = Window.partitionBy(entity).orderBy(period)
-    # months differ in days: count from the start, and take the counts at the horizon's end by the next rows' dates
-    ahead = F.collect_list(F.struct(day.alias("day"), F.coalesce(value, F.lit(False)).alias("hit"))).over(own.rowsBetween(1, (months + 2) // 3))
-    inside = F.filter(ahead, lambda r: r["day"] <= end)  # periods are quarters: at most months / 3 rows lie inside
+    own = Window.partitionBy(entity).orderBy(F.year(period) * 12 + F.month(period)).rangeBetween(0, months)
+    ahead = F.collect_list(F.struct(day.alias("day"), F.coalesce(value, F.lit(False)).alias("hit"))).over(own)
+    inside = F.filter(ahead, lambda r: (r["day"] > day) & (r["day"] <= end))
     return rows.withColumns({"n_ahead": F.size(inside), "any_ahead": F.exists(inside, lambda r: r["hit"])})
 
 
@@ -44,8 +44,11 @@ def validate_events(events: DataFrame, panel: DataFrame, entity: str, period: st
     coverage: UNMATCHED (no history), BEFORE_START, NO_PRIOR_OBSERVATION, or COVERED.
     """
     bounds = panel.groupBy(entity).agg(F.min(period).alias("first_period"), F.max(period).alias("last_period"))
-    before = events.join(panel.select(F.col(entity).alias("_e"), F.col(period).alias("_p")), (F.col(entity) == F.col("_e")) & (F.col("_p") < F.col(date))).groupBy(entity, date).agg(F.max("_p").alias("last_before"), F.count_distinct("_p").alias("n_before"))
-    x = events.join(bounds, entity, "left").join(before, [entity, date], "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
+    # one pass over an entity's periods and events by date: an event comes before the period of its own day
+    seen = panel.select(entity, F.col(period).alias("_seen")).distinct().withColumns({"_at": F.col("_seen"), "_is": F.lit(1)})
+    both = events.withColumns({"_at": F.col(date), "_is": F.lit(0)}).unionByName(seen, allowMissingColumns=True)
+    past = Window.partitionBy(entity).orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, -1)
+    x = both.withColumns({"last_before": F.last("_seen", ignorenulls=True).over(past), "n_before": F.count("_seen").over(past)}).where("_is = 0").drop("_at", "_is", "_seen").join(bounds, entity, "left")
     coverage = F.when(F.col("first_period").isNull(), "UNMATCHED").when(F.col(date) < F.lit(start).cast("date"), "BEFORE_START").when(F.col("n_before") == 0, "NO_PRIOR_OBSERVATION").otherwise("COVERED")
     return x.withColumn("coverage", coverage)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,16 +29,28 @@ def prior_event(panel: DataFrame, events: DataFrame, entity: str, period: str, d
     return panel.join(first, entity, "left").withColumn("post_event", F.coalesce(F.col(period) >= F.col("first_event"), F.lit(False)))
 
 
-def outcome_labels(panel: DataFrame, entity: str, period: str, months: int, end: str, failure: str = "FAILURE", min_history: int = 4) -> DataFrame:
+def numbered(panel: DataFrame, entity: str, period: str) -> DataFrame:
+    if "history" in panel.columns:
+        return panel
+    return panel.withColumn("history", F.row_number().over(Window.partitionBy(entity).orderBy(period)))
+
+
+def labels_of_horizons(panel: DataFrame, entity: str, period: str, horizons: Mapping[str, int], end: str, **rules) -> DataFrame:
+    """:func:`outcome_labels` of several horizons (name: months), one below the other under ``horizon``; the panel is built once."""
+    each = F.array(*[F.struct(F.lit(n).alias("horizon"), F.lit(m).alias("_months")) for n, m in horizons.items()])
+    x = numbered(panel, entity, period).select("*", F.inline(each))
+    return outcome_labels(x, entity, period, F.col("_months"), end, **rules).drop("_months")
+
+
+def outcome_labels(panel: DataFrame, entity: str, period: str, months: int | Column, end: str, failure: str = "FAILURE", min_history: int = 4) -> DataFrame:
     """Status and tri-state label of each row for one horizon.
 
     Order of the tests: past the event, blocked by quality, short history, positive, competing exit, right-censored,
     negative; the horizon's last day is inside. Only positives and negatives have a label. Needs
-    ``post_event``, ``blocked``, ``next_date`` and ``next_type``.
+    ``post_event``, ``blocked``, ``next_date`` and ``next_type``; ``history``, the row's number in its entity, is made unless it is there.
     """
     horizon = F.add_months(F.col(period), months)
-    history = F.row_number().over(Window.partitionBy(entity).orderBy(period))
-    df = panel.withColumns({"horizon_end": horizon, "history": history})
+    df = numbered(panel, entity, period).withColumn("horizon_end", horizon)
     hit = F.col("next_date").isNotNull() & (F.col("next_date") <= F.col("horizon_end"))
     status = (
         F.when(F.col("post_event"), "INELIGIBLE_POST_EVENT").when(F.col("blocked"), "INELIGIBLE_QUALITY").when(F.col("history") < min_history, "INELIGIBLE_SHORT_HISTORY")

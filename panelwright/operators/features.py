@@ -53,6 +53,7 @@ def _hhi(n: str) -> str:
     return f"CASE WHEN {total} > 0 THEN " + " + ".join(f"power(({c}) / ({total}), 2)" for c in _category_values(n)) + " END"
 
 
+#: The names of the features, their formulas and their flags' thresholds.
 FAMILIES: dict[str, dict[str, str]] = {
     "capital": {
         "equity_to_assets": _share("equity", "asset"),

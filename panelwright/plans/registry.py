@@ -154,7 +154,7 @@ def shift_join(s: SparkSession, d: str) -> DataFrame:
     return panel.shift_join(p, "entity", "period", ["asset"], 1).join(back, ["entity", "period"])
 
 
-_RULES = (("DQ020", "WARNING", "RANGE", "l_extendedprice > 90000"), ("DQ024", "BLOCKING", "RANGE", "l_quantity > 49"), ("DQ026", "WARNING", "PERCENT", "l_discount >= 0.1"), ("DQ027", "BLOCKING", "MISSING", "l_shipdate is null"), ("DQ006", "WARNING", "PERIOD", "l_shipdate >= timestamp '2001-01-01 00:00:00'"))
+_RULES = (("LINE_PRICE_HIGH", "WARNING", "RANGE", "l_extendedprice > 90000"), ("LINE_QUANTITY_TOP", "BLOCKING", "RANGE", "l_quantity > 49"), ("LINE_DISCOUNT_TOP", "WARNING", "PERCENT", "l_discount >= 0.1"), ("LINE_DATE_MISSING", "BLOCKING", "MISSING", "l_shipdate is null"), ("LINE_DATE_LATE", "WARNING", "PERIOD", "l_shipdate >= timestamp '2001-01-01 00:00:00'"))
 _EXC_SQL = " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{i}' AS control_id, '{v}' AS severity, '{k}' AS category, md5('{i}' || CAST(l_orderkey AS VARCHAR) || CAST(l_linenumber AS VARCHAR)) AS exception_id FROM lineitem WHERE {r}" for i, v, k, r in _RULES)
 
 
@@ -216,13 +216,16 @@ def _label_case(months: int) -> str:
     return f"CASE WHEN coalesce(period >= first_event, FALSE) THEN 'INELIGIBLE_POST_EVENT' WHEN blocked THEN 'INELIGIBLE_QUALITY' WHEN history < 4 THEN 'INELIGIBLE_SHORT_HISTORY' WHEN next_date <= {h} AND next_type = 'FAILURE' THEN 'POSITIVE' WHEN next_date <= {h} THEN 'COMPETING_EXIT' WHEN {h} > DATE '{_END}' THEN 'RIGHT_CENSORED' ELSE 'NEGATIVE' END"
 
 
-def _labels(s: SparkSession, d: str, months: int) -> DataFrame:
+def _label_panel(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "lineitem").withColumns({"entity": F.col("l_partkey"), "period": C.quarter_end(F.col("l_shipdate"))})
     p = lines.groupBy("entity", "period").agg((F.sum(F.col("l_quantity").cast("decimal(12,2)")) >= 190).alias("blocked"))
     ev = lines.where("l_discount >= 0.09 and l_quantity >= 48 and l_returnflag in ('R', 'A')").select("entity", F.col("l_shipdate").cast("date").alias("event_date"), F.expr(_KINDS).alias("event_type"))
     p = events.next_event(p, ev, "entity", "period")
-    p = events.prior_event(p, ev.where("event_type = 'FAILURE'"), "entity", "period")
-    return events.outcome_labels(p, "entity", "period", months, _END)
+    return events.prior_event(p, ev.where("event_type = 'FAILURE'"), "entity", "period")
+
+
+def _labels(s: SparkSession, d: str, months: int) -> DataFrame:
+    return events.outcome_labels(_label_panel(s, d), "entity", "period", months, _END)
 
 
 @query(f"{_LABEL_SQL} SELECT entity, period, next_date, next_type, {_label_case(12)} AS status, CASE {_label_case(12)} WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN 0 END AS label FROM y")

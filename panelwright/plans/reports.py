@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import columns as C
-from panelwright.operators import models, panel, quality, ranking
+from panelwright.operators import events, models, panel, quality, ranking
 from panelwright.plans import registry as R
 from panelwright.plans.registry import query, table
 
@@ -15,7 +15,7 @@ _BOTH_SQL = f"{R._LABEL_SQL}, z AS (SELECT entity, period, next_date, next_type,
 
 def _both(s: SparkSession, d: str) -> DataFrame:
     """Labels of both horizons, one below the other."""
-    return R._labels(s, d, 12).withColumn("horizon", F.lit("4Q")).unionByName(R._labels(s, d, 24).withColumn("horizon", F.lit("8Q")))
+    return events.labels_of_horizons(R._label_panel(s, d), "entity", "period", {"4Q": 12, "8Q": 24}, R._END)
 
 
 @query(f"{_BOTH_SQL} SELECT horizon, status, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM z GROUP BY 1, 2")

@@ -109,3 +109,19 @@ def test_ingest_twice(spark, tmp_path):
     put([(2, 1), (3, 2)])
     assert run() == [(1, "2024-01"), (2, "2024-01"), (3, "2024-02")]
     assert run() == [(1, "2024-01"), (2, "2024-01"), (3, "2024-02")]
+
+
+def test_look_ahead_of_monthly_and_double_rows(spark):
+    """More rows than one a quarter lose no follow-up, and the days decide in the last month."""
+    days = [dt.date(2020, m, 15) for m in range(1, 13)] + [dt.date(2021, 1, 14), dt.date(2021, 1, 15), dt.date(2021, 1, 16), dt.date(2020, 1, 15)]
+    rows = spark.createDataFrame([(1, d, d == dt.date(2021, 1, 15)) for d in days], "e int, p date, hit boolean")
+    got = {r.p: (r.n_ahead, r.any_ahead) for r in distress.look_ahead(rows, "e", "p", F.col("hit"), 12).collect()}
+    assert got[dt.date(2020, 1, 15)] == (13, True) and got[dt.date(2021, 1, 15)] == (1, False) and got[dt.date(2021, 1, 16)] == (0, False)
+
+
+def test_validate_events_on_one_day_and_without_history(spark):
+    panel = spark.createDataFrame([(1, dt.date(2020, m, 28)) for m in (3, 6, 6, 9)], "e int, p date")
+    ev = spark.createDataFrame([(1, dt.date(2020, 6, 28), "a"), (1, dt.date(2020, 6, 29), "b"), (1, dt.date(2020, 6, 29), "c"), (1, dt.date(2020, 1, 1), "d"), (2, dt.date(2020, 1, 1), "e")], "e int, at date, kind string")
+    got = {r.kind: (str(r.last_before), r.n_before, r.coverage) for r in distress.validate_events(ev, panel, "e", "p", "at", "2019-01-01").collect()}
+    two = ("2020-06-28", 2, "COVERED")
+    assert got == {"a": ("2020-03-28", 1, "COVERED"), "b": two, "c": two, "d": ("None", 0, "NO_PRIOR_OBSERVATION"), "e": ("None", 0, "UNMATCHED")}
