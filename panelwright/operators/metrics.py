@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.panel import running_totals
 
+#: The distribution function of Poisson(1) at 0 to 4; a uniform number past the k-th of them makes k copies.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
+
 
 def ranking_metrics(df: DataFrame, score: str, target: str, groups: Sequence[str] = (), weight: str | None = None, ranged: bool = False) -> DataFrame:
     """Average precision (step form) and ROC AUC per group, ties counted as one step; weighted where asked.
@@ -61,14 +64,25 @@ def cluster_bootstrap(df: DataFrame, entity: str, score: str, target: str, draws
     The rows are summed by entity and score once and the draws made of distinct entities, so a draw costs no scan.
     """
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col(entity).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    times = sum(((h >= c).cast("int") for c in cuts), F.lit(0))
+    times = sum(((h >= c).cast("int") for c in POISSON), F.lit(0))
     rows = df.groupBy(entity, score).agg(F.count("*").cast("double").alias("n"), F.sum(target).cast("double").alias("t"))
     drawn = df.select(entity).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", times).where("times > 0")
     x = rows.join(drawn, entity).groupBy("rep", score).agg(F.sum(F.col("times") * F.col("n")).alias("n"), F.sum(F.col("times") * F.col("t")).alias("t"))
     return _by_score_metrics(x, score, ("rep",))
 
 
+def event_bootstrap(events: DataFrame, keys: Sequence[str], captured: str, draws: int = 200) -> DataFrame:
+    """(rep, n_events, capture_rate) of draws of whole events: an event's multiplicity comes from a hash of (draw, keys) through Poisson(1).
+
+    A row for each event and draw, summed at once; a draw without events has a null rate.
+    """
+    named = F.concat_ws("|", F.col("rep").cast("string"), *[F.col(k).cast("string") for k in keys])
+    h = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = sum(((h >= c).cast("int") for c in POISSON), F.lit(0))
+    drawn = events.select(*keys, F.col(captured).cast("int").alias("_hit"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("rep")).withColumn("_n", times)
+    return drawn.groupBy("rep").agg(F.sum("_n").alias("n_events"), F.round(F.try_divide(F.sum(F.col("_n") * F.col("_hit")).cast("double"), F.sum("_n")), 6).alias("capture_rate"))
+
+
 def bootstrap_interval(draws: DataFrame, metric: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Number of draws, mean and the interval of a metric over :func:`cluster_bootstrap`'s draws."""
     q = F.percentile(metric, F.array(F.lit(low), F.lit(high)))

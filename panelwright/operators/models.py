@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import sanitised, sigmoid
-from panelwright.operators.metrics import ranking_metrics
+from panelwright.operators.metrics import probability_errors, ranking_metrics
+from panelwright.operators.panel import best_by
 
 OUTSIDE = "OUTSIDE_PROTOCOL"
 
@@ -81,33 +83,89 @@ class Fitted:
         return out.select("_row.*", vector_to_array("_p").getItem(1).alias(name))
 
 
-def fit(train: DataFrame, columns: Sequence[str], estimator) -> Fitted:
-    """Fits one candidate; medians, scales and class weights come from ``train`` alone."""
+def _vectors(train: DataFrame, columns: Sequence[str]) -> tuple[PipelineModel, dict[str, float], DataFrame]:
+    """(stages that make the scaled vector, training medians, the training rows with vector and class weights); all from ``train`` alone."""
     medians = train_medians(train, columns)
     n = train.agg(F.count("*").alias("n"), F.sum("target").alias("p")).first()
     if not n.p or n.p == n.n:
         raise ValueError("training rows need both classes")
     weighted = prepared(train, medians).withColumn("class_weight", F.when(F.col("target") == 1, n.n / (2.0 * n.p)).otherwise(n.n / (2.0 * (n.n - n.p))))
     names = [*columns, *[f"{c}_missing" for c in columns]]
-    stages = [VectorAssembler(inputCols=names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), estimator.copy({estimator.probabilityCol: "_p"})]
-    return Fitted(Pipeline(stages=stages).fit(weighted), medians)
+    stages = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]).fit(weighted)
+    return stages, medians, stages.transform(weighted).drop("_raw")
+
+
+def _fitted(stages: PipelineModel, medians: dict[str, float], rows: DataFrame, estimator) -> Fitted:
+    model = estimator.copy({estimator.probabilityCol: "_p"}).fit(rows)
+    return Fitted(PipelineModel([*stages.stages, model]), medians)
+
+
+def fit(train: DataFrame, columns: Sequence[str], estimator) -> Fitted:
+    """Fits one candidate; medians, scales and class weights come from ``train`` alone."""
+    return _fitted(*_vectors(train, columns), estimator)
 
 
-def cross_validate(df: DataFrame, columns: Sequence[str], folds: Sequence[tuple[str, str, str]], period: str = "period", models: dict[str, object] | None = None) -> DataFrame:
-    """(model, fold, n_rows, positives, average_precision, roc_auc) of expanding folds: train up to the first date, validate in the window after."""
-    out = None
-    for name, estimator in (models or candidates()).items():
-        for fold, (until, first, last) in enumerate(folds, 1):
-            model = fit(df.where(F.col(period) <= F.lit(until).cast("date")), columns, estimator)
-            scored = model.score(df.where(F.col(period).between(F.lit(first).cast("date"), F.lit(last).cast("date"))))
-            part = ranking_metrics(scored, "probability", "target").select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "n_rows", "positives", "average_precision", "roc_auc")
-            out = part if out is None else out.unionByName(part)
-    return out
+#: Fold metrics of a candidate.
+_CV = "model string, fold int, n_rows long, positives long, average_precision double, roc_auc double, brier double"
+
+
+def cross_validate(df: DataFrame, columns: Sequence[str], folds: Sequence[tuple[str, str, str]], period: str = "period", models: dict[str, object] | None = None, at_once: int = 4) -> DataFrame:
+    """(model, fold, n_rows, positives, average_precision, roc_auc, brier) of expanding folds: train up to the first date, validate in the window after.
+
+    A fold's rows are made into vectors once and kept while its candidates are fitted, ``at_once`` of them side by side. A fold
+    without both classes in its training rows raises; one without both in its window has null metrics.
+    """
+    out = []
+    for fold, (until, first, last) in enumerate(folds, 1):
+        stages, medians, rows = _vectors(df.where(F.col(period) <= F.lit(until).cast("date")), columns)
+        rows = rows.select("features", "target", "class_weight").persist()
+        held = df.where(F.col(period).between(F.lit(first).cast("date"), F.lit(last).cast("date"))).persist()
+
+        def judged(item, fold=fold, stages=stages, medians=medians, rows=rows, held=held) -> tuple:
+            scored = _fitted(stages, medians, rows, item[1]).score(held)
+            m, e = ranking_metrics(scored, "probability", "target").first(), probability_errors(scored, "probability", "target").first()
+            n = scored.count() if m is None else int(m.n_rows)
+            return (item[0], fold, n, int(m.positives) if m else None, m.average_precision if m else None, m.roc_auc if m else None, e.brier)
+
+        try:
+            with ThreadPoolExecutor(at_once) as pool:
+                out += pool.map(judged, (models or candidates()).items())
+        finally:
+            rows.unpersist()
+            held.unpersist()
+    return df.sparkSession.createDataFrame(out, _CV)
+
+
+def compare_scores(df: DataFrame, scores: Mapping[str, Column], folds: Sequence[tuple[str, str, str]], period: str = "period", target: str = "target") -> DataFrame:
+    """The same metrics for scores that need no fit, and for the training rows' prevalence as a constant score ("prevalence"), in one pass."""
+    day = lambda x: F.lit(x).cast("date")
+    sides = [(F.col(period) <= day(u), F.col(period).between(day(a), day(b))) for u, a, b in folds]
+    base = df.agg(*[F.avg(F.when(t, F.col(target))).alias(f"_b{i}") for i, (t, _) in enumerate(sides)])  # one row
+    rows = df.crossJoin(F.broadcast(base))
+    inside = F.array(*[F.when(v, F.struct(F.lit(i).alias("fold"), F.col(f"_b{i - 1}").alias("base"))) for i, (_, v) in enumerate(sides, 1)])
+    rows = rows.withColumn("_f", F.explode(F.array_compact(inside)))
+    each = F.array(F.struct(F.lit("prevalence").alias("model"), F.col("_f.base").alias("score")), *[F.struct(F.lit(n).alias("model"), c.cast("double").alias("score")) for n, c in scores.items()])
+    long = rows.select(F.col("_f.fold").alias("fold"), F.col(target).alias("_t"), F.inline(each))
+    ranked = ranking_metrics(long, "score", "_t", ("model", "fold"), ranged=True).select("model", "fold", "average_precision", "roc_auc")
+    per = long.groupBy("model", "fold").agg(F.count("*").alias("n_rows"), F.sum("_t").cast("long").alias("positives"), F.round(F.avg((F.col("score") - F.col("_t")) * (F.col("score") - F.col("_t"))), 6).alias("brier"))
+    return per.join(ranked, ["model", "fold"], "left").select("model", "fold", "n_rows", "positives", "average_precision", "roc_auc", "brier")
+
+
+def winners(cv: DataFrame, families: Mapping[str, str]) -> DataFrame:
+    """(scope, model, mean_ap, mean_brier, folds): the winner of each family and, as scope ALL, of all models.
+
+    The best mean average precision wins, of equal ones the lesser mean Brier score, then the lesser name. A model
+    without a family is its own.
+    """
+    family = F.coalesce(*[F.when(F.col("model") == m, f) for m, f in families.items()], F.col("model"))
+    mean = cv.groupBy("model").agg(F.round(F.avg("average_precision"), 6).alias("mean_ap"), F.round(F.avg("brier"), 6).alias("mean_brier"), F.count("*").alias("folds"))
+    scoped = mean.withColumn("scope", F.explode(F.array(F.lit("ALL"), family)))  # a row for each model and scope
+    return best_by(scoped, ["scope"], [F.desc("mean_ap"), F.asc("mean_brier"), F.asc("model")]).select("scope", "model", "mean_ap", "mean_brier", "folds")
 
 
 def select_winner(cv: DataFrame) -> DataFrame:
-    """The model with the best mean average precision; equal ones by name."""
-    return cv.groupBy("model").agg(F.round(F.avg("average_precision"), 6).alias("mean_ap"), F.count("*").alias("folds")).orderBy(F.desc("mean_ap"), "model").limit(1)
+    """The one winner over all models."""
+    return winners(cv, {}).where("scope = 'ALL'").drop("scope")
 
 
 def platt(scored: DataFrame, df: DataFrame, column: str = "probability") -> DataFrame:
@@ -128,6 +186,17 @@ def coefficients(fitted: Fitted, spark) -> DataFrame:
     return spark.createDataFrame(list(zip(names, map(float, line.coefficients), strict=True)), "feature string, coefficient double").withColumn("odds_ratio", F.exp("coefficient"))
 
 
+def sign_stability(fitted: Sequence[Fitted], spark) -> DataFrame:
+    """(feature, n_models, mean_coefficient, sign_share): how many of the fitted lines give a coefficient the sign of its mean."""
+    each = None
+    for f in fitted:
+        part = coefficients(f, spark)
+        each = part if each is None else each.unionByName(part)
+    x = each.groupBy("feature").agg(F.count("*").alias("n_models"), F.avg("coefficient").alias("mean_coefficient"), F.collect_list("coefficient").alias("_c"))
+    same = F.size(F.filter("_c", lambda c: F.signum(c) == F.signum(F.col("mean_coefficient"))))
+    return x.select("feature", "n_models", "mean_coefficient", (same / F.col("n_models")).alias("sign_share"))
+
+
 def local_drivers(fitted: Fitted, df: DataFrame, keys: Sequence[str], columns: Sequence[str], top: int = 3) -> DataFrame:
     """(keys, driver_rank, feature, score_delta, value, reference): what a row's score loses when one feature is set to its training median.
 

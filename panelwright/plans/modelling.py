@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.operators import calibration, dataset, features, importance, label_audit, models, ordering, ranking
+from panelwright.operators import calibration, dataset, features, importance, label_audit, metrics, models, ordering, ranking
 from panelwright.plans import controls, reports
 from panelwright.plans import registry as R
 from panelwright.plans.registry import query, table
@@ -172,3 +172,53 @@ def label_boundary_validation(s: SparkSession, d: str) -> DataFrame:
     """Rows whose next event is within a month of either horizon's last day, and whether their status says on which side."""
     parts = [label_audit.boundary_cases(R._labels(s, d, m)).withColumn("horizon", F.lit(h)) for m, h in ((12, "4Q"), (24, "8Q"))]
     return parts[0].unionByName(parts[1])
+
+
+_CANDIDATES = {"margin": "least(margin / 8, 1.0)", "efficiency": "least(efficiency / 10, 1.0)", "mixed": "least((margin + efficiency / 4) / 12, 1.0)", "mixed_twin": "least((margin + efficiency / 4) / 12, 1.0)"}
+_FAMILIES = {"margin": "single", "efficiency": "single", "mixed": "combined", "mixed_twin": "combined", "prevalence": "baseline"}
+_CV_SQL = f"""pr AS (SELECT entity, period, margin, efficiency, CASE WHEN margin + efficiency / 4 > 5.2 THEN 1 ELSE 0 END AS target FROM ({R._SUPPLIERS})), fo AS (SELECT * FROM (VALUES {', '.join(f"({i}, DATE '{u}', DATE '{a}', DATE '{b}')" for i, (u, a, b) in enumerate(reports.FOLDS, 1))}) t(fold, until, first, last)),
+ba AS (SELECT fold, avg(target) AS base FROM pr JOIN fo ON period <= until GROUP BY 1), lo AS (SELECT fold, target, 'prevalence' AS model, base AS score FROM pr JOIN fo ON period BETWEEN first AND last JOIN ba USING (fold) {' '.join(f"UNION ALL SELECT fold, target, '{n}', {e} FROM pr JOIN fo ON period BETWEEN first AND last" for n, e in _CANDIDATES.items())}),
+g AS (SELECT model, fold, score, CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS t FROM lo GROUP BY 1, 2, 3), c AS (SELECT *, sum(n) OVER w AS cn, sum(t) OVER w AS ct, sum(n) OVER (PARTITION BY model, fold) AS tn, sum(t) OVER (PARTITION BY model, fold) AS tt FROM g WINDOW w AS (PARTITION BY model, fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT model, fold, round(sum(t / tt * ct / cn), 6) AS average_precision, round(sum(t * ((tn - tt) - (cn - ct) + (n - t) / 2) / (tt * (tn - tt))), 6) AS roc_auc FROM c WHERE tt > 0 AND tn > tt GROUP BY 1, 2), cv AS (SELECT model, fold, count(*) AS n_rows, CAST(sum(target) AS BIGINT) AS positives, round(avg((score - target) * (score - target)), 6) AS brier FROM lo GROUP BY 1, 2)"""
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    rows = R.filings(s, d).select(*_KEYS, "margin", "efficiency", F.when(c("margin") + c("efficiency") / 4 > 5.2, 1).otherwise(0).alias("target"))
+    return models.compare_scores(rows, {n: F.expr(e) for n, e in _CANDIDATES.items()}, reports.FOLDS)
+
+
+@query(f"WITH {_CV_SQL} SELECT model, fold, n_rows, positives, average_precision, roc_auc, brier FROM cv LEFT JOIN ap USING (model, fold)")
+def candidate_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Four scores and the prevalence baseline in each expanding fold."""
+    return _compared(s, d)
+
+
+@query(f"WITH {_CV_SQL}, me AS (SELECT model, round(avg(average_precision), 6) AS mean_ap, round(avg(brier), 6) AS mean_brier, count(*) AS folds, CASE {' '.join(f"WHEN model = '{m}' THEN '{f}'" for m, f in _FAMILIES.items())} END AS family FROM cv LEFT JOIN ap USING (model, fold) GROUP BY 1), sc AS (SELECT 'ALL' AS scope, * FROM me UNION ALL SELECT family, * FROM me) SELECT scope, model, mean_ap, mean_brier, folds FROM sc QUALIFY row_number() OVER (PARTITION BY scope ORDER BY mean_ap DESC, mean_brier, model) = 1")
+def candidate_winners(s: SparkSession, d: str) -> DataFrame:
+    """The winner of each family and of all, by average precision, Brier score and name."""
+    return models.winners(_compared(s, d), _FAMILIES)
+
+
+@query()
+def model_winners(s: SparkSession, d: str) -> DataFrame:
+    """The same for the fitted candidates (no SQL: fitted models)."""
+    cv = models.cross_validate(reports._model_rows(s, d), reports._FEATURES, reports.FOLDS)
+    return models.winners(cv, {"logistic": "logistic", "logistic_l2": "regularised", "logistic_elastic_net": "regularised", "forest": "forest", "boosting": "boosting"})
+
+
+@query()
+def model_sign_stability(s: SparkSession, d: str) -> DataFrame:
+    """How steady the signs of the regularised line's coefficients are over the folds (no SQL: fitted models)."""
+    rows = reports._model_rows(s, d)
+    line = models.candidates()["logistic_l2"]
+    return models.sign_stability([models.fit(rows.where(F.col("period") <= F.lit(u).cast("date")), reports._FEATURES, line) for u, _, _ in reports.FOLDS], s)
+
+
+_DRAW = "CAST(CAST('0x' || substr(md5(rep || '|' || entity || '|' || next_date), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+
+
+@query(f"{reports._EVENT_SQL}, ca AS (SELECT entity, next_date, CASE WHEN min(CASE WHEN hit THEN period END) IS NOT NULL THEN 1 ELSE 0 END AS hit FROM b WHERE target = 1 GROUP BY 1, 2), dr AS (SELECT rep, hit, {' + '.join(f'CASE WHEN {_DRAW} >= {c} THEN 1 ELSE 0 END' for c in metrics.POISSON)} AS k FROM ca, range(1, 201) r(rep)) SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(k) AS BIGINT) AS n_events, CASE WHEN sum(k) > 0 THEN round(sum(k * hit)::DOUBLE / sum(k), 6) END AS capture_rate FROM dr GROUP BY 1")
+def event_bootstrap(s: SparkSession, d: str) -> DataFrame:
+    """Capture rates of 200 draws of events."""
+    return metrics.event_bootstrap(reports.event_capture(s, d), ["entity", "next_date"], "captured", 200)

@@ -262,9 +262,8 @@ def ranking_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics.ranking_metrics(_scored(s, d), "score", "target", ["grp"])
 
 
-_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
 _U = "CAST(CAST('0x' || substr(md5(CAST(rep AS VARCHAR) || '|' || CAST(entity AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
-_BOOT = f"SELECT * FROM (SELECT rep, score, target, CAST({' + '.join(f'(CASE WHEN {_U} >= {c} THEN 1 ELSE 0 END)' for c in _CUTS)} AS DOUBLE) AS w FROM ({_SCORED}), range(1, 21) r(rep)) WHERE w > 0"
+_BOOT = f"SELECT * FROM (SELECT rep, score, target, CAST({' + '.join(f'(CASE WHEN {_U} >= {c} THEN 1 ELSE 0 END)' for c in metrics.POISSON)} AS DOUBLE) AS w FROM ({_SCORED}), range(1, 21) r(rep)) WHERE w > 0"
 
 
 @query(f"SELECT CAST(rep AS INTEGER) AS rep, * EXCLUDE (rep) FROM (WITH {_ranking_sql(_BOOT, 'rep')})")

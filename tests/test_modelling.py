@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import calibration, dataset, importance, label_audit, metrics, ordering
+from panelwright.operators import calibration, dataset, importance, label_audit, metrics, models, ordering
 from panelwright.plans import modelling, registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -149,3 +149,36 @@ def test_boundary_truth_table(spark, days, status, agrees):
     end = dt.date(2021, 3, 31)
     df = spark.createDataFrame([(end, end + dt.timedelta(days), status), (end, end + dt.timedelta(99), status), (end, None, status)], "horizon_end date, next_date date, status string")
     assert [tuple(r) for r in label_audit.boundary_cases(df).collect()] == [(days, status, 1, agrees)]
+
+
+def test_winners_break_ties(spark):
+    rows = [("b", 1, 0.5, 0.2), ("b", 2, 0.7, 0.2), ("a", 1, 0.6, 0.3), ("a", 2, 0.6, 0.3), ("c", 1, 0.6, 0.2), ("c", 2, 0.6, 0.2), ("d", 1, 0.1, 0.1)]
+    cv = spark.createDataFrame(rows, "model string, fold int, average_precision double, brier double")
+    got = {r.scope: (r.model, r.mean_ap, r.folds) for r in models.winners(cv, {"a": "x", "b": "y", "c": "y"}).collect()}
+    assert got == {"ALL": ("b", 0.6, 2), "x": ("a", 0.6, 2), "y": ("b", 0.6, 2), "d": ("d", 0.1, 1)}
+    assert models.select_winner(cv).first().model == "b"
+
+
+def test_cross_validation_side_by_side_as_one_by_one(spark):
+    """Candidates that are fitted side by side on shared vectors give what single fits give, and beat chance on a target that the features tell."""
+    rng = np.random.default_rng(6)
+    rows = [(i, dt.date(2000 + i % 6, 6, 30), float(x), None if i % 9 == 0 else float(rng.normal()), int(x + rng.normal() * 0.5 > 0.5)) for i, x in enumerate(rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "k int, period date, a double, b double, target int")
+    chosen = {n: m for n, m in models.candidates().items() if n in ("logistic", "logistic_l2")}
+    folds = [("2002-12-31", "2003-01-01", "2003-12-31"), ("2003-12-31", "2004-01-01", "2004-12-31")]
+    got = {(r.model, r.fold): r for r in models.cross_validate(df, ["a", "b"], folds, models=chosen).collect()}
+    for (name, fold), r in got.items():
+        until, first, last = folds[fold - 1]
+        scored = models.fit(df.where(F.col("period") <= F.lit(until).cast("date")), ["a", "b"], chosen[name]).score(df.where(F.col("period").between(F.lit(first).cast("date"), F.lit(last).cast("date"))))
+        one = metrics.ranking_metrics(scored, "probability", "target").first()
+        assert (r.n_rows, r.positives) == (one.n_rows, one.positives) and r.average_precision == pytest.approx(one.average_precision, abs=2e-6) and r.roc_auc > 0.8
+    stable = {r.feature: r for r in models.sign_stability([models.fit(df, ["a", "b"], chosen["logistic"])] * 2, spark).collect()}
+    assert stable["a"].sign_share == 1.0 and stable["a"].mean_coefficient > 0
+
+
+def test_event_bootstrap_by_hand(spark):
+    rows = [(e, dt.date(2020, 1, 1 + e % 5), e % 3 == 0) for e in range(40)]
+    got = {r.rep: (r.n_events, r.capture_rate) for r in metrics.event_bootstrap(spark.createDataFrame(rows, "e int, d date, hit boolean"), ["e", "d"], "hit", 3).collect()}
+    for rep in (1, 2, 3):
+        k = [sum(int(hashlib.md5(f"{rep}|{e}|{d}".encode()).hexdigest()[:8], 16) / 2**32 >= c for c in metrics.POISSON) for e, d, _ in rows]
+        assert got[rep] == (sum(k), round(sum(n for n, r in zip(k, rows, strict=True) if r[2]) / sum(k), 6))
