@@ -45,14 +45,14 @@ def calibrated(fit: DataFrame, df: DataFrame, score: str = "probability", target
     return out, methods
 
 
-def brier_scores(rows: DataFrame, methods: Sequence[str], target: str = "target") -> DataFrame:
-    """(method, n_rows, brier, chosen): the mean squared error of each method; the least is chosen, of equal ones the first named."""
-    error = lambda m: F.round(F.avg((F.col(m) - F.col(target)) * (F.col(m) - F.col(target))), 6)
+def brier_scores(rows: DataFrame, methods: Sequence[str], target: str = "target", digits: int = 6) -> DataFrame:
+    """(method, n_rows, brier, chosen): the mean squared error of each method, to so many digits; the least is chosen, of equal ones the first named."""
+    error = lambda m: F.round(F.avg((F.col(m) - F.col(target)) * (F.col(m) - F.col(target))), digits)
     found = rows.agg(F.count("*").alias("n_rows"), F.array(*[F.struct(error(m).alias("brier"), F.lit(i).alias("place"), F.lit(m).alias("method")) for i, m in enumerate(methods)]).alias("r"))
     best: Column = F.array_min("r")["method"]
     return found.select("n_rows", best.alias("best"), F.inline("r")).select("method", "n_rows", "brier", (F.col("method") == F.col("best")).alias("chosen"))
 
 
-def choose_calibrator(fit: DataFrame, held_back: DataFrame, score: str = "probability", target: str = "target", least: int = 20) -> DataFrame:
+def choose_calibrator(fit: DataFrame, held_back: DataFrame, score: str = "probability", target: str = "target", least: int = 20, digits: int = 6) -> DataFrame:
     """(method, n_rows, brier, chosen) of the calibrators fitted on ``fit`` and judged on ``held_back``."""
-    return brier_scores(*calibrated(fit, held_back, score, target, least), target)
+    return brier_scores(*calibrated(fit, held_back, score, target, least), target, digits)

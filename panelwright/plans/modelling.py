@@ -85,11 +85,11 @@ def isotonic_fit(s: SparkSession, d: str) -> DataFrame:
 it AS (SELECT 0 AS step, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (SELECT step, a, b, sum((n * p - t) * z) AS ga, sum(n * p - t) AS gb, sum(n * p * (1 - p) * z * z) AS haa, sum(n * p * (1 - p) * z) AS hab, sum(n * p * (1 - p)) AS hbb FROM (SELECT step, a, b, z.z, n, t, 1 / (1 + exp(-(a * z.z + b))) AS p FROM it, z WHERE step < 12) GROUP BY 1, 2, 3)),
 ab AS (SELECT a, b FROM it WHERE step = 12), u AS (SELECT probability AS x, target, (SELECT max(i) FROM pav WHERE pav.x <= probability) AS l, (SELECT min(i) FROM pav WHERE pav.x >= probability) AS h FROM hb),
 v AS (SELECT u.x, target, 1 / (1 + exp(-(a * ln(greatest(least(u.x, 1 - 1e-12), 1e-12) / (1 - greatest(least(u.x, 1 - 1e-12), 1e-12))) + b))) AS platt, CASE WHEN l IS NULL THEN q.fitted WHEN h IS NULL OR l = h THEN p.fitted ELSE p.fitted + (q.fitted - p.fitted) * (u.x - p.x) / (q.x - p.x) END AS iso FROM u LEFT JOIN pav p ON p.i = l LEFT JOIN pav q ON q.i = h, ab),
-e AS (SELECT 'none' AS method, 0 AS place, count(*) AS n_rows, round(avg((x - target) * (x - target)), 5) AS brier FROM v UNION ALL SELECT 'platt', 1, count(*), round(avg((platt - target) * (platt - target)), 5) FROM v UNION ALL SELECT 'isotonic', 2, count(*), round(avg((iso - target) * (iso - target)), 5) FROM v WHERE (SELECT sum(target) FROM ft) >= 20)
+e AS (SELECT 'none' AS method, 0 AS place, count(*) AS n_rows, round(avg((x - target) * (x - target)), 4) AS brier FROM v UNION ALL SELECT 'platt', 1, count(*), round(avg((platt - target) * (platt - target)), 4) FROM v UNION ALL SELECT 'isotonic', 2, count(*), round(avg((iso - target) * (iso - target)), 4) FROM v WHERE (SELECT sum(target) FROM ft) >= 20)
 SELECT method, n_rows, brier, place = (SELECT arg_min(place, (brier, place)) FROM e) AS chosen FROM e""")
 def calibration_choice(s: SparkSession, d: str) -> DataFrame:
     """Brier scores of the three calibrators on held-back rows, and the one chosen."""
-    return calibration.choose_calibrator(*_probabilities(s, d)).withColumn("brier", F.round("brier", 5))
+    return calibration.choose_calibrator(*_probabilities(s, d), digits=4)
 
 
 _CAPITAL = features.family_columns("capital") + features.family_columns("earnings")
