@@ -13,7 +13,7 @@ from panelwright.plans import registry as R
 from panelwright.plans.registry import query, table
 
 _PRE = f"pr AS (SELECT entity, score, CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS t FROM ({R._SCORED}) GROUP BY 1, 2)"
-_DRAWS = f"dr AS (SELECT entity, rep, CAST({' + '.join(f'(CASE WHEN {R._U} >= {c} THEN 1 ELSE 0 END)' for c in R._CUTS)} AS DOUBLE) AS w FROM (SELECT DISTINCT entity FROM pr), range(1, 201) r(rep))"
+_DRAWS = f"dr AS (SELECT entity, rep, CAST({' + '.join(f'(CASE WHEN {R._U} >= {c} THEN 1 ELSE 0 END)' for c in metrics.POISSON)} AS DOUBLE) AS w FROM (SELECT DISTINCT entity FROM pr), range(1, 201) r(rep))"
 _BOOT200 = f"""{_PRE}, {_DRAWS}, b AS (SELECT rep, score, sum(w * n) AS n, sum(w * t) AS t FROM pr JOIN dr USING (entity) WHERE w > 0 GROUP BY 1, 2),
 c AS (SELECT *, sum(n) OVER d AS cn, sum(t) OVER d AS ct, sum(n) OVER (PARTITION BY rep) AS tn, sum(t) OVER (PARTITION BY rep) AS tt FROM b WINDOW d AS (PARTITION BY rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT rep, round(sum(t / tt * ct / cn), 6) AS average_precision FROM c WHERE tt > 0 AND tn > tt GROUP BY 1)"""
