@@ -32,19 +32,25 @@ def _pack(x: np.ndarray) -> np.ndarray:
     step = np.ones(n, np.int16)
     choice = np.full(n, 15, np.int8)
     top = int(x.max()) if n else 0
+    bad = np.zeros(n + 1, np.int32)
     for s in range(14, -1, -1):  # from few to many ids a word: the last that fits stays
         c, b = int(COUNTS[s]), int(BITS[s])
         if c > n or (s < 14 and top < (1 << int(BITS[s + 1])) and COUNTS[s + 1] > n):
             continue
-        bad = np.concatenate([[0], np.cumsum(x >= np.uint64(1 << b))]) if b else np.concatenate([[0], np.cumsum(x != 0)])
-        fits = np.flatnonzero(bad[c:] == bad[:-c])
-        if not len(fits) and b < 15:
+        if top < 1 << b:  # wide enough for every id
+            step[: n - c + 1], choice[: n - c + 1] = c, s
+            continue
+        np.cumsum(x >= np.uint64(1 << b), dtype=np.int32, out=bad[1:])
+        fits = bad[c:] == bad[:-c]
+        if b < 15 and not fits.any():
             break  # narrower selectors hold more ids: none fits either
-        step[fits], choice[fits] = c, s
-    steps, starts, i = step.tolist(), [], 0
+        np.copyto(step[: len(fits)], c, where=fits)
+        np.copyto(choice[: len(fits)], s, where=fits)
+    following, starts, i = (np.arange(n) + step).tolist(), [], 0
+    put = starts.append
     while i < n:
-        starts.append(i)
-        i += steps[i]
+        put(i)
+        i = following[i]
     at = np.array(starts, np.int64)
     sel = choice[at]
     out = sel.astype(np.uint64) << np.uint64(60)
