@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import exception_id
@@ -68,3 +68,35 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """A content fingerprint that doesn't depend on row order."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
     return df.agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum_hash"))
+
+
+def text_digest(columns: Sequence[str]) -> Column:
+    """A number below 2^32 from a row's columns as text; nulls differ from empty texts. Its sum over rows doesn't depend on their order."""
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("long")
+
+
+def panel_audit(panel: DataFrame, keys: Sequence[str], period: str, expected: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(period, n_rows, n_repeated, digest, status): each period's rows, repeated keys and content, against the expected periods.
+
+    status: MISSING (expected, no rows), UNEXPECTED, REPEATED_KEYS or PASS. Keys are counted before periods, so no task holds the rows of one.
+    A row without a period is one more, unexpected period.
+    """
+    per_key = panel.groupBy(period, *[k for k in keys if k != period]).agg(F.count("*").alias("n"), F.sum(text_digest(columns)).alias("d"))
+    per = per_key.groupBy(F.col(period).alias("_p")).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - 1).alias("n_repeated"), F.sum("d").alias("digest"))
+    want = expected.select(F.col(period).alias("_w")).distinct()
+    x = per.join(want, F.col("_p").eqNullSafe(F.col("_w")), "full")  # a row for each period
+    status = F.when(F.col("n_rows").isNull(), "MISSING").when(F.col("_w").isNull(), "UNEXPECTED").when(F.col("n_repeated") > 0, "REPEATED_KEYS").otherwise("PASS")
+    return x.select(F.coalesce("_p", "_w").alias(period), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_repeated", "digest")], status.alias("status"))
+
+
+def mapping_counts(df: DataFrame, alias: str, identity: str, period: str) -> DataFrame:
+    """(several, overlapping, sequential): second ids with several entities, those whose spans meet, and those whose spans don't.
+
+    Spans are put in order; one meets an earlier one where it begins by the greatest end so far. No pair is made.
+    """
+    span = df.where(F.col(alias).isNotNull()).groupBy(alias, identity).agg(F.min(period).alias("first"), F.max(period).alias("last"))
+    past = Window.partitionBy(alias).orderBy("first", identity).rowsBetween(Window.unboundedPreceding, -1)
+    x = span.withColumn("meets", F.coalesce(F.col("first") <= F.max("last").over(past), F.lit(False)))
+    per = x.groupBy(alias).agg((F.count("*") > 1).alias("several"), F.bool_or("meets").alias("overlapping"))
+    return per.agg(F.count_if("several").alias("several"), F.count_if("overlapping").alias("overlapping"), F.count_if(F.col("several") & ~F.col("overlapping")).alias("sequential"))
