@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.sources.scratch import kept
+
 RANGE = "_range"
 
 
@@ -24,11 +26,13 @@ def by_range(df: DataFrame, by: Column) -> DataFrame:
 def by_range_within(df: DataFrame, by: Column, within: Sequence[str]) -> DataFrame:
     """As :func:`by_range`, but cut for each value of ``within`` by itself: few values, such as the names of measures or the periods.
 
-    The cuts come from one mergeable aggregate and are broadcast: an array for each value of ``within``.
+    The cuts come from one mergeable aggregate, written once, so that all who read the ranges see the same ones even where tasks run again,
+    and are broadcast: an array for each value of ``within``.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = by.cast("double")
     cuts = df.groupBy(*[F.col(c).alias(f"_w{c}") for c in within]).agg(F.array_distinct(F.percentile_approx(x, [i / n for i in range(1, n)] or [1.0], 20 * n)).alias("_cuts"))
+    cuts = kept(cuts, "cuts")
     same = F.lit(True)
     for c in within:
         same = same & F.col(c).eqNullSafe(F.col(f"_w{c}"))
@@ -66,6 +70,19 @@ def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_in
     return numbered.join(F.broadcast(base), same).withColumns(new).drop("_before", "_at", "_rank", RANGE, *[f"_b{c}" for c in keys])
 
 
+def places_within(df: DataFrame, groups: Sequence[str], score: str, key: str) -> DataFrame:
+    """Adds each row's places by falling ``score`` among the rows of its group: ``place`` from 1, ties by ``key``; ``n_before`` and ``n_below``, rows of a greater and of a lesser score; ``n_rows``.
+
+    Nulls are the least score. A group is cut into ranges of the score, so none is one task.
+    """
+    down = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    ranged = by_range_within(df, down, groups)
+    equal = Window.partitionBy(*groups, RANGE, score)
+    ranged = ranged.withColumn("_equal", F.count("*").over(equal))
+    x = global_index(ranged, [F.desc(score), F.col(key)], "place", groups, [F.desc(score)])
+    return x.withColumns({"place": F.col("place") + 1, "n_below": F.col("n_rows") - F.col("n_before") - F.col("_equal")}).drop("_equal")
+
+
 def systematic_sample(df: DataFrame, by: Column, order: Sequence[Column], most: int = 10_000) -> DataFrame:
     """Every k-th row of the table in order, ``most`` rows at the most; k is the rows in all over ``most``, rounded down, 1 at least.
 

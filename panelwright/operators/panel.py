@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import shift_quarters
+from panelwright.operators.ordering import places_within
 
 
 def add_lags(df: DataFrame, entity: str, period: str, columns: Sequence[str], steps: Sequence[int] = (1, 4)) -> DataFrame:
@@ -50,11 +51,14 @@ def percent_rank_in(groups: Sequence[str], order: str) -> Column:
 
 
 def budget_flags(df: DataFrame, period: str, score: str, key: str, percents: Sequence[int]) -> DataFrame:
-    """Unique rank by falling score in each period, and flags for the first p percent, one row at least."""
-    w = Window.partitionBy(period)
-    df = df.withColumn("budget_rank", F.row_number().over(w.orderBy(F.desc(score), key))).withColumn("period_rows", F.count("*").over(w))
-    limit = lambda p: F.greatest(F.lit(1), F.ceil(F.col("period_rows") * p / F.lit(100)))
-    return df.withColumns({f"top_{p}pct": (F.col("budget_rank") <= limit(p)).cast("int") for p in percents})
+    """Unique rank by falling score in each period, and flags for the first p percent, one row at least; no period is one task."""
+    x = places_within(df, [period], score, key).drop("n_before", "n_below")
+    x = x.withColumnsRenamed({"place": "budget_rank", "n_rows": "period_rows"}).withColumn("budget_rank", F.col("budget_rank").cast("int"))
+    return x.withColumns({f"top_{p}pct": within_budget(F.col("budget_rank"), F.col("period_rows"), p) for p in percents})
+
+
+def within_budget(place: Column, n: Column, percent: int) -> Column:
+    return (place <= F.greatest(F.lit(1), F.ceil(n * percent / F.lit(100)))).cast("int")
 
 
 def running_totals(df: DataFrame, order: str, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.panel import budget_flags, running_totals, shift_join
+from panelwright.functions.columns import quarter_index
+from panelwright.operators.ordering import places_within
+from panelwright.operators.panel import budget_flags, running_totals, within_budget
 
 #: Lower ends of the percentile tiers, and their names.
 TIERS = ((99.0, "Highest monitored tier"), (95.0, "High"), (90.0, "Elevated"), (50.0, "Moderate"))
@@ -26,14 +28,18 @@ def alert_status(percentile: Column, flagged: Column) -> Column:
 
 
 def rank_scores(df: DataFrame, entity: str, period: str, score: str, percents: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Adds rank with ties, percentile from 0 to 100, budget flags, tier, alert status, and changes to 1 and 4 quarters before."""
-    w = Window.partitionBy(period)
-    df = budget_flags(df, period, score, entity, percents)
-    df = df.withColumns({"score_rank": F.rank().over(w.orderBy(F.desc(score))), "percentile": F.round(100 * F.percent_rank().over(w.orderBy(score)), 6)})
-    df = df.withColumns({"tier": risk_tier(F.col("percentile")), "alert": alert_status(F.col("percentile"), F.col("top_5pct") == 1)})
-    for n in (1, 4):
-        df = shift_join(df, entity, period, ["percentile"], n)
-    return df.withColumns({"change_1q": F.round(F.col("percentile") - F.col("percentile_back1"), 6), "change_4q": F.round(F.col("percentile") - F.col("percentile_back4"), 6)})
+    """Adds rank with ties, percentile from 0 to 100, budget flags, tier, alert status, and changes to 1 and 4 quarters before.
+
+    Places come from ranges of the score in each period, earlier quarters from one window over each entity's quarters, not from joins.
+    """
+    n, above, below = F.col("n_rows"), F.col("n_before"), F.col("n_below")
+    x = places_within(df, [period], score, entity)
+    x = x.withColumns({"budget_rank": F.col("place").cast("int"), "period_rows": n, **{f"top_{p}pct": within_budget(F.col("place"), n, p) for p in percents}, "score_rank": (above + 1).cast("int"), "percentile": F.round(100 * F.when(n > 1, below / (n - 1)).otherwise(0.0), 6)})
+    x = x.withColumns({"tier": risk_tier(F.col("percentile")), "alert": alert_status(F.col("percentile"), F.col("top_5pct") == 1)})
+    own = Window.partitionBy(entity).orderBy(quarter_index(F.col(period)))
+    back = {k: F.max("percentile").over(own.rangeBetween(-k, -k)) for k in (1, 4)}
+    x = x.withColumns({f"percentile_back{k}": c for k, c in back.items()})
+    return x.withColumns({f"change_{k}q": F.round(F.col("percentile") - F.col(f"percentile_back{k}"), 6) for k in back}).drop("place", "n_rows", "n_before", "n_below")
 
 
 def period_kpis(ranked: DataFrame, period: str) -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import cases, conform, eligibility, quality, text_scan
+from panelwright.operators import cases, conform, eligibility, ordering, quality, text_scan
 from panelwright.operators.conform import Field
 from panelwright.plans import inventory, registry
 from panelwright.sources.report import export_report
@@ -123,3 +123,17 @@ def test_panel_audit_and_mappings(spark):
     assert digest(df) == digest(df.repartition(3)) != digest(df.na.fill(0))
     spans = [("a", 1, 1), ("a", 1, 9), ("a", 2, 3), ("b", 1, 1), ("b", 2, 2), ("c", 1, 1), ("d", 1, 1), ("d", 1, 4), ("d", 2, 5), ("d", 3, 4), (None, 1, 1)]
     assert tuple(quality.mapping_counts(spark.createDataFrame(spans, "alias string, id int, p int"), "alias", "id", "p").first()) == (3, 2, 1)
+
+
+def test_places_within_groups(spark):
+    """Places, ties and nulls against a sorted list; an empty table has none."""
+    rnd = random.Random(3)
+    rows = [(g, k, None if rnd.random() < 0.1 else rnd.randint(0, 8) / 4) for g in ("a", "b", None) for k in range(60)] + [("one", 1, None)]
+    df = spark.createDataFrame(rows, "g string, k int, s double").repartition(5)
+    low = float("-inf")
+    value = lambda s: low if s is None else s
+    for r in ordering.places_within(df, ["g"], "s", "k").collect():
+        own = [(value(s), k) for g, k, s in rows if g == r.g]
+        mine = value(r.s)
+        assert (r.place, r.n_before, r.n_below, r.n_rows) == (1 + sum(s > mine or (s == mine and k < r.k) for s, k in own), sum(s > mine for s, _ in own), sum(s < mine for s, _ in own), len(own))
+    assert ordering.places_within(df.limit(0), ["g"], "s", "k").count() == 0
