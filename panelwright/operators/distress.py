@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.columns import quarter_end
+
 
 def distress_events(features: DataFrame, keys: Sequence[str], categories: Mapping[str, Column], severe: Column, least: int = 2) -> DataFrame:
     """Adds n_categories, drivers (their names in order) and distress: ``least`` categories of evidence, or a severe sign."""
@@ -53,6 +55,13 @@ def validate_events(events: DataFrame, panel: DataFrame, entity: str, period: st
     return x.withColumn("coverage", coverage)
 
 
+def rows_around_events(panel: DataFrame, events: DataFrame, entity: str, period: str, date: str) -> DataFrame:
+    """(panel, date, place) of the rows of entities with an event: BEFORE its quarter, in the SAME_QUARTER, or AFTER; ``events`` has one row for each entity."""
+    quarter = quarter_end(F.col(date))
+    place = F.when(F.col(period) > quarter, "AFTER").when(F.col(period) == quarter, "SAME_QUARTER").otherwise("BEFORE")
+    return panel.join(events.select(entity, date), entity).withColumn("place", place)
+
+
 def first_exits(exits: DataFrame, entity: str, date: str, kind: str) -> DataFrame:
     """One exit for each entity and kind, the first by date; n_repeats tells how many others there were."""
     return exits.groupBy(entity, kind).agg(F.min(date).alias(date), (F.count("*") - 1).alias("n_repeats"))

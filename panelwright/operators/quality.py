@@ -100,3 +100,15 @@ def mapping_counts(df: DataFrame, alias: str, identity: str, period: str) -> Dat
     x = span.withColumn("meets", F.coalesce(F.col("first") <= F.max("last").over(past), F.lit(False)))
     per = x.groupBy(alias).agg((F.count("*") > 1).alias("several"), F.bool_or("meets").alias("overlapping"))
     return per.agg(F.count_if("several").alias("several"), F.count_if("overlapping").alias("overlapping"), F.count_if(F.col("several") & ~F.col("overlapping")).alias("sequential"))
+
+
+def mapping_exceptions(df: DataFrame, alias: str, identity: str, period: str) -> DataFrame:
+    """(alias, kind, n_identities, sequence): second ids with several entities, CONCURRENT where spans meet and SEQUENTIAL where none do; their entities in order of appearance.
+
+    The order is kept in one array for each second id: as long as its entities are many.
+    """
+    span = df.where(F.col(alias).isNotNull()).groupBy(alias, identity).agg(F.min(period).alias("first"), F.max(period).alias("last"))
+    past = Window.partitionBy(alias).orderBy("first", identity).rowsBetween(Window.unboundedPreceding, -1)
+    x = span.withColumn("meets", F.coalesce(F.col("first") <= F.max("last").over(past), F.lit(False)))
+    per = x.groupBy(alias).agg(F.bool_or("meets").alias("m"), F.count("*").alias("n_identities"), F.array_sort(F.collect_list(F.struct("first", F.col(identity).cast("string").alias("i")))).alias("a")).where("n_identities > 1")
+    return per.select(alias, F.when(F.col("m"), "CONCURRENT").otherwise("SEQUENTIAL").alias("kind"), "n_identities", F.array_join(F.transform("a", lambda r: r["i"]), " > ").alias("sequence"))

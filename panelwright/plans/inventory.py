@@ -37,8 +37,8 @@ def _read_sql(f: Field) -> str:
     return {"text": t, "long": f"CASE WHEN regexp_full_match({t}, '[+-]?[0-9]+') THEN try_cast({t} AS BIGINT) END", "decimal": f"try_cast({t} AS DECIMAL(38,6))", "flag": f"CASE trim({f.source}) WHEN '1' THEN TRUE WHEN '0' THEN FALSE END", "date": f"CAST(coalesce({', '.join(f'try_strptime({t}, {chr(39)}{x}{chr(39)})' for x in ('%Y-%m-%d', '%m/%d/%Y'))}) AS DATE)"}[f.kind]
 
 
-_STAGE_SQL = f"pp AS (SELECT l_partkey AS entity, {R._PERIOD} AS period, {', '.join(f'{e} AS {n}' for n, e in _MONEY.items())} FROM lineitem GROUP BY 1, 2), st AS (SELECT entity, period, {', '.join(f'{_duck(e)} AS {n}' for n, e in _STAGE.items())} FROM pp)"
-_FACT_SQL = f"{_STAGE_SQL}, fa AS (SELECT entity, period, {', '.join(f'{_read_sql(f)} AS {n}' for n, f in _FACT.items() if n not in _MONEY)}, {', '.join(f'{_read_sql(_FACT[n])} AS {n}' for n in _MONEY)}, concat_ws(',', {', '.join(f'''CASE WHEN nullif(trim({f.source}), '') IS NOT NULL AND ({_read_sql(f)}) IS NULL THEN '{n}' END''' for n, f in _FACT.items())}) AS unread FROM st)"
+_STAGE_SQL = f"pp AS (SELECT l_partkey AS entity, {R._PERIOD} AS period, {', '.join(f'{e} AS {n}' for n, e in _MONEY.items())} FROM lineitem GROUP BY 1, 2), sg AS (SELECT entity, period, {', '.join(f'{_duck(e)} AS {n}' for n, e in _STAGE.items())} FROM pp)"
+_FACT_SQL = f"{_STAGE_SQL}, fa AS (SELECT entity, period, {', '.join(f'{_read_sql(f)} AS {n}' for n, f in _FACT.items() if n not in _MONEY)}, {', '.join(f'{_read_sql(_FACT[n])} AS {n}' for n in _MONEY)}, concat_ws(',', {', '.join(f'''CASE WHEN nullif(trim({f.source}), '') IS NOT NULL AND ({_read_sql(f)}) IS NULL THEN '{n}' END''' for n, f in _FACT.items())}) AS unread FROM sg)"
 _DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _MONEY)
 
 
@@ -302,3 +302,71 @@ def entity_peers(s: SparkSession, d: str) -> DataFrame:
     me = g.agg(F.min(F.struct("entity", "peer_group", "equity_ratio")).alias("m")).select(F.col("m.entity").alias("_e"), F.col("m.peer_group").alias("peer_group"), F.col("m.equity_ratio").alias("_r"))
     x = g.join(F.broadcast(me), "peer_group")  # one row
     return x.select("entity", "period", "peer_group", "equity_ratio", "loan_ratio", (F.col("entity") == F.col("_e")).alias("is_self"), (F.round(F.col("equity_ratio") - F.col("_r"), 6) + 0.0).alias("equity_difference"))
+
+
+@query("WITH s AS (SELECT l_suppkey AS alias, l_partkey AS entity, min(l_shipdate) AS f, max(l_shipdate) AS t FROM lineitem GROUP BY 1, 2), o AS (SELECT DISTINCT a.alias FROM s a JOIN s b ON a.alias = b.alias AND a.entity < b.entity AND a.f <= b.t AND b.f <= a.t) SELECT alias, CASE WHEN alias IN (SELECT alias FROM o) THEN 'CONCURRENT' ELSE 'SEQUENTIAL' END AS kind, count(*) AS n_identities, string_agg(CAST(entity AS VARCHAR), ' > ' ORDER BY f, CAST(entity AS VARCHAR)) AS sequence FROM s GROUP BY 1 HAVING count(*) > 1")
+def mapping_exceptions(s: SparkSession, d: str) -> DataFrame:
+    """Second ids with several entities, at a time or one after the other."""
+    return quality.mapping_exceptions(table(s, d, "lineitem").select(F.col("l_suppkey").alias("alias"), F.col("l_partkey").alias("entity"), "l_shipdate"), "alias", "entity", "l_shipdate")
+
+
+_AFTER_SQL = f"{controls._PANEL_SQL}, {controls._EVENTS_SQL}, {controls._FIRST_SQL}"
+_EVENT_QUARTER = "last_day(date_trunc('quarter', event_date) + INTERVAL 2 MONTH)"
+
+
+def _around(s: SparkSession, d: str) -> DataFrame:
+    """Panel rows with their entity's first failure and where they stand to its quarter."""
+    first = controls._events(s, d).where("event_type = 'FAILURE'").groupBy("entity").agg(F.min("event_date").alias("event_date"))
+    return D.rows_around_events(R.filings(s, d, "l_partkey").select(*_KEYS), first, "entity", "period", "event_date")
+
+
+@query(f"WITH {_AFTER_SQL} SELECT pa.entity, period, event_date, CASE WHEN period > {_EVENT_QUARTER} THEN 'AFTER' ELSE 'SAME_QUARTER' END AS place FROM pa JOIN fi ON fi.entity = pa.entity WHERE period >= {_EVENT_QUARTER}")
+def rows_after_events(s: SparkSession, d: str) -> DataFrame:
+    """The rows in the quarter of their entity's failure and later ones."""
+    return _around(s, d).where("place <> 'BEFORE'")
+
+
+@query(f"WITH {_AFTER_SQL}, pl AS (SELECT pa.entity, event_date, CASE WHEN period > {_EVENT_QUARTER} THEN 'AFTER' WHEN period = {_EVENT_QUARTER} THEN 'SAME_QUARTER' ELSE 'BEFORE' END AS place FROM pa JOIN fi ON fi.entity = pa.entity) SELECT CAST(year(event_date) AS INTEGER) AS year, count(DISTINCT entity) AS n_failures, count(*) FILTER (WHERE place = 'BEFORE') AS rows_before, count(*) FILTER (WHERE place = 'SAME_QUARTER') AS rows_same_quarter, count(*) FILTER (WHERE place = 'AFTER') AS rows_after, count(DISTINCT CASE WHEN place = 'AFTER' THEN entity END) AS with_later_rows FROM pl GROUP BY 1")
+def failure_history_reconciliation(s: SparkSession, d: str) -> DataFrame:
+    """Rows before, in and after the quarter of the failure, by its year."""
+    n = lambda p: F.count_if(F.col("place") == p)
+    return _around(s, d).groupBy(F.year("event_date").alias("year")).agg(F.count_distinct("entity").alias("n_failures"), n("BEFORE").alias("rows_before"), n("SAME_QUARTER").alias("rows_same_quarter"), n("AFTER").alias("rows_after"), F.count_distinct(F.when(F.col("place") == "AFTER", F.col("entity"))).alias("with_later_rows"))
+
+
+@query(f"WITH {presentation._FE_SQL}, {presentation._RANK_SQL} SELECT {R._BAND_SQL} AS band, sr.tier, count(*) AS n_rows, count(DISTINCT sr.entity) AS n_entities, CAST(sum(top_5pct) AS BIGINT) AS flagged FROM sr JOIN pa ON pa.entity = sr.entity AND pa.period = sr.period GROUP BY 1, 2")
+def tiers_by_band(s: SparkSession, d: str) -> DataFrame:
+    """Scored rows of each size band and tier."""
+    bands = R.filings(s, d, "l_partkey").select(*_KEYS, C.band(F.col("asset"), *R._PEER_BANDS).alias("band"))
+    x = presentation._ranked(presentation._scores(s, d)).select(*_KEYS, "tier", "top_5pct").join(bands, _KEYS)
+    return x.groupBy("band", "tier").agg(F.count("*").alias("n_rows"), F.count_distinct("entity").alias("n_entities"), F.sum("top_5pct").cast("long").alias("flagged"))
+
+
+_JUMP = 20
+
+
+@query(f"""WITH {controls._QUALITY_SQL}, {_FACT_SQL}, {R._GROUPS_SQL.replace('WITH ', '', 1) if R._GROUPS_SQL.startswith('WITH') else R._GROUPS_SQL}, so AS (SELECT l_suppkey, l_partkey, min(l_shipdate) AS f, max(l_shipdate) AS t FROM lineitem GROUP BY 1, 2), oo AS (SELECT DISTINCT a.l_suppkey FROM so a JOIN so b ON a.l_suppkey = b.l_suppkey AND a.l_partkey < b.l_partkey AND a.f <= b.t AND b.f <= a.t), ic AS (SELECT DISTINCT l_partkey AS entity FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM oo)),
+ju AS (SELECT p.entity, p.period, coalesce(greatest(p.asset, q.asset) > {_JUMP} * least(p.asset, q.asset), FALSE) AS suspected_unit FROM pa p LEFT JOIN pa q ON q.entity = p.entity AND q.period = CAST(last_day(p.period - INTERVAL 3 MONTH) AS DATE))
+SELECT st.entity, st.period, n_missing, n_denominator, n_lag > 0 AS short_lag, n_continuity > 0 AS broken_continuity, n_extreme > 0 AS extreme, n_blocking, n_warning, CAST({' + '.join(f'CAST({c} IS NULL AS INTEGER)' for c in _MONEY)} AS BIGINT) AS missing_numerators, coalesce(g.peer_size < 20, FALSE) AS small_group, suspected_unit, coalesce(st.entity IN (SELECT entity FROM ic), FALSE) AS sequential_ids, fa.unread <> '' AS source_warning, st.status FROM st JOIN (SELECT entity, period, unread, {', '.join(_MONEY)} FROM fa) fa ON fa.entity = st.entity AND fa.period = st.period JOIN ju ON ju.entity = st.entity AND ju.period = st.period LEFT JOIN g ON g.entity = st.entity AND g.period = st.period""")
+def feature_signals(s: SparkSession, d: str) -> DataFrame:
+    """Twelve quality signals of every row of the indicators, and its status."""
+    q, money = controls._quality(s, d), [F.col(c).isNull().cast("long") for c in _MONEY]
+    missing = money[0]
+    for m in money[1:]:
+        missing = missing + m
+    fact = _fact(s, d).select(*_KEYS, missing.alias("missing_numerators"), (F.col("unread") != "").alias("source_warning"))
+    lagged = panel.add_lags(R.filings(s, d, "l_partkey").select(*_KEYS, "asset"), "entity", "period", ["asset"], [1])
+    now, before = F.col("asset"), F.when(F.col("ok_lag1"), F.col("asset_lag1"))
+    jump = lagged.select(*_KEYS, F.coalesce(F.when(before.isNotNull(), F.greatest(now, before) > _JUMP * F.least(now, before)), F.lit(False)).alias("suspected_unit"))
+    size = R._groups(s, d).select(*_KEYS, "peer_size")
+    lines = table(s, d, "lineitem").select(F.col("l_suppkey").alias("alias"), F.col("l_partkey").alias("entity"), "l_shipdate")
+    clean = quality.mapping_exceptions(lines, "alias", "entity", "l_shipdate").where("kind = 'CONCURRENT'").select("alias")
+    sequential = lines.select("alias", "entity").distinct().join(clean, "alias", "left_anti").select("entity", F.lit(True).alias("sequential_ids")).distinct()
+    x = q.join(fact, _KEYS).join(jump, _KEYS).join(size, _KEYS, "left").join(sequential, "entity", "left")
+    over = lambda c: (F.col(c) > 0)
+    return x.select(*_KEYS, "n_missing", "n_denominator", over("n_lag").alias("short_lag"), over("n_continuity").alias("broken_continuity"), over("n_extreme").alias("extreme"), "n_blocking", "n_warning", "missing_numerators", F.coalesce(F.col("peer_size") < 20, F.lit(False)).alias("small_group"), "suspected_unit", F.coalesce("sequential_ids", F.lit(False)).alias("sequential_ids"), "source_warning", "status")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def kept_first(s: SparkSession, d: str) -> DataFrame:
+    """One row of each repeated key, the first by price and then by number."""
+    return panel.best_by(table(s, d, "orders"), ["o_custkey", "o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")

@@ -71,10 +71,20 @@ def forbidden_columns(df: DataFrame, patterns: Sequence[str]) -> list[str]:
     return [c for c in df.columns if any(re.search(p, c) for p in patterns)]
 
 
-def flatten_pages(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """Rows of paged JSON responses {meta: {total}, data: [{data: {...}}]}, all fields text."""
-    schema = StructType.fromDDL(f"meta struct<total:long>, data array<struct<data:struct<{','.join(f'{f}:string' for f in required)}>>>")
-    return spark.read.schema(schema).option("multiLine", True).json(path).select("meta.total", F.explode("data").alias("d")).select("total", "d.data.*")
+def flatten_pages(spark: SparkSession, path: str, required: Sequence[str], forbidden: Sequence[str] = (), index: bool = False) -> DataFrame:
+    """Rows of paged JSON responses {meta: {total, index: {name, createTimestamp}}, data: [{data: {...}}]}, all fields text.
+
+    With ``index``, also the name and the time of the index that served the page. A page that has a field of ``forbidden`` fails the read: the
+    fields are read along, and the first row with a value raises an error where it stands, without a pass of its own.
+    """
+    fields = ",".join(f"`{f}`:string" for f in [*required, *forbidden])
+    schema = StructType.fromDDL(f"meta struct<total:long,index:struct<name:string,createTimestamp:string>>, data array<struct<data:struct<{fields}>>>")
+    x = spark.read.schema(schema).option("multiLine", True).json(path).select("meta", F.explode("data.data").alias("d"))
+    marks = [F.col("meta.index.name").alias("index_name"), F.col("meta.index.createTimestamp").alias("index_created")] if index else []
+    if forbidden:
+        there = F.array_compact(F.array(*[F.when(F.col("d")[f].isNotNull(), F.lit(f)) for f in forbidden]))
+        x = x.withColumn("d", F.when(F.size(there) == 0, F.col("d")).otherwise(F.raise_error(F.concat(F.lit("forbidden fields: "), F.array_join(there, ", ")))))
+    return x.select(F.col("meta.total").alias("total"), *marks, *[F.col("d")[f].alias(f) for f in required])
 
 
 def stamp_lineage(df: DataFrame, values: Mapping[str, str]) -> DataFrame:

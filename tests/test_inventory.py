@@ -1,6 +1,7 @@
 """Typed rows, eligibility, cases, line audits, reports and the counts of the report views."""
 
 import datetime as dt
+import json
 import os
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import cases, conform, eligibility, ordering, quality, text_scan
 from panelwright.operators.conform import Field
 from panelwright.plans import inventory, registry
+from panelwright.sources import files
 from panelwright.sources.report import export_report
 
 SMALL = "/root/testdata/sf0.001"
@@ -137,3 +139,19 @@ def test_places_within_groups(spark):
         mine = value(r.s)
         assert (r.place, r.n_before, r.n_below, r.n_rows) == (1 + sum(s > mine or (s == mine and k < r.k) for s, k in own), sum(s > mine for s, _ in own), sum(s < mine for s, _ in own), len(own))
     assert ordering.places_within(df.limit(0), ["g"], "s", "k").count() == 0
+
+
+def test_pages_with_forbidden_fields(spark, tmp_path):
+    page = lambda *rows: json.dumps({"meta": {"total": len(rows), "index": {"name": "i7", "createTimestamp": "2020"}}, "data": [{"data": r} for r in rows]})
+    (tmp_path / "good.json").write_text(page({"ID": "1", "NAME": "x"}, {"ID": None, "secret": None}))
+    (tmp_path / "bad.json").write_text(page({"ID": "1", "secret": "s"}))
+    got = [tuple(r) for r in files.flatten_pages(spark, str(tmp_path / "good.json"), ["ID"], ["secret"], index=True).collect()]
+    assert got == [(2, "i7", "2020", "1"), (2, "i7", "2020", None)]
+    with pytest.raises(Exception, match="forbidden fields: secret"):
+        files.flatten_pages(spark, str(tmp_path / "bad.json"), ["ID"], ["secret"]).collect()
+
+
+def test_mapping_exceptions(spark):
+    spans = [("a", 1, 1), ("a", 1, 9), ("a", 2, 3), ("b", 2, 1), ("b", 1, 2), ("c", 1, 1), (None, 1, 1), (None, 2, 1)]
+    got = {tuple(r) for r in quality.mapping_exceptions(spark.createDataFrame(spans, "alias string, id int, p int"), "alias", "id", "p").collect()}
+    assert got == {("a", "CONCURRENT", 2, "1 > 2"), ("b", "SEQUENTIAL", 2, "2 > 1")}
