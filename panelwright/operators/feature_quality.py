@@ -59,6 +59,38 @@ def feature_quality(features: DataFrame, exceptions: DataFrame, keys: Sequence[s
     return x.withColumn("status", quality_status(F.col("n_blocking"), F.col("n_warning")))
 
 
+def row_tests(families: Mapping[str, str], averaged: Sequence[str], columns: Sequence[str], bound: float = EXTREME) -> list[tuple[Column, str, str]]:
+    """(condition, kind, detail) of all exceptions over rows that carry denominators, ``had1``, ``gap``, ``year_ago`` and the features."""
+    tests = []
+    for family, c in families.items():
+        tests += [(F.col(c).isNull(), "MISSING", family), (F.col(c) == 0, "ZERO", family), (F.col(c) < 0, "NEGATIVE", family)]
+    tests += [(~F.col("had1"), "INSUFFICIENT_LAG", family) for family in averaged]
+    tests += [(~F.col("had1"), "NO_PREVIOUS_QUARTER", "1Q"), (~F.col("year_ago"), "NO_YEAR_AGO", "4Q"), (F.col("gap"), "GAP", "GAP")]
+    return tests + [(F.abs(F.col(c)) > bound, "EXTREME", c) for c in columns]
+
+
+def exceptions_of_rows(rows: DataFrame, keys: Sequence[str], tests: Sequence[tuple[Column, str, str]]) -> DataFrame:
+    """(keys, kind, detail) of all kinds in one scan."""
+    return _broken(rows, keys, tests)
+
+
+def quality_of_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], tests: Sequence[tuple[Column, str, str]], blocking: Sequence[str] = ("MISSING", "NEGATIVE"), warning: Sequence[str] = ("ZERO", "GAP", "EXTREME"), carry: Sequence[str] = ()) -> DataFrame:
+    """As :func:`feature_quality` of the exceptions of ``tests``, counted in each row as it passes: no row per exception, no join.
+
+    Rows without a key have no exceptions, as they would meet none in a join. ``carry`` names columns to hand on.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    kinds = {"n_denominator": ("MISSING", "ZERO", "NEGATIVE"), "n_lag": ("INSUFFICIENT_LAG",), "n_continuity": ("NO_PREVIOUS_QUARTER", "NO_YEAR_AGO", "GAP"), "n_extreme": ("EXTREME",), "n_blocking": blocking, "n_warning": warning}
+    hits = lambda ks: sum((F.coalesce(c.cast("int"), F.lit(0)) for c, k, _ in tests if k in ks), F.lit(0))
+    by_kind = {f"_{k}": hits((k,)) for k in dict.fromkeys(k for _, k, _ in tests)}
+    x = rows.select(*keys, sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)).alias("n_missing"), *[c.alias(n) for n, c in by_kind.items()], *carry)
+    counted = {n: F.when(known, sum((F.col(f"_{k}") for k in ks if f"_{k}" in by_kind), F.lit(0))).otherwise(0).cast("long") for n, ks in kinds.items()}
+    x = x.select(*keys, "n_missing", *[c.alias(n) for n, c in counted.items()], *carry)
+    return x.withColumn("status", quality_status(F.col("n_blocking"), F.col("n_warning")))
+
+
 def quality_status(blocking: Column, warning: Column) -> Column:
     return F.when(blocking > 0, "BLOCKING").when(warning > 0, "WARNING").otherwise("PASS")
 
@@ -70,6 +102,12 @@ def availability_grid(long: DataFrame, periods: DataFrame, names: Sequence[str],
     return grid.join(n, [period, "feature"], "left").select(period, "feature", F.coalesce("n", F.lit(0)).alias("n_values"))
 
 
+def measured(wide: DataFrame, columns: Sequence[str], period: str = "period") -> DataFrame:
+    """(period, feature, n_rows, n_values): one pass over wide rows, and only then a row for each feature."""
+    per = wide.groupBy(period).agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns])
+    return per.unpivot([period, "_rows"], list(columns), "feature", "n_values").withColumnRenamed("_rows", "n_rows")
+
+
 def distribution(long: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
     """Exact percentiles of every feature: p01, p05, median, p95, p99, and what isn't finite."""
     finite = F.when(F.abs(F.col("value")) < float("inf"), F.col("value"))

@@ -45,11 +45,13 @@ def by_digest(df: DataFrame, digest: Column, digits: int = 3) -> DataFrame:
     return df.withColumn(RANGE, F.conv(F.substring(digest, 1, digits), 16, 10).cast("int"))
 
 
-def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_index", groups: Sequence[str] = (), ties: Sequence[Column] = ()) -> DataFrame:
+def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_index", groups: Sequence[str] = (), ties: Sequence[Column] = (), equal: str = "") -> DataFrame:
     """Adds ``name``, each row's place from 0 in the order of its range and then ``order``, and ``n_rows``; by ``groups`` if given.
 
     With ``ties``, the beginning of ``order`` by which rows count as equal, also ``n_before``: the rows that stand before a row and its equals.
 
+    With ``equal``, also a column of that name: the rows that are equal by ``ties`` (which are then plain ascending columns), itself included.
+
     The ranges are those of :func:`by_range` or :func:`by_digest`. Each is numbered by itself; the rows of the ranges before it come
     from one row for each range and group, which are broadcast. The range's number is dropped.
     """
@@ -67,6 +69,8 @@ def global_index(ranged: DataFrame, order: Sequence[Column], name: str = "row_in
     if ties:
         numbered = numbered.withColumn("_rank", F.rank().over(inside.orderBy(*ties)))
         new["n_before"] = F.col("_before") + F.col("_rank") - 1
+    if equal:
+        numbered = numbered.withColumn(equal, F.count("*").over(Window.partitionBy(*keys, *ties)))  # in the order that the rows have by now
     return numbered.join(F.broadcast(base), same).withColumns(new).drop("_before", "_at", "_rank", RANGE, *[f"_b{c}" for c in keys])
 
 
