@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +63,84 @@ def feature_benchmarks(long: DataFrame, keys: Sequence[str], detailed: str, broa
     x = placed.withColumn("percentile", F.when(F.col("n_rows") > 1, F.col("n_before") / (F.col("n_rows") - 1)).otherwise(0.0)).drop("row_index", "n_before", "n_rows").join(stats, own)
     x = x.withColumns({"median_difference": F.col("value") - F.col("peer_median"), "_away": F.abs(F.col("value") - F.col("peer_median"))})
     mad = _placed(x.select(*own, "_away"), own, "_away").groupBy(*own).agg(_quantile(0.5, "_away").alias("peer_mad"))
+    return _judged(x.drop("_away", "median_difference").join(mad, own), min_n, good, bad)
+
+
+def _judged(x: DataFrame, min_n: int, good: Sequence[str], bad: Sequence[str]) -> DataFrame:
     risk = F.when(F.col("feature").isin(*good), 1 - F.col("percentile")).when(F.col("feature").isin(*bad), F.col("percentile"))
-    return x.drop("_away").join(mad, own).withColumns({"risk_percentile": risk, "robust_z": F.when(F.col("peer_mad") > 0, F.col("median_difference") / (1.4826 * F.col("peer_mad"))), "too_small": F.col("peer_count") < min_n})
+    x = x.withColumn("median_difference", F.col("value") - F.col("peer_median"))
+    return x.withColumns({"risk_percentile": risk, "robust_z": F.when(F.col("peer_mad") > 0, F.col("median_difference") / (1.4826 * F.col("peer_mad"))), "too_small": F.col("peer_count") < min_n})
+
+
+def _group_benchmarks(keys: Sequence[str], names: Sequence[str], carry: Sequence[str], min_n: int):
+    """A step over rows sorted by ``_group``: benchmarks of every feature with ``min_n`` values in a group, one group in memory, a batch for each feature."""
+
+    def one(group: pa.Table, label: str) -> Iterator[pa.RecordBatch]:
+        for name in names:
+            has = group.column(name).is_valid()
+            rows = group.filter(has)
+            n = rows.num_rows
+            if n < min_n:
+                continue
+            v = rows.column(name).to_numpy()
+            ranked = np.sort(v)
+            quantile = lambda a, q: (lambda at: a[int(at)] + (a[math.ceil(at)] - a[int(at)]) * (at - int(at)))((n - 1) * q)
+            middle = quantile(ranked, 0.5)
+            stats = [v.mean(), middle, quantile(ranked, 0.25), quantile(ranked, 0.75), quantile(np.sort(np.abs(v - middle)), 0.5)]
+            below = np.searchsorted(ranked, v, "left") / max(n - 1, 1)
+            same = lambda x, t=None: pa.repeat(pa.scalar(x, t), n)  # noqa: E731, B023
+            cells = [*[rows.column(c) for c in keys], same(name), pa.array(v), *[rows.column(c) for c in carry], same(label), same(n, pa.int64()), *[same(float(x)) for x in stats], pa.array(below)]
+            columns = [*keys, "feature", "value", *carry, "peer_group", "peer_count", "peer_mean", "peer_median", "peer_p25", "peer_p75", "peer_mad", "percentile"]
+            yield from pa.table(cells, columns).combine_chunks().to_batches(20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, label = [], None
+        for batch in batches:
+            at, groups = 0, batch.column("_group")
+            while at < batch.num_rows:
+                here = groups[at].as_py()
+                if here != label and held:
+                    yield from one(pa.Table.from_batches(held), label)
+                    held = []
+                label = here
+                own = pc.equal(groups, here).to_numpy(zero_copy_only=False)[at:]
+                n = len(own) if own.all() else int(np.argmin(own))
+                held.append(batch.slice(at, n))
+                at += n
+        if held:
+            yield from one(pa.Table.from_batches(held), label)
+
+    return run
+
+
+def wide_benchmarks(rows: DataFrame, keys: Sequence[str], names: Sequence[str], detailed: str, broad: str, carry: Sequence[str] = (), min_n: int = 20, good: Sequence[str] = GOOD, bad: Sequence[str] = BAD, most: int = 250_000) -> DataFrame:
+    """The columns of :func:`feature_benchmarks`, and ``carry``, from rows that have a column for each of ``names``.
+
+    A row is dealt to its detailed group once, with all its features, where :func:`feature_benchmarks` moves each value by itself several times. A task holds
+    one group of at most ``most`` rows; features with fewer than ``min_n`` values in a group, and groups with more rows, go to :func:`feature_benchmarks`,
+    which is exact for any size. Sizes come first, from one aggregate with a row for each group.
+    """
+    sizes = kept(rows.groupBy(F.col(detailed).alias("_g")).agg(F.count("*").alias("_n"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(names)]), "sizes")
+    few = lambda i: F.col(f"_n{i}").between(1, min_n - 1)
+    some_few = few(0)
+    for i in range(1, len(names)):
+        some_few = some_few | few(i)
+    large = F.col("_n") > most
+    seen = sizes.agg(F.count_if(large).alias("large"), F.count_if(large | some_few).alias("rest")).first()
+    inside = rows
+    if seen["large"]:
+        inside = rows.join(F.broadcast(sizes.where(large).select(F.col("_g").alias(detailed))), detailed, "left_anti")
+    dealt = inside.select(*keys, *names, *carry, F.col(detailed).alias("_group")).repartition("_group").sortWithinPartitions("_group")
+    stats = ("peer_mean", "peer_median", "peer_p25", "peer_p75", "peer_mad", "percentile")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], "feature string, value double", *[f"{c} {types[c]}" for c in carry], "peer_group string, peer_count long", *[f"{c} double" for c in stats]])
+    out = _judged(dealt.mapInArrow(_group_benchmarks(keys, names, carry, min_n), schema).withColumn("peer_method", F.lit("DETAILED_FEATURE")), min_n, good, bad)
+    if seen["rest"]:
+        value = lambda i, c: F.when(F.col(c).isNotNull() & (large | few(i)), F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")))
+        left = rows.join(F.broadcast(sizes.where(large | some_few)), F.col(detailed) == F.col("_g"))
+        left = left.select(*keys, *carry, detailed, broad, F.explode(F.array_compact(F.array(*[value(i, c) for i, c in enumerate(names)]))).alias("r")).select(*keys, *carry, detailed, broad, "r.*")
+        out = out.unionByName(feature_benchmarks(left, keys, detailed, broad, min_n, good, bad).select(*out.columns))
+    return out
 
 
 def benchmark_validation(bench: DataFrame, period: str = "period") -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 import duckdb
 import pytest
 
+from panelwright.operators import peer_stats
 from panelwright.plans import modelling, presentation, registry, reports  # noqa: F401 - they add their queries to the registry
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -42,3 +43,32 @@ def same_day(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["outcome_labels_4q", "outcome_labels_8q", "label_prevalence", "label_status_summary", "lead_time_summary", "split_diagnostics", "label_boundary_validation", "event_bootstrap", "failure_events_by_split"])
 def test_events_of_one_day_are_one(spark, same_day, name):
     same(spark, same_day[1], same_day[0], name)
+
+
+def test_wide_benchmarks_are_those_of_values(spark):
+    """Groups of one task, groups too large for it, and features with few values in a group all have the benchmarks made value by value."""
+    rows = [(i, f"g{i % 3}" if i < 260 else f"s{i % 9}", "b0" if i % 2 else "b1", None if i % 7 == 0 else float(i * 37 % 50), float(i) if i % 3 == 0 and i % 5 == 0 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, dg string, bg string, equity_to_assets double, efficiency_ratio double")
+    names = ["equity_to_assets", "efficiency_ratio"]
+    long = df.unpivot(["k", "dg", "bg"], names, "feature", "value").where("value is not null")
+    columns = ["k", "feature", "value", "peer_group", "peer_method", "peer_count", "peer_mean", "peer_median", "peer_p25", "peer_p75", "peer_mad", "percentile", "risk_percentile", "robust_z", "too_small"]
+    plain = lambda x: sorted(str(tuple(f"{v:.9g}" if isinstance(v, float) else v for v in r)) for r in x.select(*columns).collect())
+    want = plain(peer_stats.feature_benchmarks(long, ["k"], "dg", "bg"))
+    for most in (1000, 86, 1):
+        assert plain(peer_stats.wide_benchmarks(df, ["k"], names, "dg", "bg", most=most)) == want
+
+
+def shuffles(df):
+    """Exchanges of rows by a key in the plan as it was run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_quality_takes_one_exchange(spark):
+    assert shuffles(registry.queries()["feature_quality"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_sums_of_odd_doubles_are_those_of_decimals(spark):
+    """Whole hundredths of doubles that are no hundredths, of halves, signs and nulls."""
+    df = spark.createDataFrame([(x,) for x in (0.0, -0.0, 0.005, 1.005, -2.675, 1234.565, 0.1 + 0.2, 99999.99, -0.01, 9999999999.99, None)], "l_tax double")
+    assert df.where(f"NOT (({registry._hundredths('l_tax')}) <=> CAST(CAST(l_tax AS DECIMAL(12,2)) * 100 AS BIGINT))").count() == 0
