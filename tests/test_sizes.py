@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from panelwright.operators import peer_stats
-from panelwright.plans import modelling, presentation, registry, reports  # noqa: F401 - they add their queries to the registry
+from panelwright.plans import inventory, modelling, presentation, references, registry, reports  # noqa: F401 - they add their queries to the registry
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
 
@@ -72,3 +72,23 @@ def test_sums_of_odd_doubles_are_those_of_decimals(spark):
     """Whole hundredths of doubles that are no hundredths, of halves, signs and nulls."""
     df = spark.createDataFrame([(x,) for x in (0.0, -0.0, 0.005, 1.005, -2.675, 1234.565, 0.1 + 0.2, 99999.99, -0.01, 9999999999.99, None)], "l_tax double")
     assert df.where(f"NOT (({registry._hundredths('l_tax')}) <=> CAST(CAST(l_tax AS DECIMAL(12,2)) * 100 AS BIGINT))").count() == 0
+
+
+@pytest.fixture(scope="module")
+def same_day_of_many(spark, tmp_path_factory):
+    """As same_day, and lines without a part or a day, some of them events."""
+    folder = str(tmp_path_factory.mktemp("same_day_of_many"))
+    quarters = [dt.datetime(1996 + i // 4, 3 * (i % 4) + 2, 10) for i in range(12)]
+    rows = [(p, day, "N", 0.01, 1) for p in (1, 2, 3, None) for day in quarters]
+    rows += [(p, dt.datetime(1997, 4, 1), f, 0.1, 49) for p in (1, 2) for f in ("R", "A")] + [(2, dt.datetime(1998, 6, 1), "R", 0.1, 49)]
+    rows += [(3, None, "N", 0.01, 1), (None, dt.datetime(1997, 5, 1), "R", 0.1, 49), (3, dt.datetime(1997, 5, 1), "A", 0.1, 49), (3, dt.datetime(1998, 11, 1), "R", 0.1, 49)]
+    df = spark.createDataFrame([(i, 1, p, 1, float(q), 1000.0 + i, x, 0.02, f, "O", day) for i, (p, day, f, x, q) in enumerate(rows)], LINE)
+    df.write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["outcome_labels_8q", "label_counts_by_year", "label_prevalence", "label_prevalence_by_horizon", "label_quality_summary", "label_status_summary", "lead_time_summary", "fold_diagnostics", "split_diagnostics"])
+def test_lines_without_a_part_or_a_day_are_of_no_event(spark, same_day_of_many, name):
+    same(spark, same_day_of_many[1], same_day_of_many[0], name)
