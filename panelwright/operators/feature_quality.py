@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.columns import quarter_end, shift_quarters
+from panelwright.functions.columns import apart, quarter_end, shift_quarters
 
 EXTREME = 1000.0
 
@@ -85,7 +85,8 @@ def quality_of_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]
     kinds = {"n_denominator": ("MISSING", "ZERO", "NEGATIVE"), "n_lag": ("INSUFFICIENT_LAG",), "n_continuity": ("NO_PREVIOUS_QUARTER", "NO_YEAR_AGO", "GAP"), "n_extreme": ("EXTREME",), "n_blocking": blocking, "n_warning": warning}
     hits = lambda ks: sum((F.coalesce(c.cast("int"), F.lit(0)) for c, k, _ in tests if k in ks), F.lit(0))
     by_kind = {f"_{k}": hits((k,)) for k in dict.fromkeys(k for _, k, _ in tests)}
-    x = rows.select(*keys, sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)).alias("n_missing"), *[c.alias(n) for n, c in by_kind.items()], *carry)
+    own = [*keys[:-1], apart(F.col(keys[-1])).alias(keys[-1])]
+    x = rows.select(*own, sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)).alias("n_missing"), *[c.alias(n) for n, c in by_kind.items()], *carry)
     counted = {n: F.when(known, sum((F.col(f"_{k}") for k in ks if f"_{k}" in by_kind), F.lit(0))).otherwise(0).cast("long") for n, ks in kinds.items()}
     x = x.select(*keys, "n_missing", *[c.alias(n) for n, c in counted.items()], *carry)
     return x.withColumn("status", quality_status(F.col("n_blocking"), F.col("n_warning")))

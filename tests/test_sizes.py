@@ -92,3 +92,14 @@ def same_day_of_many(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["outcome_labels_8q", "label_counts_by_year", "label_prevalence", "label_prevalence_by_horizon", "label_quality_summary", "label_status_summary", "lead_time_summary", "fold_diagnostics", "split_diagnostics"])
 def test_lines_without_a_part_or_a_day_are_of_no_event(spark, same_day_of_many, name):
     same(spark, same_day_of_many[1], same_day_of_many[0], name)
+
+
+@pytest.mark.parametrize("name", ["feature_quality", "feature_exception_counts", "feature_availability"])
+def test_no_generated_method_is_too_long_to_be_compiled(spark, name):
+    """The JVM interprets methods of more than 8,000 bytes, which the projection of all features in one method had."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert parts.size() > 0 and max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
