@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import apart, quarter_end, shift_quarters
+from panelwright.sources.scratch import kept
 
 EXTREME = 1000.0
 
@@ -117,6 +119,46 @@ def distribution(long: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame
     return x.select(*by, "n_values", "n_infinite", *[F.round(F.get("q", i), 6).alias(n) for i, n in enumerate(("p01", "p05", "median", "p95", "p99"))])
 
 
+def distribution_of_columns(wide: DataFrame, columns: Sequence[str], accuracy: int = 2000) -> DataFrame:
+    """As :func:`distribution` by feature, of the columns of ``wide``, without gathering a feature's values in one task.
+
+    One pass finds a low and a high value about each place that a percentile looks at, a second one counts the values below and picks those between,
+    some of each ``accuracy``, whose places tell the exact percentile. Where a value misses its bounds, which the counts show, all values of that feature are picked. The
+    rows are written once, as both passes read them.
+    """
+    names = ("p01", "p05", "median", "p95", "p99")
+    quantiles = (0.01, 0.05, 0.5, 0.95, 0.99)
+    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
+    held = kept(wide.select(*[F.col(c).cast("double").alias(c) for c in columns]), "values")
+    near = [min(1.0, max(0.0, q + d)) for q in quantiles for d in (-2 / accuracy, 2 / accuracy)]
+    first = held.agg(F.count("*").alias("_rows"), *[F.struct(F.count(c).alias("all"), F.count_if(F.abs(F.col(c)) == float("inf")).alias("infinite"), F.count(finite(c)).alias("n"), F.percentile_approx(finite(c), near, accuracy).alias("near")).alias(c) for c in columns]).first()  # one row
+    columns = columns if first["_rows"] else []
+    known = [c for c in columns if first[c]["n"]]
+    bounds = {(c, i): tuple(first[c]["near"][2 * i : 2 * i + 2]) for c in known for i in range(len(quantiles))}
+    places = {(c, i): ((first[c]["n"] - 1) * q) for c in known for i, q in enumerate(quantiles)}
+    counted = {}
+    if known:
+        cells = [F.struct(F.count_if(finite(c) < low).alias("below"), F.count_if(finite(c) <= high).alias("upto")).alias(f"{c}_{i}") for (c, i), (low, high) in bounds.items()]
+        row = held.agg(*cells).first()  # one row
+        counted = {(c, i): row[f"{c}_{i}"] for c, i in bounds}
+    for k, at in places.items():
+        if not (counted[k]["below"] <= math.floor(at) and math.ceil(at) < counted[k]["upto"]):
+            bounds[k], counted[k] = (float("-inf"), float("inf")), {"below": 0}
+    inside = [F.when(finite(c).between(*bounds[c, i]), F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.col(c).alias("value"), F.lit(counted[c, i]["below"]).cast("long").alias("below"), F.lit(places[c, i]).alias("at"))) for c, i in bounds]
+    spark = held.sparkSession
+    totals = spark.createDataFrame([(c, first[c]["all"], first[c]["infinite"]) for c in columns], "feature string, n_values long, n_infinite long")
+    if not known:
+        return totals.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
+    picked = held.select(F.explode(F.array_compact(F.array(*inside))).alias("r")).select("r.*").groupBy("feature", "i", "value", "below", "at").agg(F.count("*").alias("n"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("feature", "i").orderBy("value"))
+    spread = picked.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    holds = lambda place: F.max(F.when((F.col("from") <= place) & (place < F.col("upto")), F.col("value")))
+    low, high = holds(F.floor("at")), holds(F.ceil("at"))
+    exact = spread.groupBy("feature", "i").agg((low + (high - low) * F.max(F.col("at") - F.floor("at"))).alias("q"))
+    per = exact.groupBy("feature").agg(*[F.round(F.max(F.when(F.col("i") == i, F.col("q"))), 6).alias(n) for i, n in enumerate(names)])
+    return totals.join(per, "feature", "left")
+
+
 def feature_peer_groups(long: DataFrame, detailed: str, broad: str, min_n: int = 20) -> DataFrame:
     """The peer group of each value: the detailed one where it has ``min_n`` values of this very feature, else the broad one."""
     size = lambda c: F.count("value").over(Window.partitionBy(c, "feature"))

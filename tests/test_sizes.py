@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 import pytest
 
-from panelwright.operators import peer_stats
+from panelwright.operators import feature_quality, peer_stats
 from panelwright.plans import inventory, modelling, presentation, references, registry, reports  # noqa: F401 - they add their queries to the registry
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -103,3 +103,21 @@ def test_no_generated_method_is_too_long_to_be_compiled(spark, name):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert parts.size() > 0 and max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
+
+
+def test_distribution_of_columns_is_the_exact_one(spark):
+    """Ties, nulls, infinities, few values and none: the same as from all values of a feature together."""
+    nan = float("inf")
+    rows = [(i, float(i * 7919 % 5000), float(i % 3), None, nan if i % 50 == 0 else (None if i % 2 else -float(i)), 4.5 if i == 7 else None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double, e double").repartition(5)
+    names = ["a", "b", "c", "d", "e"]
+    want = sorted(map(tuple, feature_quality.distribution(df.unpivot(["k"], names, "feature", "value")).collect()))
+    for accuracy in (2000, 100, 5):
+        assert sorted(map(tuple, feature_quality.distribution_of_columns(df, names, accuracy).select("feature", "n_values", "n_infinite", "p01", "p05", "median", "p95", "p99").collect())) == want
+    assert feature_quality.distribution_of_columns(df.where("k < 0"), names).count() == 0
+
+
+def test_no_task_gathers_the_values_of_a_feature(spark):
+    """One exact percentile of a group holds all its values in one task."""
+    plan = registry.queries()["feature_distribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan
