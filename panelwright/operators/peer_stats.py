@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,7 @@ def _judged(x: DataFrame, min_n: int, good: Sequence[str], bad: Sequence[str]) -
     return x.withColumns({"risk_percentile": risk, "robust_z": F.when(F.col("peer_mad") > 0, F.col("median_difference") / (1.4826 * F.col("peer_mad"))), "too_small": F.col("peer_count") < min_n})
 
 
-def _group_benchmarks(keys: Sequence[str], names: Sequence[str], carry: Sequence[str], min_n: int):
+def _group_benchmarks(keys: Sequence[str], names: Sequence[str], carry: Sequence[str], min_n: int, shown: Mapping[str, str] | None = None):
     """A step over rows sorted by ``_group``: benchmarks of every feature with ``min_n`` values in a group, one group in memory, a batch for each feature."""
 
     def one(group: pa.Table, label: str) -> Iterator[pa.RecordBatch]:
@@ -88,9 +88,14 @@ def _group_benchmarks(keys: Sequence[str], names: Sequence[str], carry: Sequence
             middle = quantile(ranked, 0.5)
             stats = [v.mean(), middle, quantile(ranked, 0.25), quantile(ranked, 0.75), quantile(np.sort(np.abs(v - middle)), 0.5)]
             below = np.searchsorted(ranked, v, "left") / max(n - 1, 1)
-            same = lambda x, t=None: pa.repeat(pa.scalar(x, t), n)  # noqa: E731, B023
-            cells = [*[rows.column(c) for c in keys], same(name), pa.array(v), *[rows.column(c) for c in carry], same(label), same(n, pa.int64()), *[same(float(x)) for x in stats], pa.array(below)]
-            columns = [*keys, "feature", "value", *carry, "peer_group", "peer_count", "peer_mean", "peer_median", "peer_p25", "peer_p75", "peer_mad", "percentile"]
+            put, also = rows, list(carry)
+            if shown:
+                told = rows.column(shown[name]).is_valid()
+                at = told.to_numpy(zero_copy_only=False)
+                put, v, below, also = rows.filter(told), v[at], below[at], [shown[name], *carry]
+            same = lambda x, t=None: pa.repeat(pa.scalar(x, t), put.num_rows)  # noqa: E731, B023
+            cells = [*[put.column(c) for c in keys], same(name), pa.array(v), *[put.column(c) for c in also], same(label), same(n, pa.int64()), *[same(float(x)) for x in stats], pa.array(below)]
+            columns = [*keys, "feature", "value", *(["shown"] if shown else []), *carry, "peer_group", "peer_count", "peer_mean", "peer_median", "peer_p25", "peer_p75", "peer_mad", "percentile"]
             yield from pa.table(cells, columns).combine_chunks().to_batches(20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +118,14 @@ def _group_benchmarks(keys: Sequence[str], names: Sequence[str], carry: Sequence
     return run
 
 
-def wide_benchmarks(rows: DataFrame, keys: Sequence[str], names: Sequence[str], detailed: str, broad: str, carry: Sequence[str] = (), min_n: int = 20, good: Sequence[str] = GOOD, bad: Sequence[str] = BAD, most: int = 250_000) -> DataFrame:
+def wide_benchmarks(rows: DataFrame, keys: Sequence[str], names: Sequence[str], detailed: str, broad: str, carry: Sequence[str] = (), min_n: int = 20, good: Sequence[str] = GOOD, bad: Sequence[str] = BAD, most: int = 250_000, shown: Mapping[str, str] | None = None) -> DataFrame:
     """The columns of :func:`feature_benchmarks`, and ``carry``, from rows that have a column for each of ``names``.
 
     A row is dealt to its detailed group once, with all its features, where :func:`feature_benchmarks` moves each value by itself several times. A task holds
     one group of at most ``most`` rows; features with fewer than ``min_n`` values in a group, and groups with more rows, go to :func:`feature_benchmarks`,
-    which is exact for any size. Sizes come first, from one aggregate with a row for each group.
+    which is exact for any size. Sizes come first, from one aggregate with a row for each group. ``rows`` are read twice or three times.
+
+    ``shown`` names a whole-number column for each feature: where it is null the row's value counts among the peers' but is not put out, else it is handed on as ``shown``.
     """
     sizes = kept(rows.groupBy(F.col(detailed).alias("_g")).agg(F.count("*").alias("_n"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(names)]), "sizes")
     few = lambda i: F.col(f"_n{i}").between(1, min_n - 1)
@@ -130,16 +137,17 @@ def wide_benchmarks(rows: DataFrame, keys: Sequence[str], names: Sequence[str],
     inside = rows
     if seen["large"]:
         inside = rows.join(F.broadcast(sizes.where(large).select(F.col("_g").alias(detailed))), detailed, "left_anti")
-    dealt = inside.select(*keys, *names, *carry, F.col(detailed).alias("_group")).repartition("_group").sortWithinPartitions("_group")
+    dealt = inside.select(*keys, *names, *(shown or {}).values(), *carry, F.col(detailed).alias("_group")).repartition("_group").sortWithinPartitions("_group")
     stats = ("peer_mean", "peer_median", "peer_p25", "peer_p75", "peer_mad", "percentile")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], "feature string, value double", *[f"{c} {types[c]}" for c in carry], "peer_group string, peer_count long", *[f"{c} double" for c in stats]])
-    out = _judged(dealt.mapInArrow(_group_benchmarks(keys, names, carry, min_n), schema).withColumn("peer_method", F.lit("DETAILED_FEATURE")), min_n, good, bad)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], "feature string, value double", *(["shown int"] if shown else []), *[f"{c} {types[c]}" for c in carry], "peer_group string, peer_count long", *[f"{c} double" for c in stats]])
+    out = _judged(dealt.mapInArrow(_group_benchmarks(keys, names, carry, min_n, shown), schema).withColumn("peer_method", F.lit("DETAILED_FEATURE")), min_n, good, bad)
     if seen["rest"]:
-        value = lambda i, c: F.when(F.col(c).isNotNull() & (large | few(i)), F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")))
+        value = lambda i, c: F.when(F.col(c).isNotNull() & (large | few(i)), F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), *([F.col(shown[c]).alias("shown")] if shown else [])))
         left = rows.join(F.broadcast(sizes.where(large | some_few)), F.col(detailed) == F.col("_g"))
         left = left.select(*keys, *carry, detailed, broad, F.explode(F.array_compact(F.array(*[value(i, c) for i, c in enumerate(names)]))).alias("r")).select(*keys, *carry, detailed, broad, "r.*")
-        out = out.unionByName(feature_benchmarks(left, keys, detailed, broad, min_n, good, bad).select(*out.columns))
+        rest = feature_benchmarks(left, keys, detailed, broad, min_n, good, bad).select(*out.columns)
+        out = out.unionByName(rest.where("shown is not null") if shown else rest)
     return out
 
 

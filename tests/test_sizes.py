@@ -4,8 +4,9 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from panelwright.operators import feature_quality, peer_stats
+from panelwright.operators import drivers, feature_quality, peer_stats
 from panelwright.plans import inventory, modelling, presentation, references, registry, reports  # noqa: F401 - they add their queries to the registry
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -127,3 +128,17 @@ def test_watchlist_drivers_are_made_of_the_rows_listed(spark):
     """Scores are made and written once; the drivers of rows that aren't listed are not made, so the lines aren't read again."""
     plan = registry.queries()["driver_watchlist"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def test_benchmarked_drivers_are_those_of_the_join(spark):
+    """Rows with and without peers, missing values, few values in a group: as drivers joined with all benchmarks; no join with them is left."""
+    rows = [(i, None if i % 50 == 0 else f"g{i % 3}" if i < 260 else f"s{i % 9}", None if i % 50 == 0 else "b0" if i % 2 else "b1", None if i % 7 == 0 else float(i * 37 % 50), float(i) if i % 3 == 0 and i % 5 == 0 else None, float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, dg string, bg string, equity_to_assets double, efficiency_ratio double, loans_to_deposits double")
+    refs = {"equity_to_assets": 5.0, "efficiency_ratio": 5.0, "loans_to_deposits": 1.0}
+    score = lambda x: x.withColumn("score", sum((F.coalesce(F.col(c), F.lit(r)) for c, r in refs.items()), F.lit(0.0)))
+    bench = peer_stats.wide_benchmarks(df.where("dg is not null"), ["k"], list(refs), "dg", "bg")
+    columns = ["k", "driver_rank", "feature", "direction", "peer_count", "peer_method", "peer_median", "risk_percentile", "warning"]
+    plain = lambda x: sorted(str(tuple(r)) for r in x.select(*columns).collect())
+    want = plain(drivers.driver_table(drivers.substitution_drivers(df, ["k"], refs, score, 2), bench, ["k"]))
+    for most in (1000, 1):
+        assert plain(drivers.benchmarked_drivers(df, ["k"], refs, score, "dg", "bg", 2, most=most)) == want and len(want) == 600
