@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.columns import sanitised, sigmoid
 from panelwright.operators.metrics import probability_errors, ranking_metrics
 from panelwright.operators.panel import best_by
+from panelwright.sources.scratch import kept
 
 OUTSIDE = "OUTSIDE_PROTOCOL"
 
@@ -113,8 +114,9 @@ def cross_validate(df: DataFrame, columns: Sequence[str], folds: Sequence[tuple[
     """(model, fold, n_rows, positives, average_precision, roc_auc, brier) of expanding folds: train up to the first date, validate in the window after.
 
     A fold's rows are made into vectors once and kept while its candidates are fitted, ``at_once`` of them side by side. A fold
-    without both classes in its training rows raises; one without both in its window has null metrics.
+    without both classes in its training rows raises; one without both in its window has null metrics. ``df`` is made once and written, as every fold reads it several times.
     """
+    df = kept(df.select(*dict.fromkeys([period, "target", *columns])), "model_rows")
     out = []
     for fold, (until, first, last) in enumerate(folds, 1):
         stages, medians, rows = _vectors(df.where(F.col(period) <= F.lit(until).cast("date")), columns)

@@ -9,6 +9,7 @@ from panelwright.operators import calibration, dataset, features, importance, la
 from panelwright.plans import controls, reports
 from panelwright.plans import registry as R
 from panelwright.plans.registry import query, table
+from panelwright.sources.scratch import kept
 
 _KEYS = ["entity", "period"]
 
@@ -210,7 +211,7 @@ def model_winners(s: SparkSession, d: str) -> DataFrame:
 @query()
 def model_sign_stability(s: SparkSession, d: str) -> DataFrame:
     """How steady the signs of the regularised line's coefficients are over the folds (no SQL: fitted models)."""
-    rows = reports._model_rows(s, d)
+    rows = kept(reports._model_rows(s, d), "model_rows")  # read several times by each fold
     line = models.candidates()["logistic_l2"]
     return models.sign_stability([models.fit(rows.where(F.col("period") <= F.lit(u).cast("date")), reports._FEATURES, line) for u, _, _ in reports.FOLDS], s)
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import drivers, feature_quality, peer_stats
+from panelwright.operators import drivers, feature_quality, models, peer_stats
 from panelwright.plans import inventory, modelling, presentation, references, registry, reports  # noqa: F401 - they add their queries to the registry
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -149,3 +149,12 @@ def test_controls_make_scores_once(spark):
     """Places, drivers and the scores made again read the written scores; of the lines only the rows are counted once more."""
     plan = registry.queries()["presentation_controls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 1
+
+
+def test_folds_read_rows_that_are_written(spark, monkeypatch):
+    """The lines are summed once, whatever the number of folds and candidates."""
+    made = []
+    monkeypatch.setattr(models, "kept", lambda df, name: made.append(name) or df.limit(0))
+    with pytest.raises(ValueError):
+        models.cross_validate(reports._model_rows(spark, "/root/testdata/sf0.001"), reports._FEATURES, reports.FOLDS)
+    assert made == ["model_rows"]
