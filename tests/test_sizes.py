@@ -158,3 +158,24 @@ def test_folds_read_rows_that_are_written(spark, monkeypatch):
     with pytest.raises(ValueError):
         models.cross_validate(reports._model_rows(spark, "/root/testdata/sf0.001"), reports._FEATURES, reports.FOLDS)
     assert made == ["model_rows"]
+
+
+@pytest.fixture(scope="module")
+def hidden_failures(spark, tmp_path_factory):
+    """Failures on the day of an exit, which makes them none, and then an exit, a failure or nothing."""
+    folder = str(tmp_path_factory.mktemp("hidden_failures"))
+    quarters = [dt.date(1995 + i // 4, 3 * (i % 4) + 2, 10) for i in range(20)]
+    rows = [(p, day, "N", 0.01, 1) for p in (1, 2, 3, 4) for day in quarters]
+    rows += [(p, dt.date(1996, 10, 1), f, 0.1, 49) for p in (1, 2, 3) for f in ("R", "A")]
+    rows += [(2, dt.date(1998, 6, 1), "R", 0.1, 49), (3, dt.date(1998, 6, 1), "A", 0.1, 49), (4, dt.date(1999, 2, 1), "R", 0.1, 49)]
+    return folder, lines(spark, folder, rows)
+
+
+OF_HIDDEN_FAILURES = [
+    "label_exceptions",
+]
+
+
+@pytest.mark.parametrize("name", OF_HIDDEN_FAILURES)
+def test_a_failure_on_the_day_of_an_exit_is_none(spark, hidden_failures, name):
+    same(spark, hidden_failures[1], hidden_failures[0], name)
