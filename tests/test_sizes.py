@@ -172,7 +172,7 @@ def hidden_failures(spark, tmp_path_factory):
 
 
 OF_HIDDEN_FAILURES = [
-    "label_exceptions", "label_prevalence", "label_prevalence_by_band", "label_prevalence_by_horizon", "label_quality_summary", "label_status_summary", "lead_time_summary", "fold_diagnostics", "outcome_labels_8q",
+    "label_exceptions", "label_prevalence", "label_prevalence_by_band", "label_prevalence_by_horizon", "label_quality_summary", "label_status_summary", "lead_time_summary", "fold_diagnostics", "outcome_labels_8q", "split_assignments",
 ]
 
 
