@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,19 @@ def peer_groups(df: DataFrame, period: str, band: str, kind: str, min_n: int = 2
     return df.withColumns({"peer_group": F.when(detailed, F.col("detailed_group")).otherwise(F.col("broad_group")), "peer_method": F.when(detailed, "DETAILED").otherwise("BROAD"), "peer_size": F.when(detailed, F.col("detailed_size")).otherwise(F.col("broad_size"))}).withColumn("too_small", F.col("peer_size") < min_n)
 
 
+def small_groups(df: DataFrame, period: str, band: str, kind: str, counts: Column, min_n: int = 20) -> DataFrame:
+    """Adds ``small_group``: whether the row's final group by :func:`peer_groups` has fewer than ``min_n`` of the rows where ``counts`` holds; false for the others.
+
+    Rows are counted by period, band and class, and the counts, a row for each of these, are broadcast: no row of ``df`` is moved. ``df`` is read twice.
+    """
+    kinds = F.coalesce(kind, F.lit("UNKNOWN"))
+    by = df.where(counts).groupBy(F.col(period).alias("_p"), F.col(band).alias("_b"), kinds.alias("_k")).agg(F.count("*").alias("_n"))
+    by = by.withColumn("_all", F.sum("_n").over(Window.partitionBy("_p", "_b")))  # a row for each class
+    x = df.join(F.broadcast(by), F.col(period).eqNullSafe(F.col("_p")) & F.col(band).eqNullSafe(F.col("_b")) & kinds.eqNullSafe(F.col("_k")), "left")
+    detailed = (F.col("_n") >= min_n) & (F.col(band) != "UNKNOWN")
+    return x.withColumn("small_group", F.coalesce(counts & ~detailed & (F.col("_all") < min_n), F.lit(False))).drop("_p", "_b", "_k", "_n", "_all")
+
+
 def peer_benchmark(long: DataFrame, groups: Sequence[str] = ("peer_group", "feature"), value: str = "value", inverted: Sequence[str] = (), direct: Sequence[str] = ()) -> DataFrame:
     """Count, mean, median, quartiles, percentile, risk percentile, difference and robust z of every value in its group.
 

@@ -102,6 +102,17 @@ def mapping_counts(df: DataFrame, alias: str, identity: str, period: str) -> Dat
     return per.agg(F.count_if("several").alias("several"), F.count_if("overlapping").alias("overlapping"), F.count_if(F.col("several") & ~F.col("overlapping")).alias("sequential"))
 
 
+def sequential_identities(df: DataFrame, alias: str, identity: str, period: str) -> DataFrame:
+    """(identity): the entities that have a second id whose entities' spans don't meet, or one of a single entity; rows without either name nobody.
+
+    Lines are dealt by second id once, for the spans, their order and what is kept; no sequence is made.
+    """
+    span = df.where(F.col(alias).isNotNull() & F.col(identity).isNotNull()).repartition(alias).groupBy(alias, identity).agg(F.min(period).alias("first"), F.max(period).alias("last"))
+    own = Window.partitionBy(alias)
+    x = span.withColumn("meets", F.coalesce(F.col("first") <= F.max("last").over(own.orderBy("first", identity).rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    return x.withColumn("any", F.bool_or("meets").over(own)).where(~F.col("any")).select(identity).distinct()
+
+
 def mapping_exceptions(df: DataFrame, alias: str, identity: str, period: str) -> DataFrame:
     """(alias, kind, n_identities, sequence): second ids with several entities, CONCURRENT where spans meet and SEQUENTIAL where none do; their entities in order of appearance.
 

@@ -179,3 +179,21 @@ OF_HIDDEN_FAILURES = [
 @pytest.mark.parametrize("name", OF_HIDDEN_FAILURES)
 def test_a_failure_on_the_day_of_an_exit_is_none(spark, hidden_failures, name):
     same(spark, hidden_failures[1], hidden_failures[0], name)
+
+
+def test_signals_read_the_lines_twice(spark, tmp_path, monkeypatch):
+    """Panel, staged rows, lags and groups are of one pass; rows of odd lines, parts that aren't listed and second ids of one entity are as in SQL."""
+    day = lambda i: dt.datetime(1996 + i // 4, 3 * (i % 4) + 2, 10)
+    rows = [(p, p % 5, day(i), 50.0 if i % 3 else 5.0, 1000.0 * (1 + 40 * (i == 5)) + p, "RAN"[(p + i) % 3]) for p in range(1, 61) for i in range(8) if (p + i) % 7]
+    rows += [(61, 6, day(i), 10.0, 900.0, "N") for i in range(3)] + [(62, 6, day(i), 10.0, 900.0, "N") for i in range(4, 6)]  # one second id, one entity after the other
+    rows += [(None, 6, day(1), 10.0, 900.0, "N"), (3, None, day(2), 10.0, 900.0, "N"), (63, 7, day(2), None, None, "N")]
+    spark.createDataFrame([(i, 1, p, s, q, x, 0.05, 0.02, f, "O", t) for i, (p, s, t, q, x, f) in enumerate(rows)], LINE).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"b{p % 2}") for p in range(1, 64) if p % 10], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    read = []
+    for module in (registry, inventory):
+        monkeypatch.setattr(module, "table", lambda s, d, n: read.append(n) or s.read.parquet(f"{d}/{n}.parquet"))
+    same(spark, con, str(tmp_path), "feature_signals")
+    assert read.count("lineitem") == 2
