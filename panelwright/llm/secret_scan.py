@@ -2,8 +2,8 @@
 
 A candidate is a maximal run of 12 or more letters, digits and ``+/_=.-``. Three banks of filters read its characters, the 24 before
 it and the 8 behind it; each filter's highest answer counts, so a candidate of any length is read whole. The network learns from
-labelled findings, a bounded sample of them; a held-back part calibrates its answers and sets a threshold for each kind of
-alphabet: the highest one that still finds the asked share of the labelled secrets.
+all labelled findings, group by group, and the groups' networks are averaged after each pass; a held-back part, all of it, calibrates
+its answers and sets a threshold for each kind of alphabet: the highest one that still finds the asked share of the labelled secrets.
 """
 
 from __future__ import annotations
@@ -148,8 +148,8 @@ class SecretNet:
     def probability(self, logits: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * logits + self.offset, -40, 40)))
 
-    def step(self, windows: _Windows, rows: np.ndarray, label: np.ndarray, blank: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the log loss over some rows whose candidates are one chunk each; ``blank`` rows hide what stands around."""
+    def step(self, windows: _Windows, rows: np.ndarray, label: np.ndarray, blank: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the weighted log loss over some rows whose candidates are one chunk each; ``blank`` rows hide what stands around."""
         chars = [windows.own[rows], windows.left[rows].copy(), windows.right[rows].copy()]
         chars[1][blank], chars[2][blank] = _NONE, _NONE
         got = [self._answers(i, c) for i, c in enumerate(chars)]
@@ -157,7 +157,7 @@ class SecretNet:
         active = np.maximum(pooled, 0)
         hidden = np.tanh(active @ self.p["h"] + self.p["hb"])
         z = hidden @ self.p["o"] + self.p["ob"][0]
-        d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / len(rows)).astype(np.float32)
+        d = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight / len(rows)).astype(np.float32)
         grad = {"o": hidden.T @ d, "ob": np.array([d.sum()], np.float32)}
         dh = d[:, None] * self.p["o"] * (1 - hidden**2)
         grad["h"], grad["hb"] = active.T @ dh, dh.sum(0)
@@ -174,59 +174,132 @@ class SecretNet:
         return grad
 
 
-def _trained(text: str, start: np.ndarray, end: np.ndarray, label: np.ndarray, epochs: int, seed: int) -> SecretNet:
-    """Adam on the log loss; a candidate of several chunks is trained on its first one, classes weigh the same."""
-    net, rng = SecretNet(seed), np.random.default_rng(seed)
+def _passed(net: SecretNet, adam: tuple, rows: list[tuple[int, str, str, str]], passes: int, rate: float, rng: np.random.Generator) -> tuple:
+    """``passes`` of Adam on the log loss over a block of (label, before, candidate, behind); a candidate of several chunks is trained on its first one.
+
+    A step has up to 128 others and 32 secrets, which weigh the same together. Every row is in each pass; the fewer ones of a label go round again.
+    """
+    text, start, end = _joined(rows)
+    label = np.array([r[0] for r in rows], np.float32)
     windows = _Windows(text, start, np.minimum(end, start + CHUNK))
     windows.right = _Windows(text, np.maximum(end - 1, start), end).right
-    m, v, t = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
-    ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    rounds = -(-max(len(ones), len(zeros)) // 128)
-    for epoch in range(epochs):
-        for _ in range(rounds):
-            rows = np.concatenate([rng.choice(ones, 128), rng.choice(zeros, 128)])
-            grad = net.step(windows, rows, label[rows].astype(np.float32), rng.random(len(rows)) < 0.3)
+    m, v, t = adam
+    sides = [(np.flatnonzero(label == x), n) for x, n in ((0, 128), (1, 32))]
+    steps = max(-(-len(own) // n) for own, n in sides)
+    for _ in range(passes):
+        turn = [(np.resize(rng.permutation(own), steps * n), n) for own, n in sides if len(own)]
+        for i in range(steps):
+            chosen = np.concatenate([own[i * n : i * n + n] for own, n in turn])
+            weight = np.concatenate([np.full(n, 1 / (2 * n)) for _, n in turn]) * len(chosen)
+            grad = net.step(windows, chosen, label[chosen], rng.random(len(chosen)) < 0.3, weight.astype(np.float32))
             t += 1
-            rate = 0.01 * (1 - epoch / epochs)
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 net.p[k] = net.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    return net
+    return m, v, t
 
 
-def _calibrate(net: SecretNet, logits: np.ndarray, label: np.ndarray, shapes: np.ndarray, recall: float) -> None:
-    """Slope and offset by Newton steps on softened labels, then each shape's threshold."""
-    n1, n0 = int(label.sum()), int((1 - label).sum())
-    target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([logits, np.ones_like(logits)], 1)
-    w = np.array([1.0, 0.0])
+def _joined(rows: list[tuple[int, str, str, str]]) -> tuple[str, np.ndarray, np.ndarray]:
+    """(text, start, end) of the candidates of (label, before, candidate, behind), one after the other: a row's surroundings end where the next row's begin."""
+    text, start, end, size = [], [], [], 0
+    for _, before, candidate, behind in rows:
+        text += [before.rjust(LEFT, "\0"), candidate, behind.ljust(RIGHT, "\0")]
+        start.append(size + LEFT)
+        end.append(size + LEFT + len(candidate))
+        size += LEFT + len(candidate) + RIGHT
+    return "".join(text), np.array(start, np.int64), np.array(end, np.int64)
+
+
+def _averaged(findings: DataFrame, net: SecretNet, groups: int, passes: int, rate: float, seed: int) -> None:
+    """One pass over all ``findings`` (group, digest, ...): each group trains from ``net`` in the order of its digests, and ``net`` becomes the mean by rows."""
+    names, block = list(net.p), 16_384
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended() -> pa.RecordBatch:
+            flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float32).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([n], pa.int64()), pa.array([flat], pa.binary())], names=["group", "n", "p"])
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, x @ w).sum() - target @ (x @ w) + 1e-3 * (w @ w))
+        group, n, held, own, adam, rng = None, 0, [], net, None, None
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "label", "before", "candidate", "behind")), strict=True):
+                if g != group or len(held) == block:
+                    if held:
+                        adam = _passed(own, adam, held, passes, rate, rng)
+                        n, held = n + len(held), []
+                    if g != group:
+                        if group is not None:
+                            yield ended()
+                        own, rng, group, n = SecretNet(seed), np.random.default_rng([seed, g]), g, 0
+                        own.p = dict(net.p)
+                        adam = ({k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0)
+                held.append(tuple(row))
+        if held:
+            adam = _passed(own, adam, held, passes, rate, rng)
+            n += len(held)
+        if group is not None:
+            yield ended()
+
+    dealt = findings.repartition(groups, "group").sortWithinPartitions("group", "digest")
+    got = sorted(dealt.mapInArrow(frugal(run), "group int, n long, p binary").collect())  # a row for each of at most ``groups`` groups
+    mean = sum(r.n * np.frombuffer(r.p, np.float32).astype(np.float64) for r in got) / sum(r.n for r in got)
+    at = 0
+    for k in names:
+        size = net.p[k].size
+        net.p[k] = mean[at : at + size].reshape(net.p[k].shape).astype(np.float32)
+        at += size
+
+
+def _calibrate(net: SecretNet, findings: DataFrame, ones: int, zeros: int, recall: float) -> None:
+    """Slope and offset by Newton steps on softened labels over all ``findings``, then each shape's threshold, an exact one."""
 
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2), x.T @ (p - target) + 2e-3 * w)
-        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:  # full steps overshoot where the labels part cleanly
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "before", "candidate", "behind")), strict=True))
+            if rows:
+                text, start, end = _joined(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([shape_of(r[2]) for r in rows], pa.int32()), pa.array(net.logits(text, start, end), pa.float64())], names=["label", "shape", "x"])
+
+    answers = stored(findings.select("label", "before", "candidate", "behind").mapInArrow(frugal(run), "label int, shape int, x double"), "answers")
+    by = {r.shape: r.n for r in answers.where("label = 1").groupBy("shape").agg(F.count("*").alias("n")).collect()}
+    target = F.when(F.col("label") == 1, (ones + 1) / (ones + 2)).otherwise(1 / (zeros + 2))
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        x = F.col("x")
+        z = x * float(w[0]) + float(w[1])
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - target * z
+        q, d = p * (1 - p), p - target
+        r = answers.agg(*[F.sum(c) for c in (loss, d * x, d, q * x * x, q * x, q)]).first()  # one row
+        return r[0] + 1e-3 * float(w @ w), np.array(r[1:3]) + 2e-3 * w, np.array([[r[3], r[4]], [r[4], r[5]]]) + 2e-3 * np.eye(2)
+
+    w = np.array([1.0, 0.0])
+    loss, slope, curve = sums(w)
+    for _ in range(15):
+        step = np.linalg.solve(curve, slope)
+        while True:  # full steps overshoot where the labels part cleanly
+            tried = sums(w - step)
+            if tried[0] <= loss or np.abs(step).max() <= 1e-6:
+                break
             step = step / 2
-        w = w - step
+        w, (loss, slope, curve) = w - step, tried
+        if np.abs(step).max() <= 1e-6:
+            break
     net.slope, net.offset = float(w[0]), float(w[1])
-    p = net.probability(logits)
+    found = answers.where("label = 1")
     for s in range(len(SHAPES)):
-        found = np.sort(p[(label == 1) & (shapes == s)])
-        if len(found) < 20:  # too few of this shape: all shapes together
-            found = np.sort(p[label == 1])
-        net.thresholds[s] = found[int(np.floor((1 - recall) * len(found)))]
+        n, own = (by[s], found.where(F.col("shape") == s)) if by.get(s, 0) >= 20 else (ones, found)  # too few of this shape: all shapes together
+        at = int(np.floor((1 - recall) * n))
+        net.thresholds[s] = net.probability(own.orderBy("x").offset(at).limit(1).first().x)
 
 
-def sample_findings(docs: DataFrame, rows: int = 30_000, per_row: int = 64, bound: int = 4_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(digest, label, before, candidate, behind): distinct candidates with their surroundings, label 1 where a rule finds them.
+def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, label, before, candidate, behind): all distinct candidates of all rows with their surroundings, label 1 where a rule finds them."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    return stored(_found(rows).dropDuplicates(["digest"]), "findings")
 
-    A sample for fitting only: about ``rows`` rows of ``docs``, of each the ``per_row`` candidates of the least digests, and of all
-    those the ``bound`` secrets and twice as many others with the least digests. Reruns agree.
-    """
 
+def _found(rows: DataFrame, per_row: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -234,41 +307,47 @@ def sample_findings(docs: DataFrame, rows: int = 30_000, per_row: int = 64, boun
                 s, own = t.decode(), []
                 for a, b, hit in candidates(s, base_spans(s)):
                     context = s[max(0, a - LEFT) : a], s[a:b], s[b : b + RIGHT]
-                    own.append((hashlib.blake2b("\0".join(context).encode(), digest_size=16).hexdigest(), int(hit), *context))
-                out += sorted(own)[:per_row]
+                    own.append((hashlib.blake2b("\0".join((str(int(hit)), *context)).encode(), digest_size=16).hexdigest(), int(hit), *context))
+                out += own if per_row is None else sorted(own)[:per_row]
             yield pa.RecordBatch.from_pylist([dict(zip(("digest", "label", "before", "candidate", "behind"), o, strict=True)) for o in out], schema=pa.schema([("digest", pa.string()), ("label", pa.int32()), ("before", pa.string()), ("candidate", pa.string()), ("behind", pa.string())]))
 
+    return rows.mapInArrow(frugal(run), "digest string, label int, before string, candidate string, behind string")
+
+
+def sample_findings(docs: DataFrame, rows: int = 30_000, per_row: int = 64, bound: int = 4_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As :func:`labelled_findings`, of a sample, for a quick look: no query fits to it.
+
+    About ``rows`` rows of ``docs``, of each the ``per_row`` candidates of the least digests, and of all those the ``bound`` secrets and twice as many
+    others with the least digests. Reruns agree.
+    """
     rows_in = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     total = rows_in.count()
     if total > rows:
         share = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < int((1 << 20) * rows / total) + 1
         rows_in = rows_in.where(share)
-    found = rows_in.mapInArrow(frugal(run), "digest string, label int, before string, candidate string, behind string")
-    found = stored(found.dropDuplicates(["digest"]), "findings")
+    found = stored(_found(rows_in, per_row).dropDuplicates(["digest"]), "findings")
     return found.where("label = 1").orderBy("digest").limit(bound).unionByName(found.where("label = 0").orderBy("digest").limit(2 * bound))
 
 
-def fit_secret_net(findings: DataFrame, recall: float = 0.9, epochs: int = 6, seed: int = 7) -> SecretNet | None:
-    """The network of a bounded table of labelled findings (label, before, candidate, behind); None without both labels.
+def fit_secret_net(findings: DataFrame, recall: float = 0.9, epochs: int = 4, seed: int = 7, groups: int = 64) -> SecretNet | None:
+    """The network of a table of labelled findings (digest, label, before, candidate, behind), all of them; None without both labels.
 
-    Every fourth finding by digest is held back for calibration and thresholds.
+    Every fourth finding by digest is held back for calibration and thresholds. The others are dealt to groups by digest, 64 at most and one for 8,192 findings;
+    each pass trains every group from the same network, by blocks of 16,384 findings, and averages what they come to, so no task holds more than a block and the driver
+    holds a network for each group. Few findings are gone over several times in a pass. Reruns agree.
     """
-    rows = sorted((r.digest, r.label, r.before, r.candidate, r.behind) for r in findings.collect())
-    label = np.array([r[1] for r in rows], np.int64)
-    held = np.array([int(r[0], 16) % 4 == 0 for r in rows], bool)
-    if not all(len(set(label[part].tolist())) == 2 for part in (held, ~held)):
+    digit = lambda at, n: F.conv(F.substring("digest", at, n), 16, 10).cast("int")
+    held = digit(-1, 1) % 4 == 0
+    count = {(r.held, r.label): r.n for r in findings.groupBy(held.alias("held"), "label").agg(F.count("*").alias("n")).collect()}
+    if not all((h, x) in count for h in (True, False) for x in (0, 1)):
         return None
-    text, start, end = [], [], []
-    size = 0
-    for _, _, before, candidate, behind in rows:  # a row's surroundings end where the next row's begin
-        text += [before.rjust(LEFT, "\0"), candidate, behind.ljust(RIGHT, "\0")]
-        start.append(size + LEFT)
-        end.append(size + LEFT + len(candidate))
-        size += LEFT + len(candidate) + RIGHT
-    whole, start, end = "".join(text), np.array(start), np.array(end)
-    net = _trained(whole, start[~held], end[~held], label[~held], epochs, seed)
-    shapes = np.array([shape_of(r[3]) for r in rows])
-    _calibrate(net, net.logits(whole, start[held], end[held]), label[held], shapes[held], recall)
+    n = count[False, 0] + count[False, 1]
+    many = max(1, min(groups, n // 8192))
+    learnt = findings.where(~held).withColumn("group", digit(1, 6) % many)
+    net = SecretNet(seed)
+    for epoch in range(epochs):
+        _averaged(learnt, net, many, max(1, 160_000 // (n * epochs)) if many == 1 else 1, 0.01 * (1 - epoch / epochs) ** 2, seed + epoch)
+    _calibrate(net, findings.where(held), count[True, 1], count[True, 0], recall)
     return net
 
 
@@ -322,7 +401,7 @@ def _scanned(texts: list[str], net: SecretNet | None) -> list[list[tuple[int, in
 
 
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, recall: float = 0.9, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The secrets of every text (``secret_spans``) with a network fitted to ``findings``, by default to the rules' own in a sample of ``docs``."""
+    """The secrets of every text (``secret_spans``) with a network fitted to ``findings``, by default to the rules' own in all of ``docs``."""
     if findings is None:
-        findings = sample_findings(docs, key=key, text=text)
+        findings = labelled_findings(docs, key, text)
     return secret_spans(docs, fit_secret_net(findings, recall), key, text)

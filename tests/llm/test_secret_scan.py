@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.llm import secret_scan as scan
 from panelwright.llm.secret_scan import CHUNK, SecretNet, fit_secret_net, sample_findings, secret_scan, secret_spans
 from panelwright.llm.toxicity import held_out
 
@@ -83,3 +84,22 @@ def test_long_candidates_are_read_whole():
 def test_findings_without_one_label(spark):
     empty = spark.createDataFrame([], "digest string, label int, before string, candidate string, behind string")
     assert fit_secret_net(empty) is None
+
+
+def test_network_learns_from_every_candidate(spark, monkeypatch):
+    """A row of many candidates gives them all, and all are handed to the fit, each once."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 14))
+    texts = [" ".join(word() for _ in range(300)) + f" token = {word()}", "the same word internationalization here", "the same word internationalization here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(scan, "fit_secret_net", lambda findings, recall: seen.append([tuple(r) for r in findings.select("label", "before", "candidate", "behind").collect()]))
+    secret_scan(df).collect()
+    want = {(int(hit), t[max(0, a - 24) : a], t[a:b], t[b : b + 8]) for t in texts if t for a, b, hit in scan.candidates(t, scan.base_spans(t))}
+    assert len(seen[0]) == len(want) == 302 and set(seen[0]) == want
+
+
+def test_refits_agree(spark):
+    found = sample_findings(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 6000).localCheckpoint()
+    a, b = (scan.fit_secret_net(found, epochs=1) for _ in range(2))
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p) and np.array_equal(a.thresholds, b.thresholds)
