@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Mapping, Sequence
+import operator
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from panelwright.functions.columns import apart, quarter_end, shift_quarters
 from panelwright.sources.scratch import kept
 
 EXTREME = 1000.0
+#: The percentiles of a distribution.
+QUANTILES = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def _broken(df: DataFrame, keys: Sequence[str], tests: Sequence[tuple[Column, str, str]]) -> DataFrame:
@@ -122,41 +126,58 @@ def distribution(long: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame
 def distribution_of_columns(wide: DataFrame, columns: Sequence[str], accuracy: int = 2000) -> DataFrame:
     """As :func:`distribution` by feature, of the columns of ``wide``, without gathering a feature's values in one task.
 
-    One pass finds a low and a high value about each place that a percentile looks at, a second one counts the values below and picks those between,
-    some of each ``accuracy``, whose places tell the exact percentile. Where a value misses its bounds, which the counts show, all values of that feature are picked. The
-    rows are written once, as both passes read them.
+    The values are written once. One pass over them finds a low and a high value about each place that a percentile looks at, a second one the values
+    at those places (:func:`values_at`), some of each ``accuracy`` being looked at one by one. What the driver holds are a few numbers for each column.
     """
-    names = ("p01", "p05", "median", "p95", "p99")
-    quantiles = (0.01, 0.05, 0.5, 0.95, 0.99)
-    finite = lambda c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
     held = kept(wide.select(*[F.col(c).cast("double").alias(c) for c in columns]), "values")
-    near = [min(1.0, max(0.0, q + d)) for q in quantiles for d in (-2 / accuracy, 2 / accuracy)]
-    first = held.agg(F.count("*").alias("_rows"), *[F.struct(F.count(c).alias("all"), F.count_if(F.abs(F.col(c)) == float("inf")).alias("infinite"), F.count(finite(c)).alias("n"), F.percentile_approx(finite(c), near, accuracy).alias("near")).alias(c) for c in columns]).first()  # one row
-    columns = columns if first["_rows"] else []
-    known = [c for c in columns if first[c]["n"]]
-    bounds = {(c, i): tuple(first[c]["near"][2 * i : 2 * i + 2]) for c in known for i in range(len(quantiles))}
-    places = {(c, i): ((first[c]["n"] - 1) * q) for c in known for i, q in enumerate(quantiles)}
-    counted = {}
-    if known:
-        cells = [F.struct(F.count_if(finite(c) < low).alias("below"), F.count_if(finite(c) <= high).alias("upto")).alias(f"{c}_{i}") for (c, i), (low, high) in bounds.items()]
-        row = held.agg(*cells).first()  # one row
-        counted = {(c, i): row[f"{c}_{i}"] for c, i in bounds}
-    for k, at in places.items():
-        if not (counted[k]["below"] <= math.floor(at) and math.ceil(at) < counted[k]["upto"]):
-            bounds[k], counted[k] = (float("-inf"), float("inf")), {"below": 0}
-    inside = [F.when(finite(c).between(*bounds[c, i]), F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.col(c).alias("value"), F.lit(counted[c, i]["below"]).cast("long").alias("below"), F.lit(places[c, i]).alias("at"))) for c, i in bounds]
-    spark = held.sparkSession
-    totals = spark.createDataFrame([(c, first[c]["all"], first[c]["infinite"]) for c in columns], "feature string, n_values long, n_infinite long")
-    if not known:
-        return totals.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
-    picked = held.select(F.explode(F.array_compact(F.array(*inside))).alias("r")).select("r.*").groupBy("feature", "i", "value", "below", "at").agg(F.count("*").alias("n"))
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("feature", "i").orderBy("value"))
-    spread = picked.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
-    holds = lambda place: F.max(F.when((F.col("from") <= place) & (place < F.col("upto")), F.col("value")))
-    low, high = holds(F.floor("at")), holds(F.ceil("at"))
-    exact = spread.groupBy("feature", "i").agg((low + (high - low) * F.max(F.col("at") - F.floor("at"))).alias("q"))
-    per = exact.groupBy("feature").agg(*[F.round(F.max(F.when(F.col("i") == i, F.col("q"))), 6).alias(n) for i, n in enumerate(names)])
-    return totals.join(per, "feature", "left")
+    long = held.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    finite = F.when(F.abs(F.col("value")) < float("inf"), F.col("value"))
+    near = [min(1.0, max(0.0, q + d)) for q in QUANTILES.values() for d in (-2 / accuracy, 2 / accuracy)]
+    counts = [F.count("value").alias("n_values"), F.count_if(F.abs(F.col("value")) == float("inf")).alias("n_infinite"), F.count(finite).alias("n")]
+    totals = long.groupBy("at").agg(*counts, F.percentile_approx(finite, near, accuracy).alias("near")).collect()  # a row for each column
+    pairs = {r["at"]: list(zip(r["near"][::2], r["near"][1::2], strict=True)) for r in totals if r["n"]}
+    places = {r["at"]: [(r["n"] - 1) * q for q in QUANTILES.values()] for r in totals if r["n"]}
+    found = values_at(long.where(finite.isNotNull()), {(k, p) for k, at in places.items() for x in at for p in (math.floor(x), math.ceil(x))}, pairs)
+    rows = []
+    for r in totals:
+        q = [None] * len(QUANTILES)
+        for i, x in enumerate(places.get(r["at"], [])):
+            low, high = found[r["at"], math.floor(x)], found[r["at"], math.ceil(x)]
+            q[i] = low + (high - low) * (x - math.floor(x))
+        rows.append((columns[r["at"]], r["n_values"], r["n_infinite"], *q))
+    x = held.sparkSession.createDataFrame(rows, f"feature string, n_values long, n_infinite long, {', '.join(f'{n} double' for n in QUANTILES)}")
+    return x.withColumns({n: F.round(n, 6) for n in QUANTILES})
+
+
+def values_at(long: DataFrame, wanted: Iterable[tuple[int, int]], pairs: Mapping[int, Sequence[tuple[float, float]]]) -> dict[tuple[int, int], float]:
+    """The value at each wanted (column, place from 0) in the order of a column's values; ``long`` has (at, value), finite values only.
+
+    ``pairs`` are two values of the column about each place: values between two are counted one by one, all others only with what stands between two of those numbers. A
+    place that was missed is between two numbers then, and looked for again between these alone.
+    """
+    wanted, found, pairs = set(wanted), {}, dict(pairs)
+    while wanted:
+        most = max(map(len, pairs.values()))
+        padded = [(k, *[x for pair in [*own, *[(math.inf, math.inf)] * (most - len(own))] for x in pair]) for k, own in pairs.items()]
+        ends = [f"_{side}{i}" for i in range(most) for side in ("low", "high")]
+        bounds = long.sparkSession.createDataFrame(padded, f"_k int, {', '.join(f'{c} double' for c in ends)}")
+        v, lowest = F.col("value"), F.lit(-math.inf)
+        inside = functools.reduce(operator.or_, [(v >= F.col(f"_low{i}")) & (v <= F.col(f"_high{i}")) for i in range(most)])
+        below = F.greatest(lowest, *[F.when(F.col(c) < v, F.col(c)) for c in ends])
+        met = long.join(F.broadcast(bounds), F.col("at") == F.col("_k")).select("at", inside.alias("one"), F.when(inside, v).otherwise(below).alias("value"))
+        counted = met.groupBy("at", "value", "one").agg(F.count("*").alias("n"))  # the rest behind a number stands behind the number itself
+        own = Window.partitionBy("at").orderBy("value", F.desc("one"))
+        spread = counted.withColumns({"upto": F.sum("n").over(own), "next": F.lead("value").over(own)}).withColumn("from", F.col("upto") - F.col("n"))
+        asked = long.sparkSession.createDataFrame(sorted(wanted), "_k int, place long")
+        holds = (F.col("at") == F.col("_k")) & (F.col("from") <= F.col("place")) & (F.col("place") < F.col("upto"))
+        again: dict[int, list[tuple[float, float]]] = {}
+        for r in spread.join(F.broadcast(asked), holds).select("at", "place", "one", "value", "next").collect():  # a row for each wanted place
+            if r["one"]:
+                found[r["at"], r["place"]] = r["value"]
+            else:
+                again.setdefault(r["at"], []).append((r["value"], math.inf if r["next"] is None else r["next"]))
+        wanted, pairs = {k for k in wanted if k not in found}, {k: sorted(set(own)) for k, own in again.items()}
+    return found
 
 
 def feature_peer_groups(long: DataFrame, detailed: str, broad: str, min_n: int = 20) -> DataFrame:

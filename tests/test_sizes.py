@@ -124,6 +124,23 @@ def test_no_task_gathers_the_values_of_a_feature(spark):
     assert " percentile(" not in plan
 
 
+def test_no_task_gathers_the_values_of_one_of_all_features(spark):
+    """Nor does a map of all values of all 65 features stand in each task that reads rows."""
+    plan = registry.queries()["feature_distributions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan
+
+
+def test_values_at_places_that_the_bounds_miss(spark):
+    """Good bounds, bounds that no value has, bounds all too low or too high, and columns of ties or of one value: all places are found."""
+    columns = {0: [float(i * 7919 % 1000) for i in range(1000)], 1: [float(i % 3) for i in range(1000)], 2: [-0.5], 3: [-float(i) for i in range(50)]}
+    long = spark.createDataFrame([(k, v) for k, own in columns.items() for v in own], "at int, value double").repartition(4)
+    wanted = {(k, p) for k, own in columns.items() for p in {0, len(own) // 100, len(own) // 2, len(own) - 1}}
+    want = {(k, p): sorted(columns[k])[p] for k, p in wanted}
+    bounds = {0: [(0.0, 20.0), (480.0, 520.0), (990.0, 999.0)], 1: [(0.0, 0.0), (1.0, 2.0)], 2: [(-0.5, -0.5)], 3: [(-49.0, 0.0)]}
+    for pairs in (bounds, {k: [(0.5, 0.25)] for k in columns}, {k: [(-900.0, -800.0)] for k in columns}, {k: [(2000.0, 3000.0), (2500.0, 4000.0)] for k in columns}):
+        assert feature_quality.values_at(long, wanted, pairs) == want
+
+
 def test_watchlist_drivers_are_made_of_the_rows_listed(spark):
     """Scores are made and written once; the drivers of rows that aren't listed are not made, so the lines aren't read again."""
     plan = registry.queries()["driver_watchlist"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
