@@ -123,28 +123,29 @@ def distribution(long: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame
     return x.select(*by, "n_values", "n_infinite", *[F.round(F.get("q", i), 6).alias(n) for i, n in enumerate(("p01", "p05", "median", "p95", "p99"))])
 
 
-def distribution_of_columns(wide: DataFrame, columns: Sequence[str], accuracy: int = 2000) -> DataFrame:
+def distribution_of_columns(wide: DataFrame, columns: Sequence[str], accuracy: int = 2000, carry: Sequence[str] = ()) -> DataFrame:
     """As :func:`distribution` by feature, of the columns of ``wide``, without gathering a feature's values in one task.
 
     The values are written once. One pass over them finds a low and a high value about each place that a percentile looks at, a second one the values
     at those places (:func:`values_at`), some of each ``accuracy`` being looked at one by one. What the driver holds are a few numbers for each column.
+    ``carry`` names columns to write as well: a projection that hands on a period made by :func:`apart` stays in small methods only while the period is asked for.
     """
-    held = kept(wide.select(*[F.col(c).cast("double").alias(c) for c in columns]), "values")
-    long = held.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    held = kept(wide.select(*carry, *[F.col(c).cast("double").alias(c) for c in columns]), "values")
+    long = held.select(F.posexplode(F.array(*columns)).alias("at", "value")).where("value IS NOT NULL")
     finite = F.when(F.abs(F.col("value")) < float("inf"), F.col("value"))
     near = [min(1.0, max(0.0, q + d)) for q in QUANTILES.values() for d in (-2 / accuracy, 2 / accuracy)]
-    counts = [F.count("value").alias("n_values"), F.count_if(F.abs(F.col("value")) == float("inf")).alias("n_infinite"), F.count(finite).alias("n")]
-    totals = long.groupBy("at").agg(*counts, F.percentile_approx(finite, near, accuracy).alias("near")).collect()  # a row for each column
+    counts = [F.count("*").alias("n_values"), F.count_if(F.abs(F.col("value")) == float("inf")).alias("n_infinite"), F.count(finite).alias("n")]
+    totals = long.groupBy("at").agg(*counts, F.percentile_approx(finite, near, accuracy).alias("near")).collect()  # a row for each column that has values
     pairs = {r["at"]: list(zip(r["near"][::2], r["near"][1::2], strict=True)) for r in totals if r["n"]}
     places = {r["at"]: [(r["n"] - 1) * q for q in QUANTILES.values()] for r in totals if r["n"]}
     found = values_at(long.where(finite.isNotNull()), {(k, p) for k, at in places.items() for x in at for p in (math.floor(x), math.ceil(x))}, pairs)
-    rows = []
+    rows = [] if held.isEmpty() else [(c, 0, 0, *[None] * len(QUANTILES)) for c in columns]
     for r in totals:
         q = [None] * len(QUANTILES)
         for i, x in enumerate(places.get(r["at"], [])):
             low, high = found[r["at"], math.floor(x)], found[r["at"], math.ceil(x)]
             q[i] = low + (high - low) * (x - math.floor(x))
-        rows.append((columns[r["at"]], r["n_values"], r["n_infinite"], *q))
+        rows[r["at"]] = (columns[r["at"]], r["n_values"], r["n_infinite"], *q)
     x = held.sparkSession.createDataFrame(rows, f"feature string, n_values long, n_infinite long, {', '.join(f'{n} double' for n in QUANTILES)}")
     return x.withColumns({n: F.round(n, 6) for n in QUANTILES})
 
