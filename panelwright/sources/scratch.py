@@ -18,8 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back, for tables that a query reads more than once; lost executors don't lose it."""
+def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written once and read back, for tables that a query reads more than once; lost executors don't lose it. ``options`` are the writer's."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

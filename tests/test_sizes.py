@@ -133,7 +133,7 @@ def test_no_task_gathers_the_values_of_one_of_all_features(spark):
 def test_the_projection_of_all_features_that_are_written_can_be_compiled(spark, monkeypatch):
     """Features without keys were one method of 19,000 bytes: what kept it apart was the period, which nobody asked for."""
     written = []
-    monkeypatch.setattr(feature_quality, "kept", lambda df, name: written.append(df) or df.limit(0))
+    monkeypatch.setattr(feature_quality, "kept", lambda df, name, **_: written.append(df) or df.limit(0))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         assert registry.queries()["feature_distributions"](spark, "/root/testdata/sf0.001").collect() == []
@@ -143,6 +143,15 @@ def test_the_projection_of_all_features_that_are_written_can_be_compiled(spark,
     assert parts.size() > 0 and max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) <= 8000
 
 
+def test_values_are_written_without_dictionaries(spark, monkeypatch):
+    """A task that writes 65 columns holds a dictionary of each otherwise, besides a row group of 128 MB."""
+    written, real = [], feature_quality.kept
+    monkeypatch.setattr(feature_quality, "kept", lambda df, name, **options: written.append(real(df, name, **options)) or written[-1])
+    feature_quality.distribution_of_columns(spark.range(1000).select(F.lit(1.0).alias("a"), (F.col("id") % 3).alias("b")), ["a", "b"])
+    files = [f.removeprefix("file://") for f in written[0].inputFiles()]
+    assert duckdb.execute("SELECT count(*), count(dictionary_page_offset) FROM parquet_metadata(?)", [files]).fetchone() == (2 * len(files), 0)
+
+
 def test_values_at_places_that_the_bounds_miss(spark):
     """Good bounds, bounds that no value has, bounds all too low or too high, and columns of ties or of one value: all places are found."""
     columns = {0: [float(i * 7919 % 1000) for i in range(1000)], 1: [float(i % 3) for i in range(1000)], 2: [-0.5], 3: [-float(i) for i in range(50)]}
